@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import minhash
+from tessera.llm import minhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), min_words=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
@@ -23,6 +29,24 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op6_substring_dedup": rf"""
+        WITH d AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+        ), p AS MATERIALIZED (
+            SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+        ), x AS MATERIALIZED (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM p
+        ), lost AS (
+            SELECT doc_id, list(i) AS at FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM x) WHERE doc_id > lo GROUP BY doc_id
+        ), gone AS (
+            SELECT doc_id, list_distinct(flatten(list_transform(at, lambda i: range(i, i + 13)))) AS gone FROM lost
+        ), k AS (
+            SELECT d.doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN 0 ELSE len(gone) END AS r,
+                CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END AS kept
+            FROM d LEFT JOIN gone USING (doc_id)
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+    """,
     "op8_minhash_near_dedup": rf"""
         WITH RECURSIVE d AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents
@@ -30,7 +54,7 @@ ORACLES = {
             SELECT DISTINCT doc_id, unnest(CASE
                 WHEN len(w) = 0 THEN []
                 WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                ELSE list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+                ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
             END) AS g FROM d
         ), n AS MATERIALIZED (
             SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
