@@ -37,9 +37,9 @@ ORACLES = {
         ), x AS MATERIALIZED (
             SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM p
         ), lost AS (
-            SELECT doc_id, list(i) AS at FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM x) WHERE doc_id > lo GROUP BY doc_id
+            SELECT doc_id, list(i) AS spots FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM x) WHERE doc_id > lo GROUP BY doc_id
         ), gone AS (
-            SELECT doc_id, list_distinct(flatten(list_transform(at, lambda i: range(i, i + 13)))) AS gone FROM lost
+            SELECT doc_id, list_distinct(flatten(list_transform(spots, lambda i: range(i, i + 13)))) AS gone FROM lost
         ), k AS (
             SELECT d.doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN 0 ELSE len(gone) END AS r,
                 CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END AS kept
