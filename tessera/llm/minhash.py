@@ -9,8 +9,9 @@ link only when the full shingle sets reach the similarity.
 
 Only components are asked for, so a large group of near copies never becomes all its
 pairs: copies (equal sets) collapse first, each class is then tested against the
-smallest class that shares a band with it, and the pairs of classes still in
-different components are tested one by one, in every shared band.
+smallest class that shares a band with it, then against some other centres of its bands.
+The pairs of classes that share a band and are still in different components
+are then tested one by one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from tessera.llm import arrowtext as at
 from tessera.llm import cluster
 
 ROWS, BANDS = 6, 42  # a pair at 0.8 shares no band with probability 3e-6
+TURNS = 5
+MOST_BROADCAST = 500_000  # ids; some 30 MB as a hash table
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -137,15 +140,17 @@ def _verifier(k: int, percent: int):
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets reach the similarity. docs: doc_id, text, a row an id.
 
-    A centre's text goes once to every 256 of its pairs, the other texts once a pair.
+    pairs must be a written table. A centre's text goes once to every 256 of its pairs, the
+    other texts once a pair.
     """
     counted = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("shares"))
     texts = docs.select("doc_id", "text")
     others = pairs.join(counted, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
     centres = counted.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    wanted = others.unionByName(centres)
-    # Texts that no pair asks for are dropped before the shuffle by the semi-join's runtime filter.
-    rows = wanted.join(texts, wanted["b"] == texts["doc_id"]).select("a", "b", "share", "text")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if ids.count() <= MOST_BROADCAST:  # else every text takes part in the shuffle below
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = others.unionByName(centres).join(texts, F.col("b") == F.col("doc_id")).select("a", "b", "share", "text")
     n = cluster.partitions(docs.sparkSession)
     ordered = rows.repartition(n, "a", "share").sortWithinPartitions("a", "share", (F.col("a") != F.col("b")), "b")
     return ordered.mapInArrow(_verifier(k, percent), "a bigint, b bigint")
@@ -173,28 +178,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     shared = spots.groupBy("spot").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = cluster.cut(spots.join(shared.select("spot", "centre"), "spot"))
 
-    first_pairs = entries.filter("doc_id <> centre").groupBy("doc_id").agg(F.min("centre").alias("a")).select("a", F.col("doc_id").alias("b"))
-    links = cluster.cut(verified(first_pairs, docs, k, percent))
-    part = cluster.components(links)
-
-    # What is left: pairs that share a band but no component yet.
-    placed = entries.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("spot", "doc_id", F.coalesce("component_id", "doc_id").alias("part"))
-    mixed = placed.groupBy("spot").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("spot")
-    open_ = placed.join(mixed, "spot")
-    left, right = (open_.select("spot", F.col("doc_id").alias(x), F.col("part").alias(f"{x}_part")) for x in "ab")
-    pairs = left.join(right, "spot").filter("a < b and a_part <> b_part").select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti")
     low = heads.select("doc_id", "low")
-    t = rows * bands
-    sieve = _sieve(t, percent)
-    near = (
-        pairs.join(low.select(F.col("doc_id").alias("a"), F.col("low").alias("x")), "a")
-        .join(low.select(F.col("doc_id").alias("b"), F.col("low").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(sieve, "a bigint, b bigint")
-    )
-    more = cluster.cut(verified(cluster.cut(near), docs, k, percent))
-
-    every = links.unionByName(more).unionByName(member.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among distinct pairs (a, b): sketches drop hopeless pairs, full sets decide."""
+        near = (
+            pairs.join(low.select(F.col("doc_id").alias("a"), F.col("low").alias("x")), "a")
+            .join(low.select(F.col("doc_id").alias("b"), F.col("low").alias("y")), "b")
+            .select("a", "b", "x", "y")
+            .mapInArrow(_sieve(rows * bands, percent), "a bigint, b bigint")
+        )
+        return cluster.cut(verified(cluster.cut(near), docs, k, percent))
+
+    # Round 0: each class against the smallest one that it shares a band with.
+    pairs = cluster.cut(entries.filter("doc_id <> centre").groupBy("doc_id").agg(F.min("centre").alias("a")).select("a", F.col("doc_id").alias("b")))
+    tested, links, open_ = pairs, linked(pairs), entries.select("spot", "doc_id")
+    for turn in range(1, TURNS + 1):
+        # What is open: bands shared by classes in different components.
+        part = cluster.components(links)
+        placed = open_.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("spot", "doc_id", F.coalesce("component_id", "doc_id").alias("part"))
+        inside = placed.groupBy("spot", "part").agg(F.count(F.lit(1)).alias("n"))
+        mixed = inside.groupBy("spot").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).filter("parts > 1")
+        open_ = cluster.cut(placed.join(mixed, "spot"))
+        sums = open_.agg(F.count(F.lit(1)), F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2)).first()
+        if not sums[0]:
+            break
+        if turn == TURNS or sums[1] <= 4 * sums[0]:  # few enough, or no centre helps: all that is left
+            left, right = (open_.select("spot", F.col("doc_id").alias(x), F.col("part").alias(f"{x}_part")) for x in "ab")
+            pairs = left.join(right, "spot").filter("a < b and a_part <> b_part").select("a", "b").distinct()
+            links = links.unionByName(linked(pairs.join(tested, ["a", "b"], "left_anti")))
+            break
+        # A group whose first centre was an odd one gets another, the same in all its bands.
+        rank = F.xxhash64("doc_id", F.lit(turn))
+        centres = open_.groupBy("spot").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "part")).alias("c"))
+        pairs = (
+            open_.join(centres, "spot").filter("part <> c.part").groupBy("doc_id").agg(F.min("c").alias("c"))
+            .select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        )
+        pairs = cluster.cut(pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
+        tested, links, open_ = tested.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), links.unionByName(linked(pairs)), open_.select("spot", "doc_id")
+
+    every = links.unionByName(member.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     final = cluster.components(every).withColumnRenamed("id", "doc_id")
     return signed.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
 
