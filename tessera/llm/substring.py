@@ -33,7 +33,7 @@ from tessera.llm import cluster
 SLOT_BITS = 14
 GROUP = 500_000  # suffixes that one prefix may hold before it is extended
 TASK = 2_000_000  # suffixes that one task of the second pass gets
-BATCH_BYTES = 10_000_000
+BATCH_BYTES = 6_000_000
 
 
 def ladder(min_words: int) -> list[int]:
@@ -75,11 +75,50 @@ def _from_planes(body: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+_MESSAGE = "task int, to int, base bigint, docs binary, paths binary"
+
+
+class _Outbox:
+    """Packed (doc, path) pairs on their way: task works on them next, to is the share of documents that gets them (-1: undecided)."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def put(self, key: np.ndarray, doc: np.ndarray, path: np.ndarray, decided: bool) -> None:
+        if not len(key):
+            return
+        by = np.argsort(key, kind="stable")
+        key, doc, path = key[by], doc[by], path[by]
+        base = int(doc.min())
+        off = (doc - base).astype(np.uint32) if int(doc.max()) - base < 1 << 32 else doc - base
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True):
+            k = int(key[a])
+            self.rows.append((k, k if decided else -1, base, _planes(off[a:b]), _planes(path[a:b])))
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(self.rows), 256):
+            columns = zip(*self.rows[lo : lo + 256], strict=True)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["task", "to", "base", "docs", "paths"])
+        self.rows = []
+
+
+def _unpacked(base: int, docs: bytes, paths: bytes) -> tuple[np.ndarray, np.ndarray]:
+    path = _from_planes(paths, np.uint64)
+    off = _from_planes(docs, np.uint32 if len(docs) == 4 * len(path) else np.int64)
+    return off.astype(np.int64) + base, path
+
+
+def _share(doc: np.ndarray, tasks: int) -> np.ndarray:
+    return (at.mix(doc.view(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+
+
 def _own(min_words: int, heavy: dict[int, np.ndarray], tasks: int):
     """Owners of the paths of a task's documents, by group; and what loses to an owner of the same task."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = ladder(min_words)
+        steps, out = ladder(min_words), _Outbox()
         for table in at.batches(frames, "text", BATCH_BYTES):
             table = table.sort_by("doc_id").combine_chunks()
             ids = at.chunk(table, "doc_id").to_numpy()
@@ -93,21 +132,10 @@ def _own(min_words: int, heavy: dict[int, np.ndarray], tasks: int):
             path = path[order]
             doc = np.repeat(ids, np.diff(begin))[order]
             head = np.concatenate(([True], path[1:] != path[:-1]))
-            owner = doc[head][np.cumsum(head) - 1]
-            lost = np.flatnonzero(doc > owner)
-            rows: dict[str, list] = {"task": [], "base": [], "docs": [], "paths": [], "decided": []}
-
-            if len(lost):
-                by = lost[np.argsort(doc[lost], kind="stable")]
-                edge = np.flatnonzero(np.concatenate(([True], doc[by][1:] != doc[by][:-1])))
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(by)], strict=True):
-                    rows["task"].append(int(doc[by[a]]) % tasks)
-                    rows["base"].append(int(doc[by[a]]))
-                    rows["docs"].append(b"")
-                    rows["paths"].append(np.unique(path[by[a:b]]).tobytes())
-                    rows["decided"].append(True)
-
+            lost = doc > doc[head][np.cumsum(head) - 1]
+            out.put(_share(doc[lost], tasks), doc[lost], path[lost], True)
             at_word, path, doc = where[order[head]], path[head], doc[head]
+            del where, order, head, lost
             group = np.zeros(len(path), np.uint64)
             todo = np.arange(len(path))
             for i, k in enumerate(steps):
@@ -116,67 +144,67 @@ def _own(min_words: int, heavy: dict[int, np.ndarray], tasks: int):
                 if i == len(steps) - 1 or i not in heavy:
                     break
                 todo = todo[heavy[i][_slots(prefix)]]
-            to = (at.mix(group) % np.uint64(tasks)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            to, path, doc = to[by], path[by], doc[by]
-            base = int(doc.min())
-            off = (doc - base).astype(np.uint32) if int(doc.max()) - base < 1 << 32 else doc - base
-            edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(to)], strict=True):
-                rows["task"].append(int(to[a]))
-                rows["base"].append(base)
-                rows["docs"].append(_planes(off[a:b]))
-                rows["paths"].append(_planes(path[a:b]))
-                rows["decided"].append(False)
-            for lo in range(0, len(rows["task"]), 256):
-                hi = lo + 256
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["task"][lo:hi], pa.int32()), pa.array(rows["base"][lo:hi], pa.int64()), pa.array(rows["docs"][lo:hi], pa.binary()), pa.array(rows["paths"][lo:hi], pa.binary()), pa.array(rows["decided"][lo:hi], pa.bool_())],
-                    ["task", "base", "docs", "paths", "decided"],
-                )
+            out.put((at.mix(group) % np.uint64(tasks)).astype(np.int64), doc, path, False)
+            yield from out.sent()
 
     return run
 
 
-def _subtrees(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtrees(tasks: int):
     """The deep internal nodes of a task's groups: each owner but the smallest gets the path back."""
-    paths, docs = [], []
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, docs = [], []
+        for frame in frames:
+            decided = pa.array(frame.column("to").to_numpy() >= 0)
+            yield frame.filter(decided)
+            for _, to, base, near, body in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                if to < 0:
+                    doc, path = _unpacked(base, near, body)
+                    docs.append(doc)
+                    paths.append(path)
+        if not paths:
+            return
+        path, doc = np.concatenate(paths), np.concatenate(docs)
+        del paths, docs
+        order = np.argsort(path, kind="stable")
+        path, doc = path[order], doc[order]
+        same = path[1:] == path[:-1]
+        inner = np.zeros(len(path), bool)
+        inner[1:] |= same
+        inner[:-1] |= same
+        path, doc = path[inner], doc[inner]
+        if not len(path):
+            return
+        start = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
+        least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.concatenate((start, [len(path)]))))
+        lost = doc > least
+        out = _Outbox()
+        out.put(_share(doc[lost], tasks), doc[lost], path[lost], True)
+        yield from out.sent()
+
+    return run
+
+
+def _by_document(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Paths of each document of a task's shares."""
+    docs, paths = [], []
     for frame in frames:
-        decided = frame.column("decided").to_numpy(zero_copy_only=False)
-        base, near, body = frame.column("base").to_pylist(), frame.column("docs"), frame.column("paths")
-        done = [i for i in range(frame.num_rows) if decided[i]]
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([base[i] for i in done], pa.int64()), body.take(pa.array(done))], ["doc_id", "paths"])
-        for i in range(frame.num_rows):
-            if not decided[i]:
-                path = _from_planes(body[i].as_py(), np.uint64)
-                packed = near[i].as_py()
-                off = _from_planes(packed, np.uint32 if len(packed) == 4 * len(path) else np.int64)
-                paths.append(path)
-                docs.append(off.astype(np.int64) + base[i])
-    if not paths:
-        return
-    path, doc = np.concatenate(paths), np.concatenate(docs)
-    order = np.argsort(path, kind="stable")
-    same = path[order][1:] == path[order][:-1]
-    inner = np.zeros(len(path), bool)
-    inner[1:] |= same
-    inner[:-1] |= same
-    order = order[inner]
-    path, doc = path[order], doc[order]
-    if not len(path):
+        for _, _, base, near, body in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+            doc, path = _unpacked(base, near, body)
+            docs.append(doc)
+            paths.append(path)
+    if not docs:
         return
-    start = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
-    least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.concatenate((start, [len(path)]))))
-    lost = doc > least
-    path, doc = path[lost], doc[lost]
+    doc, path = np.concatenate(docs), np.concatenate(paths)
+    del docs, paths
     order = np.argsort(doc, kind="stable")
-    path, doc = path[order], doc[order]
-    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else []
-    for lo in range(0, len(edge), 4096):
-        some = edge[lo : lo + 4096].tolist()
-        ends = [*edge[lo + 1 : lo + 4097].tolist(), len(doc)][: len(some)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[some], pa.int64()), pa.array([path[a:b].tobytes() for a, b in zip(some, ends, strict=True)], pa.binary())], ["doc_id", "paths"])
+    doc, path = doc[order], path[order]
+    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    ends = np.concatenate((edge[1:], [len(doc)]))
+    for lo in range(0, len(edge), 2048):
+        a, b = edge[lo : lo + 2048], ends[lo : lo + 2048]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[a], pa.int64()), pa.array([path[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["doc_id", "hits"])
 
 
 def _mark(min_words: int, names: list[str]):
@@ -192,7 +220,7 @@ def _mark(min_words: int, names: list[str]):
                 windows = at.mix(at.runs(w.hashes(), min_words))
                 for r in found.tolist():
                     a, n = int(w.first[r]), int(counts[r])
-                    wanted = np.frombuffer(b"".join(hits[r].as_py()), np.uint64)
+                    wanted = np.frombuffer(hits[r].as_py(), np.uint64)
                     if n < min_words or not len(wanted):
                         continue
                     hit = np.flatnonzero(np.isin(windows[a : a + n - min_words + 1], wanted))
@@ -233,9 +261,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False) ->
     for r in counts.filter(F.col("n") > GROUP).select("level", "slot").collect():
         heavy.setdefault(r.level, np.zeros(1 << SLOT_BITS, bool))[r.slot] = True
     tasks = max(cluster.partitions(docs.sparkSession), -(-total // TASK))
-    owners = plain.mapInArrow(_own(min_words, heavy, tasks), "task int, base bigint, docs binary, paths binary, decided boolean")
-    lost = owners.repartition(tasks, "task").mapInArrow(_subtrees, "doc_id bigint, paths binary")
-    hits = lost.groupBy("doc_id").agg(F.collect_list("paths").alias("hits"))
+    owners = plain.mapInArrow(_own(min_words, heavy, tasks), _MESSAGE)
+    lost = owners.repartition(tasks, "task").mapInArrow(_subtrees(tasks), _MESSAGE)
+    hits = lost.repartition(tasks, "to").mapInArrow(_by_document, "doc_id bigint, hits binary")
     names = ["doc_id", *(["row"] if carry else [])]
     joined = keyed.join(hits, "doc_id", "left").select(*names, "text", "hits")
     fields = ["doc_id bigint", *([f"row {joined.schema['row'].dataType.simpleString()}"] if carry else [])]
