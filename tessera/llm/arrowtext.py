@@ -27,7 +27,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and the row offsets into them; null counts as empty."""
     if texts.null_count:
         texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+    texts = texts.cast(pa.large_binary())
     n = len(texts)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
