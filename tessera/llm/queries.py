@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, minhash, packing, phrases, quality, substring
+from tessera.llm import language, minhash, packing, phrases, quality, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document that its url names with the path's last number."""
+    pages, labels = table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels")
+    named = pages.select("page_id", F.regexp_extract(urls.path_of(F.col("url")), "([0-9]{1,18})[^0-9]*$", 1).try_cast("bigint").alias("doc_id"))
+    marks = named.join(labels.filter("quality is not null"), "doc_id").select("page_id", (F.col("quality") == 0).alias("bad"))
+    return urls.judge(pages, marks)
+
+
 QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op4_packing": op4_packing,
@@ -50,6 +58,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_url_filter": op10_url_filter,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
