@@ -9,9 +9,9 @@ link only when the full shingle sets reach the similarity.
 
 Only components are asked for, so a large group of near copies never becomes all its
 pairs: copies (equal sets) collapse first, each class is then tested against the
-smallest class that shares a band with it, then against some other centres of its bands.
-The pairs of classes that share a band and are still in different components
-are then tested one by one.
+smallest class that shares a band with it. Classes that share a band and are still in
+different components are tested by pairs where few share it, and where many do in
+blocks of bounded size, which return the links that join components.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from tessera.llm import arrowtext as at
 from tessera.llm import cluster
 
 ROWS, BANDS = 6, 42  # a pair at 0.8 shares no band with probability 3e-6
-TURNS = 5
+FEW = 32  # classes of a band that are tested by pairs
+BLOCK = 1024  # classes of a side of a task's work
 MOST_BROADCAST = 500_000  # ids; some 30 MB as a hash table
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -123,13 +124,7 @@ def _verifier(k: int, percent: int):
                     centre, mine = a[r], own
                     continue
                 assert centre == a[r], "a centre's text stands before its pairs"
-                small, large = (own, mine) if len(own) < len(mine) else (mine, own)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                spot = np.searchsorted(large, small)
-                spot[spot == len(large)] = 0
-                both = int((large[spot] == small).sum()) if len(large) else 0
-                if both and 100 * both >= percent * (len(small) + len(large) - both):
+                if _similar(own, mine, percent):
                     links.append(r)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(a[links], pa.int64()), pa.array(b[links], pa.int64())], ["a", "b"])
@@ -137,6 +132,12 @@ def _verifier(k: int, percent: int):
     return run
 
 
+def _asked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids, where these are few enough to be sent to every task; else all, for the shuffle join that follows."""
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_BROADCAST else texts
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets reach the similarity. docs: doc_id, text, a row an id.
 
@@ -144,12 +145,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     other texts once a pair.
     """
     counted = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("shares"))
-    texts = docs.select("doc_id", "text")
+    texts = _asked(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     others = pairs.join(counted, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
     centres = counted.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= MOST_BROADCAST:  # else every text takes part in the shuffle below
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     rows = others.unionByName(centres).join(texts, F.col("b") == F.col("doc_id")).select("a", "b", "share", "text")
     n = cluster.partitions(docs.sparkSession)
     ordered = rows.repartition(n, "a", "share").sortWithinPartitions("a", "share", (F.col("a") != F.col("b")), "b")
@@ -190,49 +188,131 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
         )
         return cluster.cut(verified(cluster.cut(near), docs, k, percent))
 
-    # Round 0: each class against the smallest one that it shares a band with.
+    # Each class against the smallest one that it shares a band with.
     pairs = cluster.cut(entries.filter("doc_id <> centre").groupBy("doc_id").agg(F.min("centre").alias("a")).select("a", F.col("doc_id").alias("b")))
-    tested, links, open_ = pairs, linked(pairs), entries.select("spot", "doc_id")
-    for turn in range(1, TURNS + 1):
-        # What is open: bands shared by classes in different components.
-        part = cluster.components(links)
-        placed = open_.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("spot", "doc_id", F.coalesce("component_id", "doc_id").alias("part"))
-        inside = placed.groupBy("spot", "part").agg(F.count(F.lit(1)).alias("n"))
-        mixed = inside.groupBy("spot").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares")).filter("parts > 1")
-        open_ = cluster.cut(placed.join(mixed, "spot"))
-        sums = open_.agg(F.count(F.lit(1)), F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2)).first()
-        if not sums[0]:
-            break
-        if turn == TURNS or sums[1] <= 4 * sums[0]:  # few enough, or no centre helps: all that is left
-            left, right = (open_.select("spot", F.col("doc_id").alias(x), F.col("part").alias(f"{x}_part")) for x in "ab")
-            pairs = left.join(right, "spot").filter("a < b and a_part <> b_part").select("a", "b").distinct()
-            links = links.unionByName(linked(pairs.join(tested, ["a", "b"], "left_anti")))
-            break
-        # A group whose first centre was an odd one gets another, the same in all its bands.
-        rank = F.xxhash64("doc_id", F.lit(turn))
-        centres = open_.groupBy("spot").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "part")).alias("c"))
-        pairs = (
-            open_.join(centres, "spot").filter("part <> c.part").groupBy("doc_id").agg(F.min("c").alias("c"))
-            .select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        )
-        pairs = cluster.cut(pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
-        tested, links, open_ = tested.unionByName(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), links.unionByName(linked(pairs)), open_.select("spot", "doc_id")
+    stars = linked(pairs)
+
+    # What is open: bands shared by classes in different components.
+    part = cluster.components(stars)
+    placed = entries.select("spot", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("spot", "doc_id", F.coalesce("component_id", "doc_id").alias("part"))
+    mixed = placed.groupBy("spot").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("spot", "n")
+    open_ = cluster.cut(placed.join(mixed, "spot"))
+
+    # Bands that few classes share: their pairs. A pair is rows here, so this stays linear in the rows of open_.
+    few = open_.filter(F.col("n") <= FEW)
+    left, right = (few.select("spot", F.col("doc_id").alias(x), F.col("part").alias(f"{x}_part")) for x in "ab")
+    loose = left.join(right, "spot").filter("a < b and a_part <> b_part").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    links = stars.unionByName(linked(loose))
+
+    # Bands that many share: groups around one class of each band, mostly the same in all bands of a group, compared in blocks.
+    many = open_.filter(F.col("n") > FEW)
+    rank = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    named = many.groupBy("spot").agg(F.min(rank).alias("c")).select("spot", F.col("c.doc_id").alias("group"))
+    grouped = cluster.cut(many.join(named, "spot").groupBy("group", "doc_id").agg(F.first("part").alias("part")))
+    links = links.unionByName(cluster.cut(_compared(grouped, low, docs, k, percent, rows * bands)))
 
     every = links.unionByName(member.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
     final = cluster.components(every).withColumnRenamed("id", "doc_id")
     return signed.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
-def _sieve(t: int, percent: int):
-    """Drops pairs whose sketches agree in so few coordinates that the sets miss the similarity by five standard errors."""
+def _least(t: int, percent: int) -> float:
+    """Equal coordinates of t that sets at the similarity reach but for five standard errors."""
     s = percent / 100
-    least = t * s - 5 * (t * s * (1 - s)) ** 0.5
+    return t * s - 5 * (t * s * (1 - s)) ** 0.5
+
+
+def _sieve(t: int, percent: int):
+    """Drops pairs whose sketches agree in too few coordinates."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            if not frame.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(frame.column(c).to_pylist()), np.uint8).reshape(-1, t) for c in ("x", "y"))
-            yield frame.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+            if frame.num_rows:
+                x, y = (np.frombuffer(b"".join(frame.column(c).to_pylist()), np.uint8).reshape(-1, t) for c in ("x", "y"))
+                yield frame.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= _least(t, percent)))
 
     return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    spot = np.searchsorted(large, small)
+    spot[spot == len(large)] = 0
+    both = int((large[spot] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
+def _blocks(k: int, percent: int, t: int):
+    """Links that join components, between the two sides of each piece of work, or inside one side."""
+
+    def links(table: pa.Table) -> pa.RecordBatch | None:
+        side, ids, part = (at.chunk(table, c).to_numpy(zero_copy_only=False) for c in ("side", "doc_id", "part"))
+        lows = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, t)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
+        inside = not len(right)
+        right = left if inside else right
+        root = {int(p): int(p) for p in part}
+
+        def top(p: int) -> int:
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        sets = first = None
+        found: list[tuple[int, int]] = []
+        for lo in range(0, len(left), 32):
+            some = left[lo : lo + 32]
+            agree = (lows[some][:, None, :] == lows[right][None, :, :]).sum(axis=2)
+            near = (agree >= _least(t, percent)) & (part[some][:, None] != part[right][None, :])
+            if inside:
+                near &= some[:, None] < right[None, :]
+            for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
+                x, y = int(some[i]), int(right[j])
+                p, q = top(int(part[x])), top(int(part[y]))
+                if p == q:
+                    continue
+                if sets is None:
+                    sets, first = shingles(at.chunk(table, "text"), k)
+                if _similar(sets[first[x] : first[x + 1]], sets[first[y] : first[y + 1]], percent):
+                    root[max(p, q)] = min(p, q)
+                    found.append((int(ids[x]), int(ids[y])))
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for frame in frames:
+            keys = list(zip(*(frame.column(c).to_pylist() for c in ("group", "i", "j")), strict=True))
+            begin = 0
+            for r, own in enumerate(keys):
+                if own != key:
+                    if r > begin:
+                        held.append(frame.slice(begin, r - begin))
+                    if held and (out := links(pa.Table.from_batches(held).combine_chunks())) is not None:
+                        yield out
+                    held, key, begin = [], own, r
+            if frame.num_rows > begin:
+                held.append(frame.slice(begin))
+        if held and (out := links(pa.Table.from_batches(held).combine_chunks())) is not None:
+            yield out
+
+    return run
+
+
+def _compared(grouped: DataFrame, low: DataFrame, docs: DataFrame, k: int, percent: int, t: int) -> DataFrame:
+    """Links that join the components (part) of each group's members. Groups are cut into blocks, and a task holds two blocks at a time."""
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("group", "blocks")
+    placed = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
+    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = met.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "part")
+    texts = _asked(docs, grouped.select("doc_id").distinct())
+    rows = work.join(low, "doc_id").join(texts, "doc_id").select("group", "i", "j", "side", "doc_id", "part", "low", "text")
+    ordered = rows.repartition(cluster.partitions(docs.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "doc_id", "text")
+    return ordered.mapInArrow(_blocks(k, percent, t), "a bigint, b bigint")
