@@ -79,22 +79,22 @@ _MESSAGE = "task int, to int, base bigint, docs binary, paths binary"
 
 
 class _Outbox:
-    """Packed (doc, path) pairs on their way: task works on them next, to is the share of documents that gets them (-1: undecided)."""
+    """Packed (doc, path) pairs on their way: base is the first doc, docs the steps from it; task works on them next, to is the share of documents that gets them (-1: undecided)."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
 
     def put(self, key: np.ndarray, doc: np.ndarray, path: np.ndarray, decided: bool) -> None:
+        """doc ascends; its steps are small numbers and take next to no room."""
         if not len(key):
             return
         by = np.argsort(key, kind="stable")
         key, doc, path = key[by], doc[by], path[by]
-        base = int(doc.min())
-        off = (doc - base).astype(np.uint32) if int(doc.max()) - base < 1 << 32 else doc - base
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True):
-            k = int(key[a])
-            self.rows.append((k, k if decided else -1, base, _planes(off[a:b]), _planes(path[a:b])))
+            k, steps = int(key[a]), np.diff(doc[a:b], prepend=doc[a])
+            narrow = steps.astype(np.uint32) if int(steps.max()) < 1 << 32 else steps
+            self.rows.append((k, k if decided else -1, int(doc[a]), _planes(narrow), _planes(path[a:b])))
 
     def sent(self) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(self.rows), 256):
@@ -106,8 +106,8 @@ class _Outbox:
 
 def _unpacked(base: int, docs: bytes, paths: bytes) -> tuple[np.ndarray, np.ndarray]:
     path = _from_planes(paths, np.uint64)
-    off = _from_planes(docs, np.uint32 if len(docs) == 4 * len(path) else np.int64)
-    return off.astype(np.int64) + base, path
+    steps = _from_planes(docs, np.uint32 if len(docs) == 4 * len(path) else np.int64)
+    return np.cumsum(steps.astype(np.int64)) + base, path
 
 
 def _share(doc: np.ndarray, tasks: int) -> np.ndarray:
@@ -128,14 +128,14 @@ def _own(min_words: int, heavy: dict[int, np.ndarray], tasks: int):
             if not len(where):
                 continue
             path = at.mix(at.runs(hashes, min_words)[where])
+            doc = np.repeat(ids, np.diff(begin))
             order = np.argsort(path, kind="stable")
-            path = path[order]
-            doc = np.repeat(ids, np.diff(begin))[order]
-            head = np.concatenate(([True], path[1:] != path[:-1]))
-            lost = doc > doc[head][np.cumsum(head) - 1]
+            head = np.concatenate(([True], path[order[1:]] != path[order[:-1]]))
+            lost = np.sort(order[doc[order] > doc[order[head]][np.cumsum(head) - 1]])
             out.put(_share(doc[lost], tasks), doc[lost], path[lost], True)
-            at_word, path, doc = where[order[head]], path[head], doc[head]
-            del where, order, head, lost
+            own = np.sort(order[head])
+            at_word, path, doc = where[own], path[own], doc[own]
+            del where, order, head, lost, own
             group = np.zeros(len(path), np.uint64)
             todo = np.arange(len(path))
             for i, k in enumerate(steps):
@@ -178,7 +178,8 @@ def _subtrees(tasks: int):
             return
         start = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
         least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.concatenate((start, [len(path)]))))
-        lost = doc > least
+        lost = np.flatnonzero(doc > least)
+        lost = lost[np.argsort(doc[lost], kind="stable")]
         out = _Outbox()
         out.put(_share(doc[lost], tasks), doc[lost], path[lost], True)
         yield from out.sent()
