@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import arrowtext as at
 
@@ -195,5 +196,5 @@ def score(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     ).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     model = learn(own.filter("doc_id is not null"), labels)
     names = ["doc_id", "held_out", *(["row"] if carry else [])]
-    fields = ["doc_id bigint", "held_out boolean", *([f"row {own.schema['row'].dataType.simpleString()}"] if carry else []), "score double", "predicted int"]
-    return own.select(*names, "text").mapInArrow(_score(model, names), ", ".join(fields))
+    schema = T.StructType([T.StructField(c, own.schema[c].dataType) for c in names]).add("score", "double").add("predicted", "integer")
+    return own.select(*names, "text").mapInArrow(_score(model, names), schema)

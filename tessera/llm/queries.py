@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, minhash, packing, phrases, quality, substring, urls
+from tessera.llm import embeddings, language, licenses, minhash, mixing, packing, phrases, quality, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +19,39 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def with_topic(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """docs with the label of the embedding of the same id as topic, null where there is none."""
+    topics = table(spark, sf_dir, "embeddings").filter("vec_id is not null").groupBy(F.col("vec_id").alias("__vec")).agg(F.min("label").cast("string").alias("topic"))
+    return docs.drop("topic").join(topics, F.col("doc_id") == F.col("__vec"), "left").drop("__vec")
+
+
+#: Shares in proportion to a power of the present ones, and the share of all tokens to keep.
+MIX = {"source": 0.7, "lang": 0.6, "topic": 0.8}
+MIX_SHARE = 0.6
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_topic(spark, sf_dir, table(spark, sf_dir, "documents"))
+    return mixing.sample(docs, list(MIX), MIX, MIX_SHARE).drop("row")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), window=1024, end_id=0)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join(F.array_distinct("licenses"), ",").alias("licenses"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), min_words=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -52,8 +77,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,

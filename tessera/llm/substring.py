@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import arrowtext as at
 from tessera.llm import cluster
@@ -267,5 +268,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False) ->
     hits = lost.repartition(tasks, "to").mapInArrow(_by_document, "doc_id bigint, hits binary")
     names = ["doc_id", *(["row"] if carry else [])]
     joined = keyed.join(hits, "doc_id", "left").select(*names, "text", "hits")
-    fields = ["doc_id bigint", *([f"row {joined.schema['row'].dataType.simpleString()}"] if carry else [])]
-    return joined.mapInArrow(_mark(min_words, names), ", ".join([*fields, "n_words bigint", "n_removed bigint", "spans array<struct<first: bigint, end: bigint>>", "kept_text string"]))
+    schema = T.StructType([T.StructField(c, joined.schema[c].dataType) for c in names])
+    spans = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
+    schema = schema.add("n_words", "long").add("n_removed", "long").add("spans", spans).add("kept_text", "string")
+    return joined.mapInArrow(_mark(min_words, names), schema)
