@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import any_of, canonical_key
+from tessera.functions.text import canonical_key
 
 # Fixed values. Spellings of one physical unit.
 UNIT_SPELLINGS = {
@@ -41,18 +43,21 @@ NUMBER = r"-?[0-9]+(?:[.,][0-9]+)?"
 _IN_HEADER = r"[,(]\s*([^,()]+?)\s*\)?$"
 
 
+def _one_of(names: tuple[str, ...]) -> str:
+    """A pattern for any of the names, so that a text is searched once."""
+    return "|".join("\\" + n if n in "$." else n.replace(".", "\\.") for n in names)
+
+
 def unit(c: Column) -> Column:
     """One spelling for each unit: lower case, no spaces, plain digits for superscripts."""
-    flat = F.translate(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s ]+", ""), "³²", "32")
-    known = F.lit(None).cast("string")
-    for spelling, name in UNIT_SPELLINGS.items():
-        known = F.when(flat == spelling, F.lit(name)).otherwise(known)
-    return F.coalesce(known, flat)
+    flat = F.translate(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s\x{a0}]+", ""), "³²", "32")
+    known = F.create_map(*(F.lit(x) for pair in UNIT_SPELLINGS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, flat), flat)
 
 
 def is_unit(c: Column) -> Column:
     low = F.lower(F.trim(c))
-    return (c != "") & (F.length(c) <= 20) & ~low.isin(*NOT_UNITS) & ~any_of([low.contains(x) for x in NOT_IN_UNITS]) & any_of([low.contains(x) for x in UNIT_PARTS])
+    return (c != "") & (F.length(c) <= 20) & ~low.isin(*NOT_UNITS) & ~low.rlike(_one_of(NOT_IN_UNITS)) & low.rlike(_one_of(UNIT_PARTS))
 
 
 def first_number(c: Column) -> Column:
@@ -69,42 +74,50 @@ def unit_of_header(header: Column) -> Column:
 
 def header_role(header: Column) -> Column:
     low = F.lower(header)
-    roles = (("unit", UNIT_HEADERS), ("value", VALUE_HEADERS), ("subject", SUBJECT_HEADERS))
-    role = F.lit("other")
-    for name, hints in reversed(roles):
-        role = F.when(any_of([low.contains(h) for h in hints]), name).otherwise(role)
-    return role
+    return F.when(low.rlike(_one_of(UNIT_HEADERS)), "unit").when(low.rlike(_one_of(VALUE_HEADERS)), "value").when(low.rlike(_one_of(SUBJECT_HEADERS)), "subject").otherwise("other")
 
 
 _FACTS = "array<struct<subject: string, subject_label: string, prop: string, value: double, unit: string>>"
 
 
-def row_facts(rows: DataFrame, headers: str = "headers", values: str = "values", out: str = "facts") -> DataFrame:
-    """rows with the facts of each table row as array<struct<subject, subject_label, prop, value, unit>>.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def row_facts(headers: Column, values: Column) -> Column:
+    """Facts of a table row as array<struct<subject, subject_label, prop, value, unit>>.
 
     With a subject column and a value column the row is one fact; else the first cell without a
-    number names the subject and each other cell with a number is a fact of its column. Each step is a
-    column of its own, so that no part is worked out twice.
+    number names the subject and each other cell with a number is a fact of its column.
     """
     cell = lambda x, i: F.struct(
         i.alias("i"), x["h"].alias("h"), x["v"].alias("v"), header_role(x["h"]).alias("role"), first_number(x["v"]).alias("n"),
         unit_of_header(x["h"]).alias("unit"), F.coalesce(F.nullif(canonical_key(F.trim(F.regexp_replace(x["h"], _IN_HEADER, ""))), F.lit("")), F.lit("value")).alias("prop"),
     )
     pairs = F.zip_with(headers, values, lambda h, v: F.struct(F.coalesce(h, F.lit("")).alias("h"), F.trim(F.coalesce(v, F.lit(""))).alias("v")))
-    first = lambda test: F.get(F.filter("__cells", test), F.lit(0))
-    of_role = lambda role: first(lambda x: x["role"] == role)
-    kept = rows.columns
-    rows = rows.withColumn("__pairs", pairs).withColumn("__cells", F.transform("__pairs", cell))
-    rows = rows.withColumns({"__subject": of_role("subject"), "__value": of_role("value"), "__unit": unit(of_role("unit")["v"]), "__name": first(lambda x: x["n"].isNull() & (x["v"] != ""))})
-    written = F.when(F.col("__unit") != "", F.when(is_unit(F.col("__unit")), F.col("__unit")).otherwise("")).otherwise(F.col("__value.unit"))
-    rows = rows.withColumns({"__written": written, "__label": F.when(F.col("__subject").isNotNull() & F.col("__value").isNotNull(), F.col("__subject.v")).otherwise(F.col("__name.v"))})
-    rows = rows.withColumn("__key", canonical_key(F.col("__label")))
-    fact = lambda prop, n, u: F.struct(F.col("__key").alias("subject"), F.col("__label").alias("subject_label"), prop.alias("prop"), n.alias("value"), u.alias("unit"))
-    named = F.coalesce(F.nullif(canonical_key(F.col("__value.h")), F.lit("")), F.lit("value"))
-    tall = F.when((F.col("__subject.v") != "") & F.col("__value.n").isNotNull(), F.array(fact(named, F.col("__value.n"), F.col("__written"))))
-    wide = F.transform(F.filter("__cells", lambda x: (x["i"] != F.col("__name.i")) & (F.trim(x["h"]) != "") & x["n"].isNotNull()), lambda x: fact(x["prop"], x["n"], x["unit"]))
-    found = F.when(F.col("__subject").isNotNull() & F.col("__value").isNotNull(), tall).when(F.col("__name").isNotNull(), wide)
-    return rows.withColumn(out, F.coalesce(found.cast(_FACTS), F.array().cast(_FACTS))).select(*kept, out)
+
+    def roles(cells: Column) -> Column:
+        first = lambda test: F.get(F.filter(cells, test), F.lit(0))
+        of_role = lambda role: first(lambda x: x["role"] == role)
+        return F.struct(cells.alias("cells"), of_role("subject").alias("subject"), of_role("value").alias("value"), unit(of_role("unit")["v"]).alias("unit"), first(lambda x: x["n"].isNull() & (x["v"] != "")).alias("name"))
+
+    def named(r: Column) -> Column:
+        tall = r["subject"].isNotNull() & r["value"].isNotNull()
+        label = F.when(tall, r["subject"]["v"]).otherwise(r["name"]["v"])
+        return F.struct(r.alias("r"), tall.alias("tall"), label.alias("label"), canonical_key(label).alias("key"))
+
+    def facts(x: Column) -> Column:
+        r = x["r"]
+        fact = lambda prop, n, u: F.struct(x["key"].alias("subject"), x["label"].alias("subject_label"), prop.alias("prop"), n.alias("value"), u.alias("unit"))
+        written = F.when(r["unit"] != "", F.when(is_unit(r["unit"]), r["unit"]).otherwise("")).otherwise(r["value"]["unit"])
+        whole = F.coalesce(F.nullif(canonical_key(r["value"]["h"]), F.lit("")), F.lit("value"))
+        one = F.when((x["label"] != "") & r["value"]["n"].isNotNull(), F.array(fact(whole, r["value"]["n"], written)))
+        columns = F.filter(r["cells"], lambda c: (c["i"] != r["name"]["i"]) & (F.trim(c["h"]) != "") & c["n"].isNotNull())
+        many = F.when(r["name"].isNotNull(), F.transform(columns, lambda c: fact(c["prop"], c["n"], c["unit"])))
+        return F.coalesce(F.when(x["tall"], one).otherwise(many).cast(_FACTS), F.array().cast(_FACTS))
+
+    return let(F.transform(pairs, cell), lambda cells: let(roles(cells), lambda r: let(named(r), facts)))
 
 
 def numbers_in(c: Column) -> Column:

@@ -21,6 +21,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b)))
 
 
+def unit(a: Column) -> Column:
+    """The vector at length 1; null for one without a direction."""
+    scaled = F.transform(F.array(F.struct(a.alias("v"), norm(a).alias("n"))), lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x.cast("double") / p["n"])))
+    return F.get(scaled, F.lit(0))
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 

@@ -21,7 +21,8 @@ def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
 
     Every unit is compared with every query where it lies; each task keeps k rows a query before the shuffle.
     """
-    scored = units.crossJoin(F.broadcast(queries.withColumnRenamed("vec", "q"))).select("query_id", "unit_id", V.cosine(F.col("q"), F.col("vec")).alias("score")).filter("score is not null")
+    ends = [f.withColumn(c, V.unit(F.col(c))).filter(f"{c} is not null") for f, c in ((units, "vec"), (queries.withColumnRenamed("vec", "q"), "q"))]
+    scored = ends[0].crossJoin(F.broadcast(ends[1])).filter("size(q) = size(vec)").select("query_id", "unit_id", V.dot(F.col("q"), F.col("vec")).alias("score"))
     return ranked(scored, k)
 
 
