@@ -20,7 +20,7 @@ from tessera.llm import cluster
 ROUNDS = 100
 CLOSE = 1e-9  # relative change of the weights at which raking stops
 MOST_CELLS = 200_000  # raked on the driver; more are raked as a table
-_NULL = "\x00"  # a null value of a dimension is a value of its own
+_NULL = "\ue000"  # a null value of a dimension is a value of its own, named by a private character
 
 
 def tokens(text: Column) -> Column:
@@ -115,7 +115,7 @@ def sample(docs: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[s
     values without a target get nothing. share is the share of all tokens to keep. Returns a row
     a row: doc_id, the dims as strings, weight (wanted tokens over present ones of the cell),
     probability, selected, and row, a struct of all columns of docs. A null in
-    dims is a value of its own, named `\\x00` in targets and null here. Texts without words have no tokens and their cell's
+    dims is a value of its own, named U+E000 in targets and null in the result. Texts without words have no tokens and their cell's
     chance. Rows that repeat a doc_id are kept or not together, and so are those with a null one.
     """
     keyed = docs.select(

@@ -60,7 +60,7 @@ class OpenWindows:
                 value = self.tree[2 * i] | self.tree[2 * i + 1]
 
     def add(self, remaining: int, first: int, n: int) -> None:
-        if remaining:
+        if remaining and n:
             self.ranges[remaining].append((first, n))
             self._set(remaining, 1)
 
@@ -104,30 +104,27 @@ def best_fit_decreasing(histogram: dict[int, int], window: int) -> list[Step]:
         rank, left = 0, histogram[length]
         while left:
             remaining = open_.tightest(length)
-            if remaining < 0:  # open as many windows as these items fill from empty
-                per = window // length
-                n = -(-left // per)
-                first, remaining, used = used, window, used + n
-                # The windows are new, so this is the same choice best fit makes item by item:
-                # a window just opened stays the tightest until it is full.
-                whole = left // per
-                for j in range(per):
-                    if whole:
-                        steps.append(Step(length, rank, whole, first, j * length))
-                        rank += whole
-                rest = left - whole * per
-                for j in range(rest):
-                    steps.append(Step(length, rank, 1, first + whole, j * length))
+            if remaining < 0:  # as many new windows as these items fill
+                remaining, n = window, -(-left // (window // length))
+                open_.add(window, used, n)
+                used += n
+            # A window stays the tightest until no other item fits, so it is filled before the next one.
+            per = remaining // length
+            first, n = open_.take(remaining, -(-left // per))
+            whole = min(n, left // per)
+            rest = left - whole * per if whole < n else 0
+            for j in range(per):
+                offset = window - remaining + j * length
+                if whole:
+                    steps.append(Step(length, rank, whole, first, offset))
+                    rank += whole
+                if j < rest:
+                    steps.append(Step(length, rank, 1, first + whole, offset))
                     rank += 1
-                open_.add(window - per * length, first, whole)
-                if rest:
-                    open_.add(window - rest * length, first + whole, 1)
-                left = 0
-                continue
-            first, n = open_.take(remaining, left)
-            steps.append(Step(length, rank, n, first, window - remaining))
-            open_.add(remaining - length, first, n)
-            rank, left = rank + n, left - n
+            open_.add(remaining - per * length, first, whole)
+            if rest:
+                open_.add(remaining - rest * length, first + whole, 1)
+            left -= whole * per + rest
     return steps
 
 

@@ -1,0 +1,494 @@
+"""The operators against brute force, and their defined results for odd rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import arrowtext as at
+from tessera.llm import cluster, embeddings, language, licenses, minhash, mixing, packing, phrases, quality, substring, urls
+
+DOCS = "doc_id bigint, text string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def corpus(n=120, seed=1):
+    """Texts with copies, near copies, a passage that many share, and odd ones."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) for _ in range(400)]
+    passage = [r.choice(words) for _ in range(60)]
+    out = []
+    for i in range(n):
+        own = [r.choice(words) for _ in range(r.randint(0, 90))]
+        kind = i % 6
+        if kind == 1 and out:
+            own = list(r.choice(out))
+        elif kind == 2 and out:
+            own = list(r.choice(out))
+            for _ in range(2):
+                if own:
+                    own[r.randrange(len(own))] = r.choice(words)
+        elif kind == 3:
+            at_ = r.randint(0, len(own))
+            own = own[:at_] + passage + own[at_:]
+        out.append(own)
+    texts = [r.choice([" ", "\n", "  "]).join(w) for w in out]
+    return [(i, t) for i, t in enumerate(texts)] + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "x" * 50_000), (n + 4, "One\u00a0word two")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def odd(spark):
+    """Null ids, repeated rows, and extra columns named like the operators' own."""
+    rows = [(None, "a b c", "x"), (1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, None, None), (3, "a b c d e f", "y")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, score string").withColumns({c: F.lit(1) for c in ("n_words", "component_id", "bands", "row", "held_out", "spot", "a", "b", "length", "lang", "source")})
+
+
+def test_words():
+    texts = [t for _, t in corpus()]
+    w = at.words(pa.array(texts), lower=True)
+    for i, t in enumerate(texts):
+        own = w.vocabulary.take(pa.array(w.codes[w.first[i] : w.first[i + 1]])).to_pylist()
+        assert [x.decode() for x in own] == WORD.findall((t or "").translate(LOWER))
+    sliced = at.words(pa.array(texts).slice(3, 7))
+    assert len(sliced.first) == 8
+
+
+def test_batches_keep_all_rows():
+    table = pa.table({"text": pa.array(["x" * n for n in (1, 50, 3, 200, 1, 1)])})
+    parts = list(at.batches(iter(table.to_batches(max_chunksize=4)), "text", 60))
+    assert [len(x) for p in parts for x in p.column("text").to_pylist()] == [1, 50, 3, 200, 1, 1]
+    assert all(sum(map(len, p.column("text").to_pylist())) <= 60 or p.num_rows == 1 for p in parts)
+
+
+def test_components(spark):
+    r = random.Random(3)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, x) for x in range(5001, 5200)] + [(7, 7)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    got = {x.id: x.component_id for x in cluster.components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7)).collect()}
+    linked = {v for a, b in pairs if a != b for v in (a, b)}
+    assert got == {v: top(v) for v in linked}
+    assert cluster.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# --- 1 ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sizes", [{}, {"leaf": 60, "block": 25}])
+def test_embeddings(spark, sizes):
+    rng = np.random.default_rng(0)
+    base = rng.standard_normal((200, 16))
+    near = base[rng.integers(0, 200, 150)] + 0.18 * rng.standard_normal((150, 16))
+    x = np.concatenate((base, near, near[:20], base[:5] * 3)).astype(np.float32)
+    labels = [int(i) % 2 for i in range(len(x))]
+    rows = [(i, v.tolist(), l) for i, (v, l) in enumerate(zip(x, labels, strict=True))]
+    n = len(rows)
+    rows += [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] * 16, 0), (n + 3, x[0].tolist(), None), (n + 4, [1.0, 2.0], 0), (n + 5, [], 0), (None, x[0].tolist(), 0), (n + 6, [None] + [1.0] * 15, 0)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"), **sizes).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near_ = (u @ u.T >= 0.93) & (np.array(labels)[:, None] == np.array(labels)[None, :])
+    np.fill_diagonal(near_, False)
+    part = np.arange(n)
+    while True:
+        new = np.minimum(part, np.where(near_, part[None, :], n).min(axis=1))
+        if (new == part).all():
+            break
+        part = new
+    assert near_.sum() > 100
+    for i in range(n):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (near_[i].sum(), part[i], part[i] == i)
+    for i in range(n, n + 7):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert None not in got and len(got) == n + 7
+
+
+def test_embeddings_empty(spark):
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
+def test_least_count():
+    assert embeddings.least_count(32, 1.0, 1e-6) == 32
+    assert 0 < embeddings.least_count(32, 0.95, 1e-6) < 32
+
+
+# --- 2 ----------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark, docs, empty):
+    rows = sorted(corpus(), key=lambda r: -r[0])
+    texts = [t or "" for _, t in rows]
+    got = {r.doc_id: r for r in phrases.edit_fingerprints(docs).collect()}
+    assert len(got) == len(rows)
+    for j, (i, _) in enumerate(rows):
+        here, after = texts[j], texts[(j + 1) % len(texts)]
+        k = len(here) // 3
+        assert got[i].n_chars == len(here)
+        assert got[i].edited_sha256 == hashlib.sha256((here[: len(here) - k] + after[:k]).encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    by_text = defaultdict(set)
+    for i, t in rows:
+        by_text[t or ""].add(got[i].fingerprint)
+    assert all(len(v) == 1 for v in by_text.values())
+    assert phrases.edit_fingerprints(empty).count() == 0
+    alone = phrases.edit_fingerprints(spark.createDataFrame([(5, "abcdef")], DOCS)).first()
+    assert alone.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and alone.near_next == 1.0
+    assert phrases.edit_fingerprints(odd(spark)).count() == 4
+
+
+def test_phrases_do_not_depend_on_the_offset():
+    r = random.Random(0)
+    text = "".join(r.choice("abcdefgh ") for _ in range(6000))
+    a, b, c = phrases.sketches(pa.array([text, "qq" + text, "".join(r.choice("abcdefgh ") for _ in range(6000))]))
+    assert phrases.likeness(a, b) > 0.9 and phrases.likeness(a, c) < 0.1
+    half = text[:3000] + "".join(r.choice("abcdefgh ") for _ in range(3000))
+    assert 0.15 < phrases.likeness(a, phrases.sketches(pa.array([half]))[0]) < 0.55  # a third of the union
+
+
+# --- 3 ----------------------------------------------------------------------------------------------------------
+
+
+def test_rake_meets_its_marginals():
+    rng = np.random.default_rng(0)
+    codes = [rng.integers(0, 4, 60), rng.integers(0, 3, 60)]
+    counts = rng.integers(1, 50, 60)
+    goals = [np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.25, 0.25])]
+    w = mixing.rake(counts, codes, goals, 1000)
+    for code, goal in zip(codes, goals, strict=True):
+        assert np.allclose(np.bincount(code, w) / w.sum(), goal, atol=1e-6)
+
+
+def test_mixing(spark, empty):
+    r = random.Random(0)
+    rows = [(i, "w " * r.randint(1, 30), r.choice(["a", "a", "a", "b", None]), r.choice(["en", "en", "de"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").withColumn("weight", F.lit("mine"))
+    goals = {"source": {"a": 0.4, "b": 0.4, "\ue000": 0.2}, "lang": 0.5}
+    out = mixing.sample(df, ["source", "lang"], goals, 0.3).cache()
+    assert out.count() == 3000 and out.first().row.weight == "mine"
+    tokens = dict(zip((x[0] for x in rows), (len(x[1].split()) for x in rows), strict=True))
+    expected = sum(x.probability * tokens[x.doc_id] for x in out.collect())
+    assert abs(expected / sum(tokens.values()) - 0.3) < 1e-6
+    kept = out.filter("selected").collect()
+    share = Counter()
+    for x in kept:
+        share[x.source] += tokens[x.doc_id]
+    assert abs(share["a"] / sum(share.values()) - 0.4) < 0.08 and None in share
+    table = {x.doc_id: x for x in mixing.sample(df, ["source", "lang"], goals, 0.3, most_cells=1).collect()}
+    for x in out.collect():
+        assert math.isclose(table[x.doc_id].probability, x.probability, rel_tol=1e-5)
+    assert mixing.sample(empty.withColumn("source", F.lit("a")), ["source"], {"source": 1.0}, 0.5).count() == 0
+    assert mixing.sample(odd(spark), ["source"], {"source": 1.0}, 1.0).filter("selected").count() == 5
+
+
+# --- 4 ----------------------------------------------------------------------------------------------------------
+
+
+def test_best_fit_decreasing_is_item_by_item_best_fit():
+    r = random.Random(0)
+    for _ in range(30):
+        window = r.choice([16, 50, 64])
+        items = [r.randint(1, window) for _ in range(r.randint(1, 200))]
+        bins = []
+        for x in sorted(items, reverse=True):
+            fits = [i for i, b in enumerate(bins) if b >= x]
+            if fits:
+                bins[min(fits, key=lambda i: bins[i])] -= x
+            else:
+                bins.append(window - x)
+        steps = packing.best_fit_decreasing(Counter(items), window)
+        fill = defaultdict(list)
+        for s in steps:
+            for k in range(s.n):
+                fill[s.sequence + k].append((s.offset, s.length))
+        assert sum(s.n for s in steps) == len(items) and len(fill) == len(bins)
+        assert sorted(window - sum(n for _, n in v) for v in fill.values()) == sorted(bins)
+        for v in fill.values():
+            end = 0
+            for offset, n in sorted(v):
+                assert offset == end
+                end += n
+
+
+def test_packing(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    got = packing.pack(docs, TOKENIZER).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for i, text in corpus():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at_ = 0
+        for r in sorted(by_doc[i], key=lambda r: r.start):
+            assert r.start == at_ and r.doc_tokens == len(ids)
+            at_ += r.length
+            assert r.ids_crc32 == zlib.crc32(ids[r.start : at_].tobytes())
+        assert at_ == len(ids)
+    for rows in by_sequence.values():
+        end = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == end
+            end += r.length
+        assert end <= 1024
+    assert packing.pack(empty, TOKENIZER).count() == 0
+    assert packing.pack(odd(spark), TOKENIZER).count() == 5
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    t.encode_special_tokens = True
+    r = random.Random(1)
+    signs = " \t\n\x0b  ab,'s1é́中<|endoftext|>\r\u00a0\u2003"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", " ", "\n\n", "<|endoftext|>", None]
+    ids, n = packing._Encoder(TOKENIZER)(pa.array(texts))
+    for own, text in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True):
+        assert own.tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
+# --- 5 ----------------------------------------------------------------------------------------------------------
+
+
+def test_licenses(spark, empty):
+    s = licenses.SENTENCES
+    mit = ". ".join(s[k] for k in ("mit-grant", "mit-notice", "mit-asis", "mit-liability"))
+    apache = "\n".join((s["apache2-the-license"] + ";", s["apache2-comply"] + ".", "You may obtain a copy of the License at", "  http://www.apache.org/licenses/LICENSE-2.0", "", s["apache2-asis"] + ".", s["apache2-limits"] + "."))
+    rows = [
+        (1, "Some text.\nReleased under the MIT License."), (2, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit + "."), (3, apache), (4, None), (5, ""),
+        (6, "The licence of the words released under the sun."), (7, "LICENSED UNDER CC BY-NC 4.0!\nwords\nLicensed under the Apache License, Version 2.0."), (8, "Copyright is a long story"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1].licenses == ["MIT"] and got[2].licenses == ["MIT"] and got[3].licenses == ["Apache-2.0"]
+    assert got[2].sentence_ids[:2] == ["mit-name-plain", "copyright"]
+    assert got[7].licenses == ["CC-BY-NC-4.0", "Apache-2.0"]
+    assert all(got[i].licenses == [] and got[i].n_sentences == 0 for i in (4, 5, 6, 8))
+    text = rows[0][1]
+    assert text[got[1].spans[0].start : got[1].spans[0].end] == "Released under the MIT License."
+    assert licenses.scan(empty).count() == 0 and licenses.scan(odd(spark)).count() == 5
+
+
+# --- 6 ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k", [1, 5, 13])
+def test_substrings(spark, docs, empty, k, monkeypatch):
+    monkeypatch.setattr(substring, "GROUP", 50)  # prefixes are extended
+    words = {i: WORD.findall(t or "") for i, t in corpus()}
+    owner = {}
+    for i, w in sorted(words.items()):
+        for j in range(len(w) - k + 1):
+            owner.setdefault(tuple(w[j : j + k]), i)
+    got = {r.doc_id: r for r in substring.remove_repeats(docs, k).collect()}
+    assert len(got) == len(words)
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for j in range(len(w) - k + 1):
+            if owner[tuple(w[j : j + k])] < i:
+                gone[j : j + k] = [True] * k
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+        assert sum(s.end - s.first for s in got[i].spans) == sum(gone)
+    assert substring.remove_repeats(empty, k).count() == 0
+
+
+def test_substrings_odd_rows(spark):
+    got = substring.remove_repeats(odd(spark), 3, carry=True).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_removed) for r in got] == [(None, 0), (1, 0), (1, 0), (2, 0), (3, 6)]
+    assert got[-1].row.score == "y" and got[-1].row.n_words == 1
+
+
+# --- 7 ----------------------------------------------------------------------------------------------------------
+
+
+def test_automaton_knows_all_substrings():
+    r = random.Random(0)
+    sample = "".join(r.choice("abc ") for _ in range(300))
+    model = language.learn({"x": [sample]})
+    own = " ".join([sample])[: language.SAMPLE_CHARS].lower()
+
+    def parse(text):
+        n = i = 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[i : j + 1] in own:
+                j += 1
+            n, i = n + 1, max(j, i + 1)
+        return n
+
+    texts = ["".join(r.choice("abc ") for _ in range(r.randint(1, 300))) for _ in range(40)]
+    phrases_, spoken = language.parse(model, texts)
+    assert phrases_[:, 0].tolist() == [parse(t) for t in texts]
+    assert spoken.tolist() == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_language(spark, empty):
+    r = random.Random(0)
+    sound = {"aa": "ka la ma na ti to".split(), "bb": "schu zwi fro gla pfe".split()}
+    say = lambda lang, n: " ".join("".join(r.choice(sound[lang]) for _ in range(2)) for _ in range(n))
+    rows = [(i, say(lang := ("aa", "bb")[i % 2], r.randint(5, 60)), lang, "s") for i in range(200)]
+    rows += [(900, None, "aa", "s"), (901, "", "aa", "s"), (902, "12 ... 3", "aa", "s"), (903, say("bb", 3000), None, "s"), (None, say("aa", 9), None, "s"), (904, "中文", None, "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string")
+    got = {x.doc_id: x for x in language.identify(df).collect()}
+    assert len(got) == len(rows)
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(200))
+    assert np.mean([got[i].lang_pred == ("aa", "bb")[i % 2] for i in held]) == 1
+    assert got[903].lang_pred == "bb" and got[904].lang_pred in ("aa", "bb") and got[None].lang_pred == "aa"
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (900, 901, 902))
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert language.identify(empty.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+    assert {x.lang_pred for x in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+# --- 8 ----------------------------------------------------------------------------------------------------------
+
+
+def shingles(text, k):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def brute_components(rows, k):
+    sets = {i: shingles(t, k) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                p, q = top(a), top(b)
+                root[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+def test_minhash(spark, docs, empty):
+    want = brute_components(corpus(), 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, k=4).collect()}
+    assert got == want and len({c for _, c in want.values()}) < len(want)
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_minhash_of_a_dense_group(spark, monkeypatch):
+    """Near copies of one text, most of them unlike each other just below or above the similarity."""
+    monkeypatch.setattr(minhash, "FEW", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3])):
+            own[r.randrange(60)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    want = brute_components(rows, 3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), k=3).collect()}
+    assert 1 < len({c for _, c in want.values()}) < 150
+    assert got == want
+
+
+def test_minhash_odd_rows(spark):
+    got = minhash.near_duplicates(odd(spark), k=4).orderBy("doc_id").collect()
+    assert [(x.doc_id, x.component_id) for x in got] == [(1, 1), (1, 1), (2, 2), (3, 1)]
+
+
+def test_sketches_fill_and_estimate():
+    rng = np.random.default_rng(0)
+    for n in (1, 3, 50, 5000):
+        common, own = rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(0, 2**63, (2, n // 4)).astype(np.uint64)
+        a, b = (np.sort(np.concatenate((common, x))) for x in own)
+        s = minhash.sketch(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), 252)
+        assert (s != minhash._EMPTY).all()
+        assert abs((s[0] == s[1]).mean() - n / (n + 2 * (n // 4))) < 0.15
+
+
+# --- 9 ----------------------------------------------------------------------------------------------------------
+
+
+def test_quality(spark, empty):
+    r = random.Random(0)
+    good = lambda: " ".join("".join(r.choice("aeioulmnrst") for _ in range(r.randint(2, 8))) for _ in range(r.randint(10, 60))) + "."
+    junk = lambda: " ".join(r.choice(["WIN!!", "CLICK!!", "$$$", "###", "x|y"]) + r.choice("!?%") for _ in range(r.randint(5, 40)))
+    rows = [(i, good() if i % 3 else junk()) for i in range(400)] + [(900, None), (901, ""), (902, "word " * 20_000), (None, good())]
+    df = spark.createDataFrame(rows, DOCS).withColumn("quality", F.lit("mine"))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)] + [(5000, 1, 0), (None, 1, 0), (3, None, 0), (6, 7, 0)], "doc_id bigint, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.score(df, labels, carry=True).collect()}
+    assert len(got) == len(rows) and got[1].row.quality == "mine"
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([got[i].predicted == int(i % 3 > 0) for i in held]) > 0.95
+    assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in got.values())
+    assert got[900].score == got[901].score
+    assert quality.score(empty, labels).count() == 0
+    assert quality.score(df, labels.limit(0)).filter("predicted = 1").count() == len(rows)
+
+
+def test_labels_of_held_out_ids_do_not_matter(spark):
+    rows = [(i, f"word{i % 7} other{i % 5} more{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, DOCS)
+    scores = []
+    for flip in (0, 1):
+        labels = [(i, (i % 2) ^ (flip if zlib.crc32(str(i).encode()) % 5 == 0 else 0)) for i in range(100)]
+        scores.append({x.doc_id: x.score for x in quality.score(df, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()})
+    assert scores[0] == scores[1]
+
+
+# --- 10 ---------------------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    rows = [
+        (1, "http://A.ORG/x?y"), (2, None), (3, "no scheme"), (4, "x://example.org/es/1"), (5, "http://m.example.org/en/1234"), (6, "http://badexample.org/en/1"), (7, "http://a.com"),
+        (8, "http://a.com/fr/1"), (9, "http://a.com/de/2#x"), (10, "http://a.net?q=1"), (11, "http://org?x"), (12, ""), (13, "a://b://c/d"), (None, "http://x.net/a"), (14, "http://x.net/" + "s/" * 5000), (1, "http://A.ORG/x?y"),
+    ]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("mine"))).collect()}
+    rule = {i: (got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(1, 14)}
+    assert rule == {
+        1: ("a.org", "/x", "org/", "allow"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("example.org", "/es/1", "example.org/es/", "block"), 5: ("m.example.org", "/en/1234", "example.org/en/1", "block"),
+        6: ("badexample.org", "/en/1", "org/", "allow"), 7: ("a.com", "", None, "allow"), 8: ("a.com", "/fr/1", "com/fr/", "allow"), 9: ("a.com", "/de/2", "com/de/", "block"), 10: ("a.net", "", None, "allow"),
+        11: ("org", "", None, "allow"), 12: ("", "", None, "allow"), 13: ("b:", "//c/d", None, "allow"),
+    }
+    assert urls.judge(spark.createDataFrame([], "page_id bigint, url string")).count() == 0
+
+
+def test_impure_templates_are_rejected(spark):
+    rows = [(i, f"http://site.net/{('shop', 'news', 'wiki')[i % 3]}/{i}") for i in range(300)] + [(i, f"http://site.net/page{i}x/{'abc'[i % 3]}{i}") for i in range(300, 330)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(0, 300) if i % 5], "page_id bigint, bad boolean")
+    got = {r.page_id: r for r in urls.judge(pages, labels).collect()}
+    assert got[0].template == "/shop/*" and {got[i].verdict for i in range(0, 300, 3)} == {"block"}  # also the pages without a label
+    assert {got[i].verdict for i in range(300) if i % 3} == {"allow"}
+    assert got[300].template.startswith("/*") and got[300].verdict == "allow"

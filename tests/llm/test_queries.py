@@ -1,0 +1,61 @@
+"""The registered queries against their SQL twins, and the pipeline's stages."""
+
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import queries as q
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels"):
+        p = f"{sf}/{t}.parquet"
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p + '/*.parquet' if os.path.isdir(p) else p}')")
+    return c
+
+
+def plain(df: pd.DataFrame) -> list[tuple]:
+    return sorted(map(tuple, df[sorted(df.columns)].astype(str).to_numpy().tolist()))
+
+
+@pytest.mark.parametrize("name", sorted(q.ORACLES))
+def test_twin(spark, sf, duck, name):
+    assert plain(q.QUERIES[name](spark, sf).toPandas()) == plain(duck.execute(q.ORACLES[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - set(q.ORACLES)))
+def test_one_row_a_document(spark, sf, name):
+    df = q.QUERIES[name](spark, sf).toPandas()
+    key, source = {"op1": ("vec_id", "embeddings"), "op10": ("page_id", "pages")}.get(name.split("_")[0], ("doc_id", "documents"))
+    assert set(df[key]) == {r[0] for r in q.table(spark, sf, source).select(key).collect()}
+    assert df[key].is_unique or name.startswith("op4")
+
+
+def test_stages(spark, sf):
+    docs = q.table(spark, sf, "documents").withColumn("extra", F.lit("kept")).cache()
+    names, n = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf).cache()
+        assert out.columns == names, name
+        assert out.select("doc_id").distinct().count() == out.count() <= n
+        assert out.join(docs, "doc_id", "left_anti").count() == 0 and out.first().extra == "kept"
+        docs, n = out, out.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == n > 0
+
+
+def test_stages_of_odd_rows(spark, sf):
+    rows = [(None, "a b", "en", "s", 3), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two three four five six", "en", "s", 27), (3, "one two three four five six", "en", "s", 27), (4, "One two three four five six", "de", "s", 27)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        out = stage(spark, docs, sf)
+        if at == 1:
+            assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "3", "None"]
+        assert out.count() <= 6
