@@ -81,7 +81,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     spark = edges.sparkSession
     stars = contracted(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a <> b").coalesce(max(1, partitions(spark))))
-    stars = cut(contracted(stars.repartition(partitions(spark), "b")))  # each row: a vertex and a smaller one
+    # Dealt by both ends, so that a hub's edges don't meet in one task. Each row: a vertex and a smaller one.
+    stars = cut(contracted(stars.repartition(partitions(spark), "a", "b")))
     while True:
         least = stars.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         # A vertex under several smaller ones links those with each other; a chain is cut short by one step.
@@ -91,5 +92,4 @@ def components(edges: DataFrame) -> DataFrame:
         step = cut(short.withColumn("link", F.lit(False)).unionByName(links.withColumn("moved", F.lit(True)).withColumn("link", F.lit(True))))
         if not step.filter("moved").limit(1).count():
             return step.select("a", "b").unionByName(step.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("id"), F.col("b").alias("component_id"))
-        # b is always the smaller vertex of short; links may point either way.
-        stars = contracted(step.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").repartition(partitions(spark), "b"))
+        stars = contracted(step.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").repartition(partitions(spark), "a", "b"))
