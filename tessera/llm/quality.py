@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,8 +168,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     prior = known.agg(F.avg("quality")).first()[0]
-    ranked = known.withColumn("i", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.filter(F.col("i") <= SAMPLE).select("doc_id", "quality")
+    # Each task keeps SAMPLE ids of a label at most, however common it is.
+    first = lambda label: known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    chosen = first(0).unionByName(first(1))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sparse, "doc_id bigint, quality int, terms binary, tf binary")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("terms", "tf", "quality")).alias("x")).select("doc_id", "x.*").orderBy("doc_id").collect()
     tf = np.zeros((len(rows), WIDTH), np.float32)
