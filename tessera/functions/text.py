@@ -102,10 +102,10 @@ def prefixes(c: Column) -> Column:
 
 
 def labelled(headers: Column, values: Column) -> Column:
-    """`header: value` of the cells that hold something, joined by ` | `."""
+    """`header: value` of the cells that have both, joined by ` | `."""
     cells = F.zip_with(headers, values, lambda h, v: F.struct(F.trim(h).alias("h"), F.trim(v).alias("v")))
-    full = F.filter(cells, lambda x: F.coalesce(x["v"], F.lit("")) != "")
-    return F.array_join(F.transform(full, lambda x: F.when(F.coalesce(x["h"], F.lit("")) != "", F.concat(x["h"], F.lit(": "), x["v"])).otherwise(x["v"])), " | ")
+    full = F.filter(cells, lambda x: (F.coalesce(x["h"], F.lit("")) != "") & (F.coalesce(x["v"], F.lit("")) != ""))
+    return F.array_join(F.transform(full, lambda x: F.concat(x["h"], F.lit(": "), x["v"])), " | ")
 
 
 def unlabelled(c: Column) -> Column:
