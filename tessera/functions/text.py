@@ -19,10 +19,10 @@ RU_ENDINGS = (
     "иями", "ями", "ами", "ого", "ему", "ими", "ыми", "иях", "ах", "ях", "ов", "ев", "ия", "ий", "ый", "ой", "ая", "ое",
     "ые", "ых", "ам", "ям", "ом", "ем", "ие", "ии", "и", "ы", "а", "я", "е", "у", "ю",
 )
-# Places and organisations that tell whose practice a document describes.
+# Places and organisations that tell whose practice a document describes. Names of companies are the caller's to add.
 RU_PLACES = (
-    "россия", "российск", "рф", "норильск", "мончегорск", "заполярн", "кольск", "гмк", "норникель", "nornickel",
-    "norilsk", "kola", "россии", "оао", "пао", "фгуп", "гипроникель", "санкт-петербург", "москва", "екатеринбург",
+    "россия", "российск", "рф", "норильск", "мончегорск", "заполярн", "кольск", "гмк", "norilsk", "kola", "россии",
+    "оао", "пао", "фгуп", "санкт-петербург", "москва", "екатеринбург",
 )
 FOREIGN_PLACES = (
     "finland", "aalto", "sweden", "norway", "canada", "sudbury", "long harbour", "australia", "china", "japan",
@@ -114,10 +114,10 @@ def unlabelled(c: Column) -> Column:
     return F.transform(pairs, lambda s: F.struct(F.trim(F.substring_index(s, ":", 1)).alias("header"), F.trim(F.substring(s, F.instr(s, ":") + F.lit(1), F.length(s))).alias("value")))
 
 
-def geography(c: Column) -> Column:
+def geography(c: Column, ru_places: tuple[str, ...] = RU_PLACES, foreign_places: tuple[str, ...] = FOREIGN_PLACES) -> Column:
     """ru, foreign, mixed or null: named places decide, else the script of more than 40 letters."""
     low = F.lower(c)
-    ru, foreign = (any_of([low.contains(p) for p in places]) for places in (RU_PLACES, FOREIGN_PLACES))
+    ru, foreign = (any_of([low.contains(p) for p in places]) for places in (ru_places, foreign_places))
     cyrillic, latin = (F.regexp_count(low, F.lit(p)) for p in ("[а-яё]", "[a-z]"))
     script = F.when(cyrillic + latin <= 40, None).when(cyrillic >= latin, "ru").otherwise("foreign")
     return F.when(ru & foreign, "mixed").when(ru, "ru").when(foreign, "foreign").otherwise(script)

@@ -722,6 +722,15 @@ def _events(spark, d):
     return ingest.event_time(spark.readStream.schema(_EVENTS).parquet(f"{d}/events.parquet*"), late="1 day")
 
 
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    """Sessions of a user's events that follow each other within two hours; the same operator runs on streams."""
+    events = ingest.event_time(A.table(spark, d, "events").select("user_id", "ts"))
+    return ingest.sessions(events, "user_id", "2 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("first"), "n")
+
+
 @query("SELECT event_id, user_id FROM events")
 def stream_ingest_dedup(spark, d):
     """Events by id: ids repeat within the watermark only, so each comes once."""

@@ -7,7 +7,7 @@ HEAD = "experiment_id,material,regime,temperature_c,duration_h,atmosphere,proper
 
 def test_ledger(spark, tmp_path):
     (tmp_path / "a.csv").write_text(HEAD + "exp_low,Ni-30Cu,aging,700,8,air,Vickers hardness,HV10,210,245,HV,increase\nexp_high,Ni-30Cu,aging,700,8,air,Vickers hardness,HV10,210,320,HV,increase\n")
-    (tmp_path / "report_2019.md").write_text("# Title\nNorilsk practice\n\nNi-30Cu gets harder\n")
+    (tmp_path / "report_2019.md").write_text("# Title\nKola practice\n\nNi-30Cu gets harder\n")
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     ledger.add_tables(str(tmp_path / "a.csv"))
     ledger.add_texts(str(tmp_path / "report_2019.md"), label="restricted")
@@ -15,7 +15,7 @@ def test_ledger(spark, tmp_path):
     listed = {r.title: r for r in ledger.sources().collect()}
     assert (listed["a.csv"].evidence_count, listed["a.csv"].measurement_count, listed["a.csv"].run_status) == (2, 2, "completed")
     assert (listed["report_2019.md"].evidence_count, listed["report_2019.md"].year, listed["report_2019.md"].geography) == (2, 2019, "ru")
-    assert [r.visible_text for r in ledger.evidence(listed["report_2019.md"].source_id).collect()] == ["Norilsk practice", "Ni-30Cu gets harder"]
+    assert [r.visible_text for r in ledger.evidence(listed["report_2019.md"].source_id).collect()] == ["Kola practice", "Ni-30Cu gets harder"]
 
     got = ledger.ask("твердость Ni-30Cu не более 250 HV")
     assert [r.experiment_id for r in got.experiments.collect()] == ["exp_low"]
