@@ -114,13 +114,14 @@ def _sparse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     idf: np.ndarray
+    mean: np.ndarray  # of the sample's rows; what all texts share doesn't make two of them alike
     axes: np.ndarray  # WIDTH x rank
     vectors: np.ndarray  # of the sample, unit rows
     labels: np.ndarray
     prior: float
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        v = x @ self.axes
+        v = (x - self.mean) @ self.axes
         return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
     def scores(self, tf: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ class Model:
             return np.full(len(tf), self.prior)
         v = self.latent(weighted(tf, self.idf))
         cosine = v @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
+        k = max(1, min(NEIGHBOURS, *(int((self.labels == y).sum()) for y in (0, 1))))  # no more than the rarer label has
         near = np.argpartition(cosine, -k, axis=1)[:, -k:]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** POWER
         total = weight.sum(axis=1)
@@ -140,14 +141,15 @@ class Model:
 def fit(tf: np.ndarray, labels: np.ndarray, df: np.ndarray, n: int, prior: float) -> Model:
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
     if not len(labels):
-        return Model(idf, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior)
+        return Model(idf, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior)
     x = weighted(tf, idf)
-    rank = min(RANK, *x.shape)
-    y = x @ np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, WIDTH)), dtype=np.float32)
+    mean = x.mean(axis=0)
+    rank, shifted = min(RANK, *x.shape), x - mean
+    y = shifted @ np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, WIDTH)), dtype=np.float32)
     for _ in range(4):  # subspace iteration
-        y, _r = np.linalg.qr(x @ (x.T @ np.linalg.qr(y)[0]))
-    axes = np.linalg.svd(y.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
-    model = Model(idf, np.ascontiguousarray(axes), np.zeros((0, rank), np.float32), labels.astype(np.float64), prior)
+        y, _r = np.linalg.qr(shifted @ (shifted.T @ np.linalg.qr(y)[0]))
+    axes = np.linalg.svd(y.T @ shifted, full_matrices=False)[2][:rank].T.astype(np.float32)
+    model = Model(idf, mean, np.ascontiguousarray(axes), np.zeros((0, rank), np.float32), labels.astype(np.float64), prior)
     model.vectors = model.latent(x)
     return model
 

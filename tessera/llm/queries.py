@@ -93,6 +93,24 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE v AS MATERIALIZED (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS MATERIALIZED (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (
+            SELECT vec_id, vec_id AS other FROM embeddings
+            UNION
+            SELECT reach.vec_id, l.b FROM reach JOIN l ON l.a = reach.other
+        ), c AS (
+            SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+        ), n AS (
+            SELECT a, count(*) AS n FROM l GROUP BY a
+        )
+        SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id
+    """,
     "op6_substring_dedup": rf"""
         WITH d AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
