@@ -33,8 +33,8 @@ from tessera.llm import cluster
 
 SLOT_BITS = 14
 GROUP = 500_000  # suffixes that one prefix may hold before it is extended
-TASK = 2_000_000  # suffixes that one task of the second pass gets
-BATCH_BYTES = 6_000_000
+TASK = 1_000_000  # suffixes that one task of the second pass gets
+BATCH_BYTES = 4_000_000
 
 
 def ladder(min_words: int) -> list[int]:
@@ -183,7 +183,9 @@ def _subtrees(tasks: int):
         lost = lost[np.argsort(doc[lost], kind="stable")]
         out = _Outbox()
         out.put(_share(doc[lost], tasks), doc[lost], path[lost], True)
+        del path, doc, least, order, same, inner
         yield from out.sent()
+        at.trim()
 
     return run
 
@@ -207,6 +209,8 @@ def _by_document(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lo in range(0, len(edge), 2048):
         a, b = edge[lo : lo + 2048], ends[lo : lo + 2048]
         yield pa.RecordBatch.from_arrays([pa.array(doc[a], pa.int64()), pa.array([path[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())], ["doc_id", "hits"])
+    del doc, path, order
+    at.trim()
 
 
 def _mark(min_words: int, names: list[str]):
