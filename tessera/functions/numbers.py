@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.core import let
 from tessera.functions.text import canonical_key
 
 # Fixed values. Spellings of one physical unit.
@@ -80,11 +79,6 @@ def header_role(header: Column) -> Column:
 _FACTS = "array<struct<subject: string, subject_label: string, prop: string, value: double, unit: string>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def row_facts(headers: Column, values: Column) -> Column:
     """Facts of a table row as array<struct<subject, subject_label, prop, value, unit>>.
 

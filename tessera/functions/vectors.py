@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.core import let
+
 DIMS = 32
 
 
@@ -18,13 +20,12 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Null for vectors without a direction or of unlike lengths."""
-    return F.when((F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0), dot(a, b) / (norm(a) * norm(b)))
+    return let(norm(a) * norm(b), lambda n: F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n))
 
 
 def unit(a: Column) -> Column:
     """The vector at length 1; null for one without a direction."""
-    scaled = F.transform(F.array(F.struct(a.alias("v"), norm(a).alias("n"))), lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda x: x.cast("double") / p["n"])))
-    return F.get(scaled, F.lit(0))
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def words(c: Column) -> Column:
@@ -36,13 +37,13 @@ def hash_embedding(c: Column, dims: int = DIMS) -> Column:
     axis = F.sequence(F.lit(0), F.lit(dims - 1))
     direction = lambda w: F.transform(axis, lambda i: F.pmod(F.xxhash64(w, i), F.lit(2001)) / 1000.0 - 1.0)
     total = F.aggregate(words(c), F.transform(axis, lambda i: F.lit(0.0)), lambda s, w: F.zip_with(s, direction(w), lambda x, y: x + y))
-    return F.transform(total, lambda x: F.when(norm(total) > 0, x / norm(total)).otherwise(0.0))
+    return let(total, lambda t: let(norm(t), lambda n: F.transform(t, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
 
 
 def sparse_counts(c: Column) -> Column:
     """map<term, count> of a text's words."""
-    own = words(c)
-    return F.map_from_arrays(F.array_distinct(own), F.transform(F.array_distinct(own), lambda w: F.size(F.filter(own, lambda x: x == w)).cast("double")))
+    count = lambda own: F.map_from_arrays(F.array_distinct(own), F.transform(F.array_distinct(own), lambda w: F.size(F.filter(own, lambda x: x == w)).cast("double")))
+    return let(words(c), count)
 
 
 def int8(v: Column, top: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, numbers
 from tessera.functions import text as T
-from tessera.operators import analytics, answers, graph, mutation, qa
+from tessera.operators import analytics, answers, graph, mutation, qa, retrieval
 from tessera.operators import relational as R
 from tessera.plans.schemas import LEDGER
 from tessera.sources import files
@@ -158,6 +158,7 @@ class Ledger:
 
     def ask(self, question: str, filters: dict[str, list[str]] | None = None, labels: list[str] | None = None, now_year: int = 2026) -> Answer:
         q = qa.compile_question(question, filters, labels, self.labels, now_year)
+        q.alloys |= self.aliased(question)
         meta = self.table("sources").select("source_id", "year", "geography")
         spans = self.table("evidence_spans").filter(F.col("security_label").isin(*q.labels))
         rows = self.experiments().join(meta, "source_id", "left").filter(qa.in_scope(q))
@@ -173,6 +174,27 @@ class Ledger:
         follow = qa.suggestions(seen, question) if some or not q.alloys else qa.closest_names(seen, sorted(q.alloys))
         return Answer(chosen, sentences, evidence, answers.relevant_conflicts(self.conflicts(), chosen, asks), analytics.verify_answers(shown, evidence, list(q.labels)), level, follow)
 
+    def aliased(self, question: str) -> set[str]:
+        """Materials that a question names by an alias, as compact names."""
+        written = sorted({m.lower() for m in qa.re.findall(r"(?<!\w)[a-zа-яё]{1,8}\d{1,3}[a-zа-яё0-9]*(?!\w)", question.lower())})
+        if not written:
+            return set()
+        hits = self.table("entity_aliases").filter(F.col("alias_norm").isin(written)).join(self.table("entities").filter("entity_type = 'material'"), "entity_id")
+        return {r.token for r in hits.select(T.compact(F.col("canonical_name")).alias("token")).distinct().collect() if r.token}
+
+    def retrieve(self, question: str, labels: list[str] | None = None, k: int = 10) -> DataFrame:
+        """Spans by words and vectors, best first."""
+        allowed = list(qa.compile_question(question, None, labels, self.labels).labels)
+        asked = self.spark.createDataFrame([(1, question)], "query_id int, question string")
+        spans = self.table("evidence_spans")
+        return retrieval.hybrid(asked, retrieval.units(spans, self.table("sources")), spans, allowed, k).orderBy("position")
+
+    def record(self, question: str, answer: Answer, latency_ms: int = 0) -> None:
+        """Adds a run with its counters; runs have ids of their own."""
+        counters = answer.verification.select(F.create_map(*(x for c in answer.verification.columns[1:] for x in (F.lit(c), F.col(c).cast("double")))).alias("verification"))
+        run = self.spark.range(1).select(F.expr("uuid()").alias("run_id"), F.lit(question).alias("question"), F.lit(latency_ms).alias("latency_ms"), F.current_timestamp().alias("created_at")).join(counters.limit(1), F.lit(True), "left")
+        self.commit({"answer_runs": self.table("answer_runs").unionByName(run, allowMissingColumns=True)})
+
     # --- graph and statistics -----------------------------------------------------------------------------------
 
     def entities(self) -> DataFrame:

@@ -91,3 +91,24 @@ def rerank(candidates: DataFrame, k: int) -> DataFrame:
 def rejoin(hits: DataFrame, spans: DataFrame, allowed: list[str]) -> DataFrame:
     """Hits with their spans, in the order of the hits, without spans whose label isn't allowed now."""
     return hits.join(spans.filter(F.col("security_label").isin(*allowed)), hits["unit_id"] == spans["span_id"])
+
+
+def units(spans: DataFrame, sources: DataFrame) -> DataFrame:
+    """What is indexed of spans: the source's title, a line end and the text, with the fields that searches filter by. Blank spans have no unit."""
+    own = spans.join(sources.select("source_id", "title"), "source_id").filter(F.trim("visible_text") != "")
+    return own.select(F.col("span_id").alias("unit_id"), F.concat_ws("\n", "title", "visible_text").alias("text"), "source_id", "security_label", "span_type")
+
+
+def hybrid(queries: DataFrame, indexed: DataFrame, spans: DataFrame, allowed: list[str], k: int = 10) -> DataFrame:
+    """The k best spans of each query (query_id, question) by words and hashed vectors together, reranked by their words.
+
+    Labels are filtered before both rankings, as no filter passes through them, and again when the hits meet the
+    spans as they are now. Both legs rank max(100, 5 k) units.
+    """
+    pool = max(100, 5 * k)
+    seen = indexed.filter(F.col("security_label").isin(*allowed))
+    dense = nearest(queries.select("query_id", V.hash_embedding(F.col("question")).alias("vec")), seen.select("unit_id", V.hash_embedding(F.col("text")).alias("vec")), pool)
+    terms = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("term"))
+    found = fuse([dense, bm25(terms, seen.select("unit_id", "text"), pool)], RERANK_POOL)
+    rows = rejoin(found, spans, allowed).join(queries, "query_id").withColumn("text", F.col("visible_text"))
+    return rerank(rows, k)

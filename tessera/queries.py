@@ -635,6 +635,14 @@ def lexical_rerank(spark, d):
     return retrieval.rerank(hits.join(docs, "unit_id").join(items, "query_id"), 10).select("query_id", "unit_id", F.round("lexical", 4).alias("lexical"), long("position", "position"))
 
 
+@query()
+def hybrid_search(spark, d):
+    spans = A.spans(spark, d).join(A.sources(spark, d).select("source_id", "title", "security_label"), "source_id").withColumn("span_type", F.lit("text"))
+    asked = A.table(spark, d, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    hits = retrieval.hybrid(asked, retrieval.units(spans.drop("title"), A.sources(spark, d)), spans, ["public", "internal"])
+    return hits.select("query_id", "span_id", long("position", "position"), F.round("lexical", 4).alias("lexical"))
+
+
 @query()
 def hash_embeddings(spark, d):
     items = A.table(spark, d, "benchmark").select("item_id", V.hash_embedding(F.col("text")).alias("vec"))

@@ -34,6 +34,12 @@ def test_ledger(spark, tmp_path):
     assert ledger.neighbourhood("mat_ni-30cu")[0].count() == 1 and ledger.by_type("material").count() == 1
     assert {r.security_label: r.n for r in ledger.statistics()["labels"].collect()} == {"internal": 1, "restricted": 1}
 
+    assert [r.experiment_id for r in ledger.ask("твердость МН30 не менее 300 HV").experiments.collect()] == ["exp_high"]
+    assert ledger.retrieve("who gets harder").first().visible_text == "Ni-30Cu gets harder"
+    assert ledger.retrieve("who gets harder", ["public"]).count() == 0
+    ledger.record("твердость?", got)
+    assert ledger.table("answer_runs").first().verification["citation_coverage"] == 1.0
+
     ledger.delete_source(listed["a.csv"].source_id)
     assert [r.title for r in ledger.sources().collect()] == ["report_2019.md"] and ledger.experiments().count() == 0
     assert ledger.table("entities").count() == 4  # dictionaries stay
