@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     that repeat a doc_id are one document: they get one component, joined by the links of
     any of their texts that is compared. An empty table gives an empty result.
     """
+    cluster.short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, low binary"
     signed = cluster.cut(docs.mapInArrow(_signatures(k, rows, bands), schema))

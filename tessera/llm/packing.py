@@ -241,6 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
     with a null doc_id, are documents of their own. An empty table gives no pieces.
     """
     spark = docs.sparkSession
+    cluster.short_batches(spark)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     pieces = cluster.cut(source.mapInArrow(_pieces(tokenizer, window, end_id), schema))

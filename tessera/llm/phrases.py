@@ -182,6 +182,7 @@ def edit_fingerprints(docs: DataFrame, levels: int = LEVELS, size: int = SIZE) -
     is its own next. Fingerprints are hex strings of sorted 32-bit values; empty texts have none.
     """
     spark = docs.sparkSession
+    cluster.short_batches(spark)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
     n = cluster.partitions(spark)
     # Some n ids on the driver, as a range partitioner holds them.

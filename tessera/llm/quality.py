@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import arrowtext as at
+from tessera.llm import cluster
 
 WORDS, SHAPES, PAIRS = 2560, 512, 1024  # hashed columns
 WIDTH = WORDS + SHAPES + PAIRS
@@ -192,6 +193,7 @@ def score(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     of all columns of docs. Null, empty and wordless texts, and all texts where nothing was
     learned, score the share of label 1. A null doc_id is not held out.
     """
+    cluster.short_batches(docs.sparkSession)
     own = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

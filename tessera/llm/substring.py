@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False) ->
     texts have no words. Rows with a null doc_id keep all words and take none from others.
     Rows that repeat a doc_id are parts of one document: they take nothing from each other.
     """
+    cluster.short_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     plain = keyed.select("doc_id", "text").filter("doc_id is not null and text is not null")
     counted = plain.mapInArrow(_count(min_words), "level int, slot int, n bigint").groupBy("level", "slot").agg(F.sum("n").alias("n"))
