@@ -16,7 +16,7 @@ together. Two trees over different directions make up for pairs that one of them
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, erf, sqrt
+from math import comb, erf, erfc, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ from tessera.llm import cluster
 DIRECTIONS = 32
 WIDTH = 2.0  # of a window to each side, in standard deviations of a pair at the threshold
 ROUTE_WIDTH = 2.7  # the same for the trees
-MISSED = 1e-6  # share of pairs at the threshold that the count may lose
+GATHER_WIDTH = 5.0  # the same for the window that candidates come from: no other direction makes up for it
+MISSED = 1e-6  # share of pairs at the threshold that the window for candidates and the count may lose
 LEAF = 8192
 BLOCK = 4096  # rows of each side of a task's work
 ROUTES = 32  # directions for the trees, half for each
@@ -72,32 +73,29 @@ def near_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.
     """Pairs (smaller id, larger id) of unit rows of x and other with at least that cosine."""
     apart = sqrt(2 - 2 * cosine)
     w = WIDTH * apart
-    need = least_count(DIRECTIONS, erf(WIDTH / sqrt(2)), MISSED)
+    need = least_count(DIRECTIONS, erf(WIDTH / sqrt(2)), MISSED - erfc(GATHER_WIDTH / sqrt(2)))
     a = _directions(x.shape[1], DIRECTIONS, 0)
     mine, theirs = x @ a, other @ a
     by = np.argsort(theirs[:, 0], kind="stable")
     theirs, other, other_ids = np.ascontiguousarray(theirs[by].astype(np.float32).T), other[by], other_ids[by]
     by = np.argsort(mine[:, 0], kind="stable")
     x, ids, mine = x[by], ids[by], np.ascontiguousarray(mine[by].astype(np.float32).T)
-    w = np.float32(w)
-    half = DIRECTIONS // 2
+    w, gather = np.float32(w), np.float32(GATHER_WIDTH * apart)
     out_a, out_b = [], []
     for lo in range(0, len(ids), 64):
         own = slice(lo, lo + 64)
-        first = int(np.searchsorted(theirs[0], mine[0, lo] - w))
-        last = int(np.searchsorted(theirs[0], mine[0, own][-1] + w, "right"))
+        first = int(np.searchsorted(theirs[0], mine[0, lo] - gather))
+        last = int(np.searchsorted(theirs[0], mine[0, own][-1] + gather, "right"))
         if last <= first:
             continue
         count = np.zeros((len(ids[own]), last - first), np.uint8)
-        for i in range(half):
-            count += np.abs(mine[i, own][:, None] - theirs[i, first:last][None, :]) <= w
-        q, o = np.nonzero(count >= max(0, need - (DIRECTIONS - half)))  # the others can no longer reach the count
-        total = count[q, o].astype(np.int64)
+        gap, near = np.empty(count.shape, np.float32), np.empty(count.shape, bool)
+        for i in range(DIRECTIONS):
+            np.subtract(mine[i, own][:, None], theirs[i, first:last][None, :], out=gap)
+            np.less_equal(np.abs(gap, out=gap), w, out=near)
+            count += near
+        q, o = np.nonzero(count >= need)
         q, o = q + lo, o + first
-        for i in range(half, DIRECTIONS):
-            total += np.abs(mine[i][q] - theirs[i][o]) <= w
-        reach = total >= need
-        q, o = q[reach], o[reach]
         for at in range(0, len(q), 100_000):
             p, r = q[at : at + 100_000], o[at : at + 100_000]
             good = np.einsum("ij,ij->i", x[p], other[r]) >= cosine

@@ -130,6 +130,19 @@ def test_embeddings(spark, sizes):
     assert None not in got and len(got) == n + 7
 
 
+def test_embeddings_of_a_large_label_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 2000, 64)))
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    c = rng.uniform(0.9301, 0.95, 2000)[:, None]
+    v = np.concatenate((x, c * x + np.sqrt(1 - c * c) * y))
+    links = (v @ v.T >= 0.93).sum(axis=1) - 1
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id bigint, embedding array<double>, label int")).collect()
+    assert [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == links.tolist()
+    assert {(r.vec_id, r.component_id) for r in got} == {(i, i % 2000) for i in range(4000)}
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
