@@ -2,9 +2,9 @@
 
 Segments of a path are the levels of the host's tree. Digits in a segment always vary, so a
 segment is first reduced to its shape (each run of digits becomes one `#`). At each node a
-segment stays a branch of its own only if it is frequent there and its labelled pages differ
-from those of its siblings (two-proportion z); rare branches and branches
-that are statistically alike merge into the wildcard `*`. Leaves are templates. A template's
+segment stays a branch of its own if its labelled pages differ from those of its siblings
+(two-proportion z), however small its share of the pages is; branches that are statistically
+alike, and those with too few pages or labels to tell, merge into the wildcard `*`. Leaves are templates. A template's
 purity is its share of good labelled pages, smoothed to its host's share and that to the
 share of all; templates below LEAST_PURITY are rejected. Explicit rules go first.
 
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import cluster
 
 DEPTH = 8  # levels of the tree; what is deeper is one more segment
-FREQUENT = 0.02  # share of a node's pages that a branch needs
-SUPPORT = 5  # and pages
+SUPPORT = 5  # pages that a branch needs
 DIFFERENT = 1.96  # standard errors between a branch and its siblings
 LEAST_LABELS = 10  # of a branch that may differ
 SMOOTHING = 10.0  # labels that a parent's share counts for
@@ -68,12 +67,18 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     levels = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for i in range(levels):
         here = tree.withColumn("segment", F.get("segments", F.lit(i)))
-        branch = here.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-        node = branch.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
-        share = F.col("all_bad") / F.col("all_labelled")
-        z = F.abs(F.col("bad") / F.col("labelled") - share) / F.sqrt(share * (1 - share) / F.col("labelled"))
-        own = (F.col("n") >= SUPPORT) & (F.col("n") >= FREQUENT * F.col("all_n")) & (F.col("labelled") >= LEAST_LABELS) & F.when((F.col("labelled") > 0) & (share > 0) & (share < 1), z >= DIFFERENT).otherwise(False)
-        named = branch.join(node, ["host", "template"]).filter(own).select("host", "template", "segment", F.lit(True).alias("own"))
+        left = cluster.cut(here.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
+        named = left.select("host", "template", "segment", F.lit(True).alias("own")).limit(0)
+        while True:  # what leaves the wildcard moves its share, so the others are tested again
+            node = left.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")))
+            share = F.col("all_bad") / F.col("all_labelled")
+            z = F.abs(F.col("bad") / F.col("labelled") - share) / F.sqrt(share * (1 - share) / F.col("labelled"))
+            own = (F.col("n") >= SUPPORT) & (F.col("labelled") >= LEAST_LABELS) & F.when((F.col("labelled") > 0) & (share > 0) & (share < 1), z >= DIFFERENT).otherwise(False)
+            unlike = cluster.cut(left.join(node, ["host", "template"]).filter(own).select("host", "template", "segment", F.lit(True).alias("own")))
+            if not unlike.limit(1).count():
+                break
+            named = named.unionByName(unlike)
+            left = cluster.cut(left.join(unlike, ["host", "template", "segment"], "left_anti"))
         tree = here.join(named, ["host", "template", "segment"], "left").withColumn(
             "template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("segment")).otherwise(F.lit("*"))))
         ).drop("segment", "own")

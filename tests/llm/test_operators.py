@@ -505,3 +505,25 @@ def test_impure_templates_are_rejected(spark):
     assert got[0].template == "/shop/*" and {got[i].verdict for i in range(0, 300, 3)} == {"block"}  # also the pages without a label
     assert {got[i].verdict for i in range(300) if i % 3} == {"allow"}
     assert got[300].template.startswith("/*") and got[300].verdict == "allow"
+
+
+def test_rare_unlike_directories_keep_their_templates(spark):
+    rows = [(i, f"http://hot.net/{'rare' if i % 100 == 0 else 'mid' if i % 100 in (1, 2) else 'main' if i % 100 < 70 else f'x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'}/{i}") for i in range(6000)]
+    rows += [(i, f"http://cold.net/{'rare' if i % 100 == 0 else 'main'}/{i}") for i in range(10_000, 16_000)]
+    kind = lambda url: url.split("/")[3]
+    # hot.net: main and rare are bad, mid is bad in about the share of the whole node, the others are good. cold.net: rare is good, main bad.
+    bad = lambda i, url: kind(url) == "main" or (kind(url) == "rare" and i < 10_000) or (kind(url) == "mid" and i // 100 % 3 > 0)
+    marks = [(i, bad(i, u)) for i, u in rows if kind(u) in ("main", "rare", "mid") or i % 3 == 0]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(marks, "page_id bigint, bad boolean"), []).collect()}
+    verdicts = {(i < 10_000, kind(u) if kind(u) in ("main", "rare", "mid") else "*"): set() for i, u in rows}
+    for i, u in rows:
+        verdicts[i < 10_000, kind(u) if kind(u) in ("main", "rare", "mid") else "*"].add(got[i].verdict)
+    assert verdicts == {(True, "main"): {"block"}, (True, "rare"): {"block"}, (True, "mid"): {"block"}, (True, "*"): {"allow"}, (False, "rare"): {"allow"}, (False, "main"): {"block"}}
+
+
+def test_more_than_fifty_directories_of_a_node_keep_their_templates(spark):
+    name = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    rows = [(i, f"http://many.net/{name(i % 120)}/{i}") for i in range(120 * 20)]
+    labels = [(i, i % 120 < 60) for i, _ in rows]
+    got = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad boolean"), []).collect()
+    assert {r.page_id for r in got if r.verdict == "block"} == {i for i, b in labels if b}
