@@ -6,12 +6,13 @@ few. Phrases cost log2(sample length) bits each, and the language with the fewes
 
 The automaton steps are table lookups, so a batch of texts is parsed in lock-step: texts
 are cut into lanes of a fixed length that are parsed side by side, all of them whole.
+Every letter of any sample is a symbol. The tables are sparse, so that scripts of thousands of
+letters cost no more than others: rows of transitions lie over each other in one array.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,11 +29,8 @@ SAMPLE_CHARS = 30_000  # of labelled text that a language is learned from
 SAMPLE_TEXTS = 64  # that it may come from
 LONGEST = 20_000  # code points of a text in the sample
 MOST_LANGUAGES = 100
-SYMBOLS = 60
 
 _UNKNOWN, _PAD, _GAP = 0, 1, 2  # symbols: not in any sample; after a lane's end; all but letters
-_FAIL = np.int32(-(1 << 31))
-_REST = np.int32((1 << 31) - 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,52 +38,91 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+@dataclass
+class Table:
+    """Transitions of an automaton. A state is the place of its row; its step by a symbol lies that much further."""
+
+    steps: np.ndarray  # (next state, state whose step it is, or -1) by place
+    start: np.ndarray  # state after a symbol alone, the root where it does not occur
+    root: int
+
+
 @dataclass
 class Model:
     names: list[str]
     symbol: np.ndarray  # of each code point
     letter: np.ndarray  # whether each code point is one
-    tables: list[np.ndarray]
+    tables: list[Table]
     bits: list[float]  # of a phrase
-    width: int
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton, state * width + symbol -> next state * width.
-
-    A step that leaves the sample carries the sign bit and the state after the symbol
-    alone; from a symbol that does not occur it goes to the root.
-    """
-    most = 2 * len(symbols) + 2
-    to = np.full((most, width), -1, np.int32)
-    link, length, size, last = [-1] * most, [0] * most, 1, 0
+def _laid(state: np.ndarray, symbol: np.ndarray, states: int, most: int) -> np.ndarray:
+    """A place for the row of each state so that no steps (state, symbol) meet in one place. Longer rows come first, each where its draw finds room."""
+    rng = np.random.default_rng(0)
+    room = 3 * max(len(state), states) + 1
+    place = np.full(states, -1, np.int64)
+    taken, used = np.zeros(room + most, bool), np.zeros(room, bool)
+    by = np.argsort(state, kind="stable")
+    degree = np.bincount(state, minlength=states)
+    first = np.cumsum(degree) - degree
+    for d in np.unique(degree)[::-1].tolist():
+        todo = np.flatnonzero(degree == d)
+        tries = 0
+        while len(todo):
+            tries += 1
+            if tries % 40 == 0:  # too full for rows of this length
+                taken, used, room = np.concatenate((taken, np.zeros(room, bool))), np.concatenate((used, np.zeros(room, bool))), 2 * room
+            drawn = rng.integers(0, room, len(todo))
+            spots = drawn[:, None] + symbol[by[first[todo][:, None] + np.arange(d)]]
+            free = np.flatnonzero(~used[drawn] & ~taken[spots].any(axis=1))
+            # Of draws that meet, the last stands.
+            at_row, at_spot = np.empty(room, np.int64), np.empty(len(taken), np.int64)
+            at_row[drawn[free]] = free
+            at_spot[spots[free].ravel()] = np.repeat(free, d)
+            won = free[(at_row[drawn[free]] == free) & (at_spot[spots[free]] == free[:, None]).all(axis=1)]
+            place[todo[won]] = drawn[won]
+            used[drawn[won]] = True
+            taken[spots[won].ravel()] = True
+            todo = np.delete(todo, won)
+    return place
+
+
+def automaton(symbols: list[int], most: int) -> Table:
+    """The suffix automaton of a sample of symbols under most."""
+    to: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in symbols:
-        own, size = size, size + 1
-        length[own] = length[last] + 1
+        own = len(to)
+        to.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and to[p, c] < 0:
-            to[p, c] = own
+        while p >= 0 and c not in to[p]:
+            to[p][c] = own
             p = link[p]
-        if p < 0:
-            link[own] = 0
-        else:
-            q = int(to[p, c])
+        if p >= 0:
+            q = to[p][c]
             if length[p] + 1 == length[q]:
                 link[own] = q
             else:
-                twin, size = size, size + 1
-                to[twin] = to[q]
-                length[twin], link[twin] = length[p] + 1, link[q]
-                while p >= 0 and to[p, c] == q:
-                    to[p, c] = twin
+                twin = len(to)
+                to.append(dict(to[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and to[p].get(c) == q:
+                    to[p][c] = twin
                     p = link[p]
                 link[q] = link[own] = twin
         last = own
-    to = to[:size]
-    after = np.maximum(to[0], 0)
-    table = np.where(to >= 0, to * width, (after * width) | _FAIL).astype(np.int32)
-    table[:, _PAD] = 0
-    return table.ravel()
+    state = np.repeat(np.arange(len(to)), [len(x) for x in to])
+    symbol = np.fromiter((c for x in to for c in x), np.int64, len(state))
+    target = np.fromiter((t for x in to for t in x.values()), np.int64, len(state))
+    place = _laid(state, symbol, len(to), most)
+    steps = np.full((int(place.max()) + most, 2), -1, np.int32)
+    steps[place[state] + symbol] = np.stack((place[target], place[state]), axis=1)
+    start = np.full(most, place[0], np.int32)
+    start[list(to[0])] = place[list(to[0].values())]
+    return Table(steps, start, int(place[0]))
 
 
 def learn(samples: dict[str, list[str]]) -> Model:
@@ -96,21 +133,20 @@ def learn(samples: dict[str, list[str]]) -> Model:
         text = " ".join(samples[name])[:SAMPLE_CHARS].lower()
         if text.strip():
             taken[name] = text
-    seen: Counter = Counter()
-    for text in taken.values():
-        seen.update(c for c in text if letter[ord(c)])
-    symbol = np.where(letter, _UNKNOWN, _GAP).astype(np.uint8)
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 3]):
+    letters = sorted({c for text in taken.values() for c in text if letter[ord(c)]})
+    most = len(letters) + 3
+    symbol = np.where(letter, _UNKNOWN, _GAP).astype(np.min_scalar_type(most))
+    for i, c in enumerate(letters):
         symbol[ord(c)] = i + 3
-        if len(c.upper()) == 1:
-            symbol[ord(c.upper())] = i + 3
-    width = int(symbol.max(initial=2)) + 1
+    for i in np.flatnonzero(letter).tolist():
+        low = chr(i).lower()
+        if len(low) == 1:
+            symbol[i] = symbol[ord(low)]
     tables, bits = [], []
     for text in taken.values():
-        own = symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-        tables.append(automaton(own[own != _UNKNOWN].tolist(), width))
+        tables.append(automaton(symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist(), most))
         bits.append(float(np.log2(len(text) + 1)))
-    return Model(list(taken), symbol, letter, tables, bits, width)
+    return Model(list(taken), symbol, letter, tables, bits)
 
 
 def parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,14 +169,19 @@ def parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     grid = np.full((LANE, n), _PAD, np.int32)
     grid[within % LANE, lane] = model.symbol[points]
     steps = min(LANE, int(sizes.max()))
+    ends = np.full(n, LANE)
+    ends[np.cumsum(lanes)[full] - 1] = (sizes[full] - 1) % LANE + 1
+    at_, got, fails = np.empty(n, np.int32), np.empty((n, 2), np.int32), np.empty(n, bool)
     for k, table in enumerate(model.tables):
-        state, count = np.zeros(n, np.int32), np.ones(n, np.int64)
-        at_, got = np.empty(n, np.int32), np.empty(n, np.int32)
+        pairs = table.steps.view(np.int64).ravel()
+        state, count = np.full(n, table.root, np.int32), np.minimum(ends - steps, 0) + 1  # steps after a lane's end fail
         for j in range(steps):
             np.add(state, grid[j], out=at_)
-            np.take(table, at_, out=got, mode="clip")
-            count += got < 0
-            np.bitwise_and(got, _REST, out=state)
+            np.take(pairs, at_, out=got.view(np.int64).ravel(), mode="clip")
+            np.not_equal(got[:, 1], state, out=fails)
+            count += fails
+            np.take(table.start, grid[j], out=state, mode="clip")
+            np.copyto(state, got[:, 0], where=~fails)
         phrases[full, k] = np.add.reduceat(count, lane_first[full])
     return phrases, spoken
 

@@ -363,6 +363,32 @@ def test_automaton_knows_all_substrings():
     assert spoken.tolist() == [any(c.isalpha() for c in t) for t in texts]
 
 
+def test_every_letter_of_a_sample_is_known():
+    r = random.Random(1)
+    letters = {"el": range(0x3B1, 0x3C9), "en": range(97, 123), "ko": range(0xAC00, 0xB1D0), "ru": range(0x430, 0x450), "uk": [*range(0x430, 0x450), 0x456, 0x457], "zh": range(0x4E00, 0x59B8)}
+    alphabet = {k: [chr(i) for i in v if chr(i).lower() == chr(i)] for k, v in letters.items()}
+    words = {k: ["".join(r.choice(a) for _ in range(r.randint(1, 5))) for _ in range(1500)] for k, a in alphabet.items()}
+    say = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    samples = {k: [say(k, 9000 if k == "en" else 1500)] for k in words}
+    model = language.learn(samples)
+    own = {k: samples[k][0][: language.SAMPLE_CHARS] for k in model.names}
+
+    def parse(text, sample):
+        n, phrase = 1, ""
+        for c in text:
+            if phrase + c in sample:
+                phrase += c
+            else:
+                n, phrase = n + 1, c if c in sample else ""
+        return n
+
+    texts = [(k, say(k, 25)) for k in words for _ in range(4)]
+    got, spoken = language.parse(model, [t.upper() if k in ("en", "ru") else t for k, t in texts])
+    assert spoken.all()
+    assert got.tolist() == [[parse(t, own[k]) for k in model.names] for _, t in texts]
+    assert [model.names[i] for i in (got * np.array(model.bits)).argmin(axis=1)] == [k for k, _ in texts]
+
+
 def test_language(spark, empty):
     r = random.Random(0)
     sound = {"aa": "ka la ma na ti to".split(), "bb": "schu zwi fro gla pfe".split()}
