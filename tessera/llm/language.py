@@ -2,7 +2,9 @@
 
 Each language gets a suffix automaton of a sample of its labelled text. A text is parsed
 into the longest phrases that occur in the sample; a language that knows the text needs
-few. Phrases cost log2(sample length) bits each, and the language with the fewest bits wins.
+few. A phrase costs log2(sample length) bits for its place and log2(letters of all samples) for
+the letter after it, so that a sample of a few words, whose phrases are single letters, does not win
+by their short places. The language with the fewest bits wins.
 
 The automaton steps are table lookups, so a batch of texts is parsed in lock-step: texts
 are cut into lanes of a fixed length that are parsed side by side, all of them whole.
@@ -22,13 +24,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import arrowtext as at
+from tessera.llm import cluster
 
 LANE = 512
 BATCH_BYTES = 3_000_000
+BATCH_COUNTS = 2_000_000  # texts x languages of a batch
+MOST_BROADCAST = 200_000  # sampled ids sent to every task; more are joined by a shuffle
 SAMPLE_CHARS = 30_000  # of labelled text that a language is learned from
+ALL_CHARS = 3_000_000  # the same for all languages together: more than 100 share it
+LEAST_CHARS = 500  # that a language keeps however many share
 SAMPLE_TEXTS = 64  # that it may come from
-LONGEST = 20_000  # code points of a text in the sample
-MOST_LANGUAGES = 100
+LONGEST = 20_000  # code points of a text in the sample; of longer ones, taken where shorter ones are too few, the first
 
 _UNKNOWN, _PAD, _GAP = 0, 1, 2  # symbols: not in any sample; after a lane's end; all but letters
 
@@ -125,12 +131,17 @@ def automaton(symbols: list[int], most: int) -> Table:
     return Table(steps, start, int(place[0]))
 
 
+def sample_chars(languages: int) -> int:
+    """Characters that each of so many languages is learned from."""
+    return min(SAMPLE_CHARS, max(LEAST_CHARS, ALL_CHARS // max(1, languages)))
+
+
 def learn(samples: dict[str, list[str]]) -> Model:
-    """A model of each language's sample texts, SAMPLE_CHARS of them at most."""
+    """A model of each language's sample texts, as many characters of them as sample_chars gives."""
     letter = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
     taken = {}
     for name in sorted(samples):
-        text = " ".join(samples[name])[:SAMPLE_CHARS].lower()
+        text = " ".join(samples[name])[: sample_chars(len(samples))].lower()
         if text.strip():
             taken[name] = text
     letters = sorted({c for text in taken.values() for c in text if letter[ord(c)]})
@@ -145,7 +156,7 @@ def learn(samples: dict[str, list[str]]) -> Model:
     tables, bits = [], []
     for text in taken.values():
         tables.append(automaton(symbol[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist(), most))
-        bits.append(float(np.log2(len(text) + 1)))
+        bits.append(float(np.log2(len(text) + 1) + np.log2(len(letters) + 1)))
     return Model(list(taken), symbol, letter, tables, bits)
 
 
@@ -189,7 +200,8 @@ def parse(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _predict(model: Model):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, bits = np.array([*model.names, "und"], object), np.array(model.bits)
-        for table in at.batches(frames, "text", BATCH_BYTES):
+        most = max(1, BATCH_COUNTS // len(names))
+        for table in (t.slice(i, most) for t in at.batches(frames, "text", BATCH_BYTES) for i in range(0, t.num_rows, most)):
             phrases, spoken = parse(model, table.column("text").to_pylist())
             if model.names:
                 cost = phrases * bits
@@ -204,14 +216,22 @@ def _predict(model: Model):
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Labelled texts to learn from: of each language, the first SAMPLE_TEXTS by a hash of their id, up to LONGEST code points each."""
+    """Labelled texts to learn every language from: the first SAMPLE_TEXTS by a hash of their id, those of up to LONGEST code points first, of others their beginning."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("held_out")).select("doc_id", "lang", F.char_length("text").alias("n"))
-    rows = rows.filter(F.col("n").between(1, LONGEST)).withColumn("h", F.xxhash64("doc_id"))
-    common = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    first = rows.filter(F.col("lang").isin(common)).withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("i") <= SAMPLE_TEXTS)
-    chosen = first.select("doc_id", "lang").distinct()
+    rows = rows.filter(F.col("n") > 0).withColumn("h", F.xxhash64("doc_id")).withColumn("long", F.col("n") > LONGEST)
+    by = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "n")
+    first = cluster.cut(rows.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= SAMPLE_TEXTS))
+    chars = sample_chars(first.select("lang").distinct().count())
+    # Texts after those that fill the sample stay where they are.
+    before = F.coalesce(F.sum(F.least("n", F.lit(LONGEST))).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = first.withColumn("before", before).filter(F.col("before") < chars).select("doc_id", "lang", "n").distinct()
+    if chosen.count() <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
+    # An id may stand for many texts of one length; of these, one of each beginning.
+    texts = docs.filter(~F.col("held_out")).select("doc_id", "lang", F.char_length("text").alias("n"), F.left("text", F.lit(min(chars, LONGEST))).alias("text")).join(chosen, ["doc_id", "lang", "n"], "left_semi")
+    part = Window.partitionBy("lang").orderBy(F.col("n") > LONGEST, F.xxhash64("doc_id"), "doc_id", "text")
     found: dict[str, list[str]] = {}
-    for r in docs.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").filter(F.char_length("text") <= LONGEST).select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * MOST_LANGUAGES * SAMPLE_TEXTS).collect():
+    for r in texts.distinct().withColumn("i", F.row_number().over(part)).filter(F.col("i") <= SAMPLE_TEXTS).orderBy("lang", "i").select("lang", "text").collect():
         found.setdefault(r.lang, []).append(r.text)
     return found
 

@@ -408,6 +408,28 @@ def test_language(spark, empty):
     assert {x.lang_pred for x in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    r = random.Random(3)
+    words = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(30)] for k in range(110)}
+    say = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    learned = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(learned.pop(), say(lang, 40), lang) for k, lang in enumerate(words) for _ in range(4 if k < 100 else 2)]
+    rows += [(learned.pop(), "ok", "tiny"), (learned.pop(), "12 3", "digits")]
+    words["long"] = ["".join(r.choice("qrstuvwxyz") for _ in range(6)) for _ in range(30)]
+    words["mixed"] = ["".join(r.choice("äöüßéèñ") for _ in range(6)) for _ in range(30)]
+    rows += [(learned.pop(), say("long", 5000), "long"), (learned.pop(), say("mixed", 1), "mixed"), (learned.pop(), say("mixed", 4000), "mixed")]
+    asked = [(10_000 + i, say(lang, 30), lang) for i, lang in enumerate(sorted(words))]
+    df = spark.createDataFrame(rows + [(i, t, None) for i, t, _ in asked], "doc_id bigint, text string, lang string").repartition(3)
+    assert all(len(t) > language.LONGEST for _, t, lang in rows if lang == "long")
+    for all_chars, counts in ((language.ALL_CHARS, language.BATCH_COUNTS), (60_000, 500)):  # also where languages share the characters
+        monkeypatch.setattr(language, "ALL_CHARS", all_chars)
+        monkeypatch.setattr(language, "BATCH_COUNTS", counts)
+        got = language.identify(df).collect()
+        assert sorted(x.doc_id for x in got) == sorted(i for i, *_ in rows + asked)
+        pred = {x.doc_id: x.lang_pred for x in got}
+        assert [pred[i] for i, *_ in asked] == [lang for *_, lang in asked]
+
+
 # --- 8 ----------------------------------------------------------------------------------------------------------
 
 
