@@ -1,4 +1,4 @@
-"""Substring dedup with prefix-partitioned suffix trees over words.
+"""Substring dedup by hashes of word windows, which stand in for suffix trees cut at a fixed depth.
 
 A suffix starts at a word of a document and is followed to a depth of min_words; only
 suffixes that long matter. Three passes:
@@ -7,14 +7,14 @@ suffixes that long matter. Three passes:
    size. A prefix with more suffixes than a group may hold is extended, so every
    suffix gets the shortest prefix whose group fits in memory.
 2. Each task merges its own suffixes first: for each path of min_words words it sends
-   the owner, the smallest doc_id it saw, to the group of its prefix. A group orders
-   its paths; those with two leaves or more are the deep internal nodes of the
-   group's suffix tree. Every owner but the smallest gets the path back.
+   the owner, the smallest doc_id it saw, to the group of its prefix. A task sorts
+   its paths; those with two owners or more are what a suffix tree would hold as
+   nodes of that depth. No tree is built. Every owner but the smallest gets the path back.
    A passage in a third of all documents is one row a task.
 3. Each document marks the words below its returned paths. Marked paths that
    follow each other join to maximal repeated spans.
 
-Paths are named by 64-bit hashes of their word sequence.
+Paths are named by 64-bit hashes of their word sequence; equal hashes of unlike paths are not verified.
 """
 
 from __future__ import annotations
