@@ -6,7 +6,8 @@ follow each other, where a word said twice is a pair of its own. Terms are hashe
 of columns, weighted by log counts and inverse document frequency over all documents, and
 projected on the leading right singular vectors of a bounded sample of labelled texts. The
 sample's vectors go to every task. A document takes exact cosines with all of them, in
-blocks, and its nearest neighbours vote with the weight of their similarity.
+blocks, and its nearest neighbours vote with the weight of their similarity, times the number of
+labelled documents that a sampled one of its label stands for.
 """
 
 from __future__ import annotations
@@ -120,6 +121,7 @@ class Model:
     vectors: np.ndarray  # of the sample, unit rows
     labels: np.ndarray
     prior: float
+    stands_for: np.ndarray  # labelled documents a sampled one, of each row of the sample
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         v = (x - self.mean) @ self.axes
@@ -134,15 +136,20 @@ class Model:
         k = max(1, min(NEIGHBOURS, *(int((self.labels == y).sum()) for y in (0, 1))))  # no more than the rarer label has
         near = np.argpartition(cosine, -k, axis=1)[:, -k:]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** POWER
+        weight *= self.stands_for[near]
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1)
         return np.where((total > 1e-9) & (tf.any(axis=1)), vote / np.maximum(total, 1e-9), self.prior)
 
 
-def fit(tf: np.ndarray, labels: np.ndarray, df: np.ndarray, n: int, prior: float) -> Model:
+def fit(tf: np.ndarray, labels: np.ndarray, df: np.ndarray, n: int, prior: float, known: dict[int, int]) -> Model:
+    """A model of a sample of rows of counts; known: labelled documents of each label that it was drawn from."""
+    stands_for = np.ones(len(labels))
+    for y, size in known.items():
+        stands_for[labels == y] = size / max(1, int((labels == y).sum()))
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
     if not len(labels):
-        return Model(idf, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior)
+        return Model(idf, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior, stands_for)
     x = weighted(tf, idf)
     mean = x.mean(axis=0)
     rank, shifted = min(RANK, *x.shape), x - mean
@@ -150,7 +157,7 @@ def fit(tf: np.ndarray, labels: np.ndarray, df: np.ndarray, n: int, prior: float
     for _ in range(4):  # subspace iteration
         y, _r = np.linalg.qr(shifted @ (shifted.T @ np.linalg.qr(y)[0]))
     axes = np.linalg.svd(y.T @ shifted, full_matrices=False)[2][:rank].T.astype(np.float32)
-    model = Model(idf, mean, np.ascontiguousarray(axes), np.zeros((0, rank), np.float32), labels.astype(np.float64), prior)
+    model = Model(idf, mean, np.ascontiguousarray(axes), np.zeros((0, rank), np.float32), labels.astype(np.float64), prior, stands_for)
     model.vectors = model.latent(x)
     return model
 
@@ -170,7 +177,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     seen = {r.term: r.n for r in docs.select("text").mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # WIDTH rows
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    prior = known.agg(F.avg("quality")).first()[0]
+    sizes = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    prior = sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5
     # Each task keeps SAMPLE ids of a label at most, however common it is.
     first = lambda label: known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     chosen = first(0).unionByName(first(1))
@@ -180,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     for i, r in enumerate(rows):
         tf[i, np.frombuffer(r.terms, np.uint16)] = np.frombuffer(r.tf, np.float32)
     df = np.array([seen.get(i, 0) for i in range(WIDTH)], np.float64)
-    return fit(tf, np.array([r.quality for r in rows], np.float64), df, seen.get(-1, 0), 0.5 if prior is None else float(prior))
+    return fit(tf, np.array([r.quality for r in rows], np.float64), df, seen.get(-1, 0), prior, sizes)
 
 
 def score(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:

@@ -527,6 +527,18 @@ def test_labels_of_held_out_ids_do_not_matter(spark):
     assert scores[0] == scores[1]
 
 
+def test_scores_do_not_depend_on_the_size_of_the_sample(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["".join(r.choice("aeiounrst") for _ in range(5)) for _ in range(200)]
+    df = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(40))) for i in range(1500)], DOCS).cache()
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1500)], "doc_id bigint, quality int")  # nothing in a text tells
+    means = []
+    for sample in (quality.SAMPLE, 100):  # by nature 9 : 1; 1 : 1
+        monkeypatch.setattr(quality, "SAMPLE", sample)
+        means.append(quality.score(df, labels).filter("held_out").agg(F.avg("score")).first()[0])
+    assert means == pytest.approx([0.9, 0.9], abs=0.05)
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 
 
