@@ -9,8 +9,11 @@ longest rule that fits the next identifiers names a licence and takes them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -91,7 +94,7 @@ RULES = (
 )
 
 #: Every known sentence holds one of these; a text without any has none.
-_HINT = r"(?i)licen[cs]|copyright|permission|redistribution|warrant|merchantab|liable|public domain|rights reserved|free software|cc0|\(c\)|©"
+_HINT = r"(?i)licen[cs]|copyright|permission|redistribution|warrant|merchantab|liable|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|free[^0-9a-z]+software|cc0|\(c\)|©"
 _COPYRIGHT = re.compile(r"^(?:copyright|\(c\)|©)(?:\s+(?:\(c\)|©))?\s+(?:\d{4}\b.*|the .*|by .*)$", re.I | re.S)
 _END = re.compile(r"(?<=[.!?;:,])\s+|\n\s*\n")
 _LINE = re.compile(r"[\r\n]+")
@@ -109,7 +112,7 @@ def normalised(sentence: str) -> str:
 class Recogniser:
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> None:
         self.known = {normalised(text): name for name, text in sentences.items()}
-        self.parts = 1 + max((len(_END.findall(t)) for t in sentences.values()), default=0)
+        self.words = max((len(t.split()) for t in self.known), default=0)
         self.rules: dict[tuple, str] = {}
         for name, ids in rules:
             self.rules.setdefault(tuple(ids), name)
@@ -123,19 +126,22 @@ class Recogniser:
         """
         breaks = sorted({0, len(text), *(m.end() for m in _END.finditer(text)), *(m.end() for m in _LINE.finditer(text))})
         pieces = [_EDGE.sub(" ", text[a:b].lower()).strip() for a, b in zip(breaks, breaks[1:], strict=False)]
-        found, i = [], 0
-        while i < len(pieces):
-            got = 0
-            if pieces[i]:
-                for n in range(min(self.parts + 12, len(pieces) - i), 0, -1):
-                    name = self.known.get(" ".join(p for p in pieces[i : i + n] if p))
-                    if name is None and n == 1 and normalised(text[breaks[i] : breaks[i + 1]]) == "copyright":
-                        name = self.known.get("copyright")
-                    if name is not None:
-                        found.append((breaks[i], breaks[i + n], name))
-                        got = n
-                        break
-            i += got or 1
+        full = [i for i, p in enumerate(pieces) if p]
+        ends = [*full[1:], len(pieces)]  # signs and blank lines after a fragment go with it
+        before = [0, *accumulate(pieces[i].count(" ") + 1 for i in full)]
+        found, k = [], 0
+        while k < len(full):
+            i, got = full[k], 0
+            # No run of more words than the longest sentence has can be one.
+            for n in range(max(1, bisect_right(before, before[k] + self.words) - 1 - k), 0, -1):
+                end, name = ends[k + n - 1], self.known.get(" ".join(pieces[j] for j in full[k : k + n]))
+                if name is None and n == 1 and normalised(text[breaks[i] : breaks[i + 1]]) == "copyright":
+                    end, name = i + 1, self.known.get("copyright")
+                if name is not None:
+                    found.append((breaks[i], breaks[end], name))
+                    got = n
+                    break
+            k += got or 1
         return found
 
     def licences(self, ids: list[str]) -> list[str]:
@@ -160,10 +166,11 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("sente
 def _scan(sentences: dict[str, str], rules: tuple):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Recogniser(sentences, rules)
+        hinted = sentences == SENTENCES  # the words are of these
         for table in at.batches(frames, "text", BATCH_BYTES):
             texts = at.chunk(table, "text").fill_null("")
-            hint = pc.match_substring_regex(texts, _HINT).to_numpy(zero_copy_only=False)
             n = len(texts)
+            hint = pc.match_substring_regex(texts, _HINT).to_numpy(zero_copy_only=False) if hinted else np.ones(n, bool)
             ids: list[list] = [[] for _ in range(n)]
             spans: list[list] = [[] for _ in range(n)]
             names: list[list] = [[] for _ in range(n)]

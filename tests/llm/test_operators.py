@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -310,6 +311,20 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(odd(spark)).count() == 5
 
 
+def test_licenses_in_narrow_lines_and_own_sentences(spark):
+    for name in ("mit-grant", "mit-liability", "apache2-asis"):
+        for width in (16, 24, 36, 80):
+            text = "Words before.\n\n" + textwrap.fill(licenses.SENTENCES[name], width, break_long_words=False, break_on_hyphens=False) + ".\n\nWords after."
+            found = licenses.Recogniser().sentences(text)
+            assert [x for *_, x in found] == [name], (name, width)
+            assert text[found[0][0] :].startswith(licenses.SENTENCES[name].split()[0]) and text[found[0][1] :] == "Words after."
+    assert all(re.search(licenses._HINT, x.replace(" ", "\n")) for x in licenses.SENTENCES.values())
+    own = {"beer": "You can do whatever you want with this stuff"}
+    rows = [(1, "Hello. You can do whatever\nyou want with this stuff."), (2, "other stuff")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, DOCS), own, (("Beerware", ("beer",)),)).collect()}
+    assert got == {1: ["Beerware"], 2: []}
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------
 
 
