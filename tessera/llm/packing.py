@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from tessera.llm import arrowtext as at
 from tessera.llm import cluster
 
 BATCH_BYTES = 5_000_000
+MOST_BROADCAST = 1_000_000  # steps of a plan; some 40 MB
 
 # Fixed values of byte-level BPE files: the pattern of words, and the characters that stand for bytes.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,13 +132,14 @@ def best_fit_decreasing(histogram: dict[int, int], window: int) -> list[Step]:
 
 
 class _Encoder:
-    """Token ids of texts, each piece that repeats in a batch encoded once.
+    """Token ids of texts, as the tokenizers file gives them, each piece that repeats in a batch encoded once.
 
     A byte-level tokenizer never joins a visible ASCII character with white space
     after it, so a text may be cut there and each piece encoded alone, or pieces that begin
-    and end so encoded one after the other as one text. The ids are those of the tokenizers
-    file. Where its vocabulary is numbered in the order of its merges, tiktoken's merge
-    loop gives the same ids several times faster; other files are encoded by tokenizers.
+    and end so encoded one after the other as one text. Where the vocabulary is numbered in
+    the order of its merges, tiktoken's merge loop gives the same ids several times
+    faster. The file's added tokens are cut out of a text before, as tokenizers does. Texts
+    of any other kind of file are encoded whole by tokenizers.
     """
 
     def __init__(self, path: str) -> None:
@@ -143,29 +147,63 @@ class _Encoder:
         with open(path, "rb") as f:
             spec = json.load(f)
         vocabulary = spec["model"]["vocab"]
-        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
-        for token, i in vocabulary.items():
-            self.lengths[i] = len(token)
-        special = {t["content"] for t in spec["added_tokens"]}
-        byte_of = _byte_characters()
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
-        merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
-        ordered = [vocabulary[m.replace(" ", "")] for m in merges] == list(range(256, 256 + len(merges))) and len(ranks) == 256 + len(merges)
+        self.added: dict[str, int] = {}
+        for t in spec["added_tokens"]:  # one that is not in the vocabulary takes the next free id, whatever the file says
+            if t["content"]:
+                self.added[t["content"]] = vocabulary.get(t["content"], len(vocabulary) + len(set(self.added) - set(vocabulary)))
+        bare = not any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
         plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        if ordered and plain:
+        ordered = False
+        if bare and plain and spec["model"].get("type", "BPE") == "BPE":
+            byte_of = _byte_characters()
+            ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in self.added}
+            merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+            ordered = [vocabulary[m.replace(" ", "")] for m in merges] == list(range(256, 256 + len(merges))) and len(ranks) == 256 + len(merges)
+        self.encode = self.whole = None
+        if ordered:
             import tiktoken
 
+            self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id
+            for token, i in vocabulary.items():
+                self.lengths[i] = len(token)
             merger = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.encode = lambda text: merger.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            # Of tokens that begin at one place the longest is meant.
+            self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         else:
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self.encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+            self.whole = Tokenizer.from_file(path)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, and the number of each row."""
+        if self.whole is not None:
+            found = [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int64) for t in texts.fill_null("").to_pylist()]
+            return np.concatenate([*found, np.zeros(0, np.int64)]), np.fromiter(map(len, found), np.int64, len(found))
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._plain(texts)
+        parts, marks, rows = [], [], []  # a part of a text, and the added token after it or -1
+        for r, text in enumerate(texts.to_pylist()):
+            lo = 0
+            for m in self.marks.finditer(text) if marked[r] else ():
+                parts.append(text[lo : m.start()])
+                marks.append(self.added[m.group()])
+                rows.append(r)
+                lo = m.end()
+            parts.append((text or "")[lo:])
+            marks.append(-1)
+            rows.append(r)
+        ids, n = self._plain(pa.array(parts, pa.large_string()))
+        after = np.array(marks)
+        own = np.flatnonzero(after >= 0)
+        ids = np.insert(ids, np.cumsum(n)[own], after[own])
+        return ids, np.bincount(np.array(rows), n + (after >= 0), len(texts)).astype(np.int64)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         data, offsets = at.raw(texts)
         rows = len(offsets) - 1
         if not len(data):
@@ -234,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
     """Pieces of the documents and their places in sequences of at most `window` tokens.
 
     docs needs doc_id and text; other columns are not read. A document is the ids of
-    its text (null: none), then end_id. Returns a row a piece: doc_id, start (ids of the
+    its text (null: none), added tokens of the file among them, then end_id. Returns a row a piece: doc_id, start (ids of the
     document before it), length, ids_crc32, doc_tokens, sequence_id, offset. A sequence's
     pieces follow each other without a gap from 0. tokenizer is the path of a
     tokenizers file that every executor can read. Rows that repeat a doc_id, and rows
@@ -264,7 +302,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0) -
         .withColumn("rank", F.col("before") + F.col("own") - 1)
         .drop("own", "before", "share")
     )
-    # The plan's size depends on the window only.
+    # A length takes at most some 2 * window steps: the plan's size depends on the window only, but is checked all the same.
     flat = plan.select("length", F.posexplode("plan").alias("i", "step")).select("length", F.col("step.rank").alias("from"), (F.lead("step.rank").over(Window.partitionBy("length").orderBy("i"))).alias("to"), "step.sequence", "step.offset")
-    placed = ranked.join(F.broadcast(flat.withColumnRenamed("length", "l")), (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("from")) & ((F.col("rank") < F.col("to")) | F.col("to").isNull()))
+    flat = flat.withColumnRenamed("length", "l")
+    placed = ranked.join(F.broadcast(flat) if len(steps) <= MOST_BROADCAST else flat, (F.col("length") == F.col("l")) & (F.col("rank") >= F.col("from")) & ((F.col("rank") < F.col("to")) | F.col("to").isNull()))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("rank") - F.col("from")).alias("sequence_id"), F.col("offset").cast("bigint").alias("offset"))

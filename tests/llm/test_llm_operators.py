@@ -44,7 +44,8 @@ def corpus(n=120, seed=1):
             own = own[:at_] + passage + own[at_:]
         out.append(own)
     texts = [r.choice([" ", "\n", "  "]).join(w) for w in out]
-    return [(i, t) for i, t in enumerate(texts)] + [(n, None), (n + 1, ""), (n + 2, " \n "), (n + 3, "x" * 50_000), (n + 4, "One\u00a0word two")]
+    odd_ = [None, "", " \n ", "x" * 50_000, "One\u00a0word two", "<|endoftext|>", "a b<|endoftext|> c<|endoftext|><|endoftext|>"]
+    return [(i, t) for i, t in enumerate([*texts, *odd_])]
 
 
 @pytest.fixture(scope="module")
@@ -277,17 +278,27 @@ def test_packing(spark, docs, empty):
     assert packing.pack(odd(spark), TOKENIZER).count() == 5
 
 
-def test_encoder_gives_the_tokenizers_ids():
+def test_encoder_gives_the_tokenizers_ids(tmp_path):
+    import json
+
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     r = random.Random(1)
-    signs = " \t\n\x0b  ab,'s1é́中<|endoftext|>\r\u00a0\u2003"
-    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["", " ", "\n\n", "<|endoftext|>", None]
-    ids, n = packing._Encoder(TOKENIZER)(pa.array(texts))
-    for own, text in zip(np.split(ids, np.cumsum(n)[:-1]), texts, strict=True):
-        assert own.tolist() == t.encode(text or "", add_special_tokens=False).ids
+    signs = [*" \t\n\x0b  ab,'s1é́中<|\r\u00a0\u2003", "<|endoftext|>", "<|end", "<|endoftext|><|endoftext|>"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += ["", " ", "\n\n", "<|endoftext|>", None, "a<|endoftext|>", "<|endoftext|>a", "wo<|endoftext|>rd", "a <|endoftext|> b", "<|<|endoftext|>|>", "x" * 5000 + "<|endoftext|>"]
+    spec = json.load(open(TOKENIZER))
+    two = tmp_path / "two.json"  # one added token begins another
+    two.write_text(json.dumps(spec | {"added_tokens": [*spec["added_tokens"], spec["added_tokens"][0] | {"id": 60_000, "content": "<|endoftext|><|"}]}))
+    stripped = tmp_path / "stripped.json"  # not cut by hand
+    stripped.write_text(json.dumps(spec | {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}))
+    for path in (TOKENIZER, str(two), str(stripped)):
+        t = Tokenizer.from_file(path)
+        for some in (texts, texts[-8:], ["plain text", None]):
+            ids, n = packing._Encoder(path)(pa.array(some))
+            assert len(n) == len(some)
+            for own, text in zip(np.split(ids, np.cumsum(n)[:-1]), some, strict=True):
+                assert own.tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
 # --- 5 ----------------------------------------------------------------------------------------------------------
