@@ -11,15 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> None:
+    """Sees to it that checkpoints have a folder: the one that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests on one machine) is a temporary folder used.
+    Only where it is unset and all tasks run in this process (tests on one machine) a temporary
+    folder stands in; on a cluster its files would be lost with an executor, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
