@@ -5,7 +5,7 @@ become one letter, digits one digit, other signs stay; and pairs of shapes of wo
 follow each other, where a word said twice is a pair of its own. Terms are hashed into a fixed number
 of columns, weighted by log counts and inverse document frequency over all documents, and
 projected on the leading right singular vectors of a bounded sample of labelled texts. The
-sample's vectors go to every task. A document takes exact cosines with all of them, in
+sample's vectors, whose size is fixed, go to every task. A document takes exact cosines with all of them, in
 blocks, and its nearest neighbours vote with the weight of their similarity, times the number of
 labelled documents that a sampled one of its label stands for.
 """
@@ -113,6 +113,24 @@ def _sparse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("quality").combine_chunks(), pa.array(terms, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "quality", "terms", "tf"])
 
 
+@dataclass
+class Sample:
+    """Term counts of texts, a row a text, without the zeros."""
+
+    first: np.ndarray  # where each row's terms begin, and the end of the last one
+    terms: np.ndarray
+    tf: np.ndarray
+
+    def blocks(self, idf: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        """Weighted rows, some at a time: the whole sample is never dense."""
+        for lo in range(0, len(self.first) - 1, BLOCK):
+            hi = min(lo + BLOCK, len(self.first) - 1)
+            x = np.zeros((hi - lo, WIDTH), np.float32)
+            own = slice(self.first[lo], self.first[hi])
+            x[np.repeat(np.arange(hi - lo), np.diff(self.first[lo : hi + 1])), self.terms[own]] = self.tf[own]
+            yield slice(lo, hi), weighted(x, idf)
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -127,38 +145,50 @@ class Model:
         v = (x - self.mean) @ self.axes
         return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
+    def neighbours(self) -> int:
+        """As many as NEIGHBOURS, but no more than the rarer label has."""
+        return max(1, min(NEIGHBOURS, *(int((self.labels == y).sum()) for y in (0, 1))))
+
     def scores(self, tf: np.ndarray) -> np.ndarray:
-        """Share of the vote for label 1 of each row of counts; the prior where nothing is known."""
+        """Share of the vote for label 1 of each row of counts; the prior where nothing is known.
+
+        Cosines count to six places. Neighbours tied for the last places share them evenly.
+        """
         if not len(self.labels):
             return np.full(len(tf), self.prior)
-        v = self.latent(weighted(tf, self.idf))
-        cosine = v @ self.vectors.T
-        k = max(1, min(NEIGHBOURS, *(int((self.labels == y).sum()) for y in (0, 1))))  # no more than the rarer label has
-        near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** POWER
-        weight *= self.stands_for[near]
-        total = weight.sum(axis=1)
-        vote = (weight * self.labels[near]).sum(axis=1)
+        cosine = np.rint(self.latent(weighted(tf, self.idf)) @ self.vectors.T * np.float32(1e6)).astype(np.int32)
+        k, n = self.neighbours(), len(self.labels)
+        last = np.partition(cosine, n - k, axis=1)[:, n - k, None]
+        row, at_ = np.nonzero(cosine >= last)
+        found = cosine[row, at_]
+        tied = found == last[row, 0]
+        rows = len(tf)
+        over, ties = np.bincount(row[~tied], minlength=rows), np.bincount(row[tied], minlength=rows)
+        weight = (np.maximum(found, 0) / 1e6) ** POWER * self.stands_for[at_] * np.where(tied, ((k - over) / ties)[row], 1.0)
+        total, vote = np.bincount(row, weight, rows), np.bincount(row, weight * self.labels[at_], rows)
         return np.where((total > 1e-9) & (tf.any(axis=1)), vote / np.maximum(total, 1e-9), self.prior)
 
 
-def fit(tf: np.ndarray, labels: np.ndarray, df: np.ndarray, n: int, prior: float, known: dict[int, int]) -> Model:
-    """A model of a sample of rows of counts; known: labelled documents of each label that it was drawn from."""
+def fit(sample: Sample, labels: np.ndarray, df: np.ndarray, n: int, prior: float, known: dict[int, int]) -> Model:
+    """A model of a sample; known: labelled documents of each label that it was drawn from."""
     stands_for = np.ones(len(labels))
     for y, size in known.items():
         stands_for[labels == y] = size / max(1, int((labels == y).sum()))
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
     if not len(labels):
         return Model(idf, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, prior, stands_for)
-    x = weighted(tf, idf)
-    mean = x.mean(axis=0)
-    rank, shifted = min(RANK, *x.shape), x - mean
-    y = shifted @ np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, WIDTH)), dtype=np.float32)
-    for _ in range(4):  # subspace iteration
-        y, _r = np.linalg.qr(shifted @ (shifted.T @ np.linalg.qr(y)[0]))
-    axes = np.linalg.svd(y.T @ shifted, full_matrices=False)[2][:rank].T.astype(np.float32)
-    model = Model(idf, mean, np.ascontiguousarray(axes), np.zeros((0, rank), np.float32), labels.astype(np.float64), prior, stands_for)
-    model.vectors = model.latent(x)
+    mean = sum(x.sum(axis=0, dtype=np.float64) for _, x in sample.blocks(idf)) / len(labels)
+    mean = mean.astype(np.float32)
+    rank = min(RANK, len(labels), WIDTH)
+    z = np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, WIDTH)), dtype=np.float32)
+    for _ in range(5):  # subspace iteration: the leading right singular vectors
+        y = np.concatenate([(x - mean) @ z for _, x in sample.blocks(idf)])
+        y = np.linalg.qr(y)[0]
+        z = sum((x - mean).T @ y[at_] for at_, x in sample.blocks(idf))
+    u, _, _ = np.linalg.svd(z, full_matrices=False)
+    axes = np.ascontiguousarray(u[:, :rank].astype(np.float32))
+    model = Model(idf, mean, axes, np.zeros((0, rank), np.float32), labels.astype(np.float64), prior, stands_for)
+    model.vectors = np.concatenate([model.latent(x) for _, x in sample.blocks(idf)])
     return model
 
 
@@ -184,11 +214,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = first(0).unionByName(first(1))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sparse, "doc_id bigint, quality int, terms binary, tf binary")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("terms", "tf", "quality")).alias("x")).select("doc_id", "x.*").orderBy("doc_id").collect()
-    tf = np.zeros((len(rows), WIDTH), np.float32)
-    for i, r in enumerate(rows):
-        tf[i, np.frombuffer(r.terms, np.uint16)] = np.frombuffer(r.tf, np.float32)
+    terms = [np.frombuffer(r.terms, np.uint16) for r in rows]
+    first = np.cumsum([0, *map(len, terms)])
+    found = Sample(first, np.concatenate([*terms, np.zeros(0, np.uint16)]), np.concatenate([*(np.frombuffer(r.tf, np.float32) for r in rows), np.zeros(0, np.float32)]))
     df = np.array([seen.get(i, 0) for i in range(WIDTH)], np.float64)
-    return fit(tf, np.array([r.quality for r in rows], np.float64), df, seen.get(-1, 0), prior, sizes)
+    return fit(found, np.array([r.quality for r in rows], np.float64), df, seen.get(-1, 0), prior, sizes)
 
 
 def score(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
@@ -199,7 +229,9 @@ def score(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
     never used. Returns a row a row: doc_id, held_out, score (0 to 1, higher: label 1
     likelier), predicted (1 if score >= THRESHOLD); with carry also row, a struct
     of all columns of docs. Null, empty and wordless texts, and all texts where nothing was
-    learned, score the share of label 1. A null doc_id is not held out.
+    learned, score the share of label 1. A null doc_id is not held out. Rows that repeat a doc_id
+    are scored each by its text; its label counts once, for the text that comes first by its terms.
+    Equal texts have equal scores: neighbours tied for the last places share them.
     """
     cluster.short_batches(docs.sparkSession)
     own = docs.select(

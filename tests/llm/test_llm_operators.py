@@ -543,6 +543,50 @@ def test_quality(spark, empty):
     assert quality.score(df, labels.limit(0)).filter("predicted = 1").count() == len(rows)
 
 
+def test_votes_against_brute_force(monkeypatch):
+    """Latent axes against a dense decomposition, neighbours and votes one text at a time; sampled texts that repeat are tied."""
+    monkeypatch.setattr(quality, "RANK", 6)
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(40)]
+    texts = [" ".join(r.choice(words[:12] if i % 3 else words[12:]) for _ in range(r.randint(3, 30))) for i in range(60)]
+    texts += texts[:30] + texts[3:6] * 30
+    labels = np.array([int(i % 3 > 0) for i in range(len(texts))], np.float64)
+    tf = np.concatenate(list(quality.counts(pa.array(texts))))
+    rows = [np.flatnonzero(x) for x in tf]
+    sample = quality.Sample(np.cumsum([0, *map(len, rows)]), np.concatenate(rows), np.concatenate([x[a] for x, a in zip(tf, rows, strict=True)]))
+    df = (tf > 0).sum(axis=0)
+    model = quality.fit(sample, labels, df, len(texts), 0.5, {0: 500, 1: 900})
+    x = quality.weighted(tf.copy(), model.idf)
+    x = x - x.mean(axis=0)
+    axes = np.linalg.svd(x, full_matrices=False)[2][:6]
+    assert np.allclose(np.abs((model.axes.T @ axes.T).T @ (model.axes.T @ axes.T)), np.eye(6), atol=0.05)  # one space
+    asked = [" ".join(r.choice(words) for _ in range(20)) for _ in range(40)] + texts[:5] + [""]
+    tf = np.concatenate(list(quality.counts(pa.array(asked))))
+    got = model.scores(tf)
+    stands = {0.0: 500 / (labels == 0).sum(), 1.0: 900 / (labels == 1).sum()}
+    for i, v in enumerate(model.latent(quality.weighted(tf.copy(), model.idf))):
+        cosine = [round(float(c) * 1e6) for c in (v * model.vectors).sum(axis=1)]
+        near = sorted(cosine, reverse=True)[: quality.NEIGHBOURS]
+        total = vote = 0.0
+        for c in set(near):
+            tied = [j for j, d in enumerate(cosine) if d == c]
+            for j in tied:
+                w = max(c / 1e6, 0) ** quality.POWER * stands[labels[j]] * near.count(c) / len(tied)
+                total, vote = total + w, vote + w * labels[j]
+        want = vote / total if total > 1e-9 and asked[i] else 0.5
+        assert got[i] == pytest.approx(want, abs=2e-3), i
+    again = model.scores(tf[::-1])[::-1]
+    assert np.allclose(again, got, atol=1e-3)
+
+
+def test_quality_of_repeated_ids(spark):
+    rows = [(1, "good words here"), (1, "BAD!! $$ !!"), (1, "good words here"), (2, "good words there"), (3, "BAD!! $$ ??"), (4, "good words again")]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 0), (4, 1)], "doc_id bigint, quality int")
+    df = spark.createDataFrame(rows, DOCS)
+    found = [sorted((x.doc_id, round(x.score, 6)) for x in quality.score(df.repartition(n), labels).collect()) for n in (1, 3)]
+    assert found[0] == found[1] and len(found[0]) == 6
+
+
 def test_labels_of_held_out_ids_do_not_matter(spark):
     rows = [(i, f"word{i % 7} other{i % 5} more{i}") for i in range(100)]
     df = spark.createDataFrame(rows, DOCS)
