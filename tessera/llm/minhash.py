@@ -30,6 +30,7 @@ from tessera.llm import cluster
 ROWS, BANDS = 6, 42  # a pair at 0.8 shares no band with probability 3e-6
 FEW = 32  # classes of a band that are tested by pairs
 BLOCK = 1024  # classes of a side of a task's work
+BLOCK_BYTES = 16_000_000  # of their texts, on average
 MOST_BROADCAST = 500_000  # ids; some 30 MB as a hash table
 _EMPTY = np.iinfo(np.uint64).max
 
@@ -84,18 +85,19 @@ def _signatures(k: int, rows: int, bands: int):
             sets, first = shingles(at.chunk(table, "text"), k)
             sketches = sketch(sets, first, rows * bands)
             sizes = np.diff(first)
-            keys = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            keys = [_key(sets[a:b]) if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             band = _bands(sketches, rows, bands)
             low = (sketches & np.uint64(0xFF)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     at.chunk(table, "doc_id").cast(pa.int64()),
                     pa.array(sizes, pa.int64()),
+                    pa.array(np.diff(at.raw(at.chunk(table, "text"))[1]), pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array([b if n else None for b, n in zip(band.view(np.int64), sizes.tolist(), strict=True)], pa.list_(pa.int64())),
                     pa.array([x.tobytes() if n else None for x, n in zip(low, sizes.tolist(), strict=True)], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "low"],
+                ["doc_id", "n_shingles", "n_bytes", "set_key", "bands", "low"],
             )
 
     return run
@@ -109,17 +111,25 @@ def _bands(sketches: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return h
 
 
+def _key(own: np.ndarray) -> bytes:
+    """Name of a set of shingles."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def _verifier(k: int, percent: int):
-    """Rows of one centre and salt come in order, the centre's text first: only its set is held."""
+    """Rows of one centre and salt come in order, the centre's text first: only its set is held. Of the texts of a repeated id, those of other sets than the asked one fall out."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, mine = None, np.zeros(0, np.uint64)
         for table in at.batches(frames, "text", 4_000_000):
             sets, first = shingles(at.chunk(table, "text"), k)
             a, b = (at.chunk(table, c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            keys = at.chunk(table, "set_key").to_pylist()
             links = []
             for r in range(table.num_rows):
                 own = sets[first[r] : first[r + 1]]
+                if keys[r] != _key(own):
+                    continue
                 if a[r] == b[r]:
                     centre, mine = a[r], own
                     continue
@@ -138,22 +148,37 @@ def _asked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= MOST_BROADCAST else texts
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets reach the similarity. docs: doc_id, text, a row an id.
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs of classes (a, b) whose full sets reach the similarity. docs: doc_id, text; classes: class, head, set_key.
 
     pairs must be a written table. A centre's text goes once to every 256 of its pairs, the
     other texts once a pair.
     """
     counted = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("shares"))
-    texts = _asked(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     others = pairs.join(counted, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
     centres = counted.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    rows = others.unionByName(centres).join(texts, F.col("b") == F.col("doc_id")).select("a", "b", "share", "text")
+    named = cluster.cut(others.unionByName(centres).join(classes.select(F.col("class").alias("b"), "head", "set_key"), "b"))
+    texts = _asked(docs, named.select(F.col("head").alias("doc_id")).distinct())
+    rows = named.join(texts, F.col("head") == F.col("doc_id")).select("a", "b", "share", "set_key", "text")
     n = cluster.partitions(docs.sparkSession)
     ordered = rows.repartition(n, "a", "share").sortWithinPartitions("a", "share", (F.col("a") != F.col("b")), "b")
     return ordered.mapInArrow(_verifier(k, percent), "a bigint, b bigint")
 
 
+def _joined(solid: DataFrame, classes: DataFrame, column: str, shares: int) -> DataFrame:
+    """Each document with a column of the class of its set.
+
+    A set that more than 1 / shares of all rows have goes to every task instead of meeting its
+    rows in one; there are fewer such sets than shares.
+    """
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    common = F.col("copies") * shares > total
+    hot = F.broadcast(classes.filter(common).select("set_key", column))
+    rare = classes.filter(~common).select("set_key", column)
+    rows = solid.select("doc_id", "set_key")
+    return rows.join(hot, "set_key").unionByName(rows.join(hot, "set_key", "left_anti").join(rare, "set_key")).select("doc_id", column)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Components of documents whose shingle sets S, T have 100 * |S & T| >= percent * |S | T|.
 
@@ -161,60 +186,74 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links, itself included), kept (doc_id = component_id). Null and wordless
     texts have no shingle and no link. Rows with a null doc_id are left out. Rows
-    that repeat a doc_id are one document: they get one component, joined by the links of
-    any of their texts that is compared. An empty table gives an empty result.
+    that repeat a doc_id are one document: all their texts are compared and joined to one
+    component, whatever the order of the rows. An empty table gives an empty result.
     """
-    cluster.short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    cluster.short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    schema = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, low binary"
+    schema = "doc_id bigint, n_shingles bigint, n_bytes bigint, set_key binary, bands array<bigint>, low binary"
     signed = cluster.cut(docs.mapInArrow(_signatures(k, rows, bands), schema))
     solid = signed.filter("set_key is not null")
 
-    classes = solid.groupBy("set_key").agg(F.min("doc_id").alias("head"))
-    member = solid.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "head")
-    heads = solid.join(classes, (solid["set_key"] == classes["set_key"]) & (solid["doc_id"] == classes["head"]), "left_semi").dropDuplicates(["doc_id"])
-    spots = heads.select("doc_id", F.explode("bands").alias("spot"))
-    shared = spots.groupBy("spot").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # A class is a set, numbered where it is written; its head is the smallest document that has it.
+    heads = solid.groupBy("set_key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
+    heads = cluster.cut(heads.withColumn("class", F.monotonically_increasing_id()))
+    member = cluster.cut(_joined(solid, heads, "class", 4 * cluster.partitions(spark)))
+    sketched = solid.join(heads.select("set_key", F.col("head").alias("doc_id"), "class"), ["set_key", "doc_id"])
+    sketched = cluster.cut(sketched.dropDuplicates(["set_key", "doc_id"]).select("class", "bands", "low", "n_bytes"))
+    low = sketched.select("class", "low")
+    spots = sketched.select("class", F.explode("bands").alias("spot"))
+    shared = spots.groupBy("spot").agg(F.min("class").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = cluster.cut(spots.join(shared.select("spot", "centre"), "spot"))
 
-    low = heads.select("doc_id", "low")
+    # Texts of one document are one vertex.
+    several = member.select("doc_id", "class").distinct().groupBy("doc_id").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ties = cluster.cut(member.join(several.select("doc_id", "a"), "doc_id").filter("class <> a").select("a", F.col("class").alias("b")).distinct())
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The links among distinct pairs (a, b): sketches drop hopeless pairs, full sets decide."""
+        """The links among distinct pairs of classes (a, b): sketches drop hopeless pairs, full sets decide."""
         near = (
-            pairs.join(low.select(F.col("doc_id").alias("a"), F.col("low").alias("x")), "a")
-            .join(low.select(F.col("doc_id").alias("b"), F.col("low").alias("y")), "b")
+            pairs.join(low.select(F.col("class").alias("a"), F.col("low").alias("x")), "a")
+            .join(low.select(F.col("class").alias("b"), F.col("low").alias("y")), "b")
             .select("a", "b", "x", "y")
             .mapInArrow(_sieve(rows * bands, percent), "a bigint, b bigint")
         )
-        return cluster.cut(verified(cluster.cut(near), docs, k, percent))
+        return cluster.cut(verified(cluster.cut(near), heads, docs, k, percent))
 
     # Each class against the smallest one that it shares a band with.
-    pairs = cluster.cut(entries.filter("doc_id <> centre").groupBy("doc_id").agg(F.min("centre").alias("a")).select("a", F.col("doc_id").alias("b")))
-    stars = linked(pairs)
+    pairs = cluster.cut(entries.filter("class <> centre").groupBy("class").agg(F.min("centre").alias("a")).select("a", F.col("class").alias("b")))
+    stars = linked(pairs).unionByName(ties)
 
     # What is open: bands shared by classes in different components.
     part = cluster.components(stars)
-    placed = entries.select("spot", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("spot", "doc_id", F.coalesce("component_id", "doc_id").alias("part"))
+    placed = entries.select("spot", "class").join(part.withColumnRenamed("id", "class"), "class", "left").select("spot", "class", F.coalesce("component_id", "class").alias("part"))
     mixed = placed.groupBy("spot").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("spot", "n")
     open_ = cluster.cut(placed.join(mixed, "spot"))
 
     # Bands that few classes share: their pairs. A pair is rows here, so this stays linear in the rows of open_.
     few = open_.filter(F.col("n") <= FEW)
-    left, right = (few.select("spot", F.col("doc_id").alias(x), F.col("part").alias(f"{x}_part")) for x in "ab")
+    left, right = (few.select("spot", F.col("class").alias(x), F.col("part").alias(f"{x}_part")) for x in "ab")
     loose = left.join(right, "spot").filter("a < b and a_part <> b_part").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     links = stars.unionByName(linked(loose))
 
     # Bands that many share: groups around one class of each band, mostly the same in all bands of a group, compared in blocks.
     many = open_.filter(F.col("n") > FEW)
-    rank = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
-    named = many.groupBy("spot").agg(F.min(rank).alias("c")).select("spot", F.col("c.doc_id").alias("group"))
-    grouped = cluster.cut(many.join(named, "spot").groupBy("group", "doc_id").agg(F.first("part").alias("part")))
-    links = links.unionByName(cluster.cut(_compared(grouped, low, docs, k, percent, rows * bands)))
-
-    every = links.unionByName(member.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")))
-    final = cluster.components(every).withColumnRenamed("id", "doc_id")
-    return signed.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
+    rank = F.struct(F.xxhash64("class").alias("h"), "class")
+    named = many.groupBy("spot").agg(F.min(rank).alias("c")).select("spot", F.col("c.class").alias("group"))
+    grouped = cluster.cut(many.join(named, "spot").groupBy("group", "class").agg(F.first("part").alias("part")))
+    if grouped.limit(1).count():
+        links = links.unionByName(cluster.cut(_compared(grouped, sketched, heads, docs, k, percent, rows * bands)))
+
+    # From classes back to documents: a component is named by the smallest head in it.
+    part = cluster.components(links).withColumnRenamed("id", "class")
+    of_class = cluster.cut(heads.select("class", "head").join(part, "class", "left").select("class", "head", F.coalesce("component_id", "class").alias("component")))
+    least = of_class.groupBy("component").agg(F.min("head").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    joint = of_class.join(least.filter("classes > 1"), "component").select("class", "component_id")
+    named = cluster.cut(heads.join(joint, "class", "left").select("set_key", "copies", F.coalesce("component_id", "head").alias("component_id")))
+    final = _joined(solid, named, "component_id", 4 * cluster.partitions(spark)).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    component = F.coalesce("component_id", "doc_id")
+    return signed.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def _least(t: int, percent: int) -> float:
@@ -250,7 +289,8 @@ def _blocks(k: int, percent: int, t: int):
     """Links that join components, between the two sides of each piece of work, or inside one side."""
 
     def links(table: pa.Table) -> pa.RecordBatch | None:
-        side, ids, part = (at.chunk(table, c).to_numpy(zero_copy_only=False) for c in ("side", "doc_id", "part"))
+        side, ids, part = (at.chunk(table, c).to_numpy(zero_copy_only=False) for c in ("side", "class", "part"))
+        texts, keys = at.chunk(table, "text"), table.column("set_key").to_pylist()
         lows = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(-1, t)
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
@@ -264,7 +304,15 @@ def _blocks(k: int, percent: int, t: int):
                 p = root[p]
             return p
 
-        sets = first = None
+        sets: dict[int, np.ndarray | None] = {}
+
+        def of(r: int) -> np.ndarray | None:
+            """The set of a row, or None where it is another text of the row's id."""
+            if r not in sets:
+                own = shingles(texts.slice(r, 1), k)[0]
+                sets[r] = own if _key(own) == keys[r] else None
+            return sets[r]
+
         found: list[tuple[int, int]] = []
         for lo in range(0, len(left), 32):
             some = left[lo : lo + 32]
@@ -275,11 +323,9 @@ def _blocks(k: int, percent: int, t: int):
             for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
                 x, y = int(some[i]), int(right[j])
                 p, q = top(int(part[x])), top(int(part[y]))
-                if p == q:
+                if p == q or of(x) is None or of(y) is None:
                     continue
-                if sets is None:
-                    sets, first = shingles(at.chunk(table, "text"), k)
-                if _similar(sets[first[x] : first[x + 1]], sets[first[y] : first[y + 1]], percent):
+                if _similar(of(x), of(y), percent):
                     root[max(p, q)] = min(p, q)
                     found.append((int(ids[x]), int(ids[y])))
         if not found:
@@ -307,13 +353,15 @@ def _blocks(k: int, percent: int, t: int):
     return run
 
 
-def _compared(grouped: DataFrame, low: DataFrame, docs: DataFrame, k: int, percent: int, t: int) -> DataFrame:
-    """Links that join the components (part) of each group's members. Groups are cut into blocks, and a task holds two blocks at a time."""
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("group", "blocks")
-    placed = grouped.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("blocks")).cast("int"))
-    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = met.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "doc_id", "part")
-    texts = _asked(docs, grouped.select("doc_id").distinct())
-    rows = work.join(low, "doc_id").join(texts, "doc_id").select("group", "i", "j", "side", "doc_id", "part", "low", "text")
-    ordered = rows.repartition(cluster.partitions(docs.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "doc_id", "text")
+def _compared(grouped: DataFrame, sketched: DataFrame, heads: DataFrame, docs: DataFrame, k: int, percent: int, t: int) -> DataFrame:
+    """Links that join the components (part) of each group's members. Groups are cut into blocks of BLOCK classes and BLOCK_BYTES of text, and a task holds two at a time."""
+    members = cluster.cut(grouped.join(sketched.select("class", "n_bytes", "low"), "class").join(heads.select("class", "head", "set_key"), "class"))
+    most = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_bytes") / BLOCK_BYTES)
+    sizes = members.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("group", "blocks")
+    placed = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), F.greatest("blocks", F.lit(1))).cast("int"))
+    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
+    work = met.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "class", "part", "low", "head", "set_key")
+    texts = _asked(docs, members.select(F.col("head").alias("doc_id")).distinct())
+    rows = work.join(texts, F.col("head") == F.col("doc_id")).select("group", "i", "j", "side", "class", "part", "low", "set_key", "text")
+    ordered = rows.repartition(cluster.partitions(docs.sparkSession), "group", "i", "j").sortWithinPartitions("group", "i", "j", "side", "class", "text")
     return ordered.mapInArrow(_blocks(k, percent, t), "a bigint, b bigint")

@@ -132,17 +132,36 @@ def test_embeddings(spark, sizes):
     assert None not in got and len(got) == n + 7
 
 
-def test_embeddings_of_a_large_label_lose_no_pair(spark):
-    rng = np.random.default_rng(5)
-    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, 2000, 64)))
+def planted(n, seed=5, dims=64):
+    """2n vectors, n pairs among them at cosines of 0.9301 to 0.95."""
+    rng = np.random.default_rng(seed)
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.standard_normal((2, n, dims)))
     y -= (x * y).sum(axis=1)[:, None] * x
     y /= np.linalg.norm(y, axis=1)[:, None]
-    c = rng.uniform(0.9301, 0.95, 2000)[:, None]
-    v = np.concatenate((x, c * x + np.sqrt(1 - c * c) * y))
-    links = (v @ v.T >= 0.93).sum(axis=1) - 1
-    got = embeddings.near_duplicates(spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id bigint, embedding array<double>, label int")).collect()
+    c = rng.uniform(0.9301, 0.95, n)[:, None]
+    return np.concatenate((x, c * x + np.sqrt(1 - c * c) * y))
+
+
+@pytest.mark.parametrize(("n", "sizes"), [(2000, {}), (4096, {}), (6000, {"leaf": 4096, "block": 2048})])  # one block; two blocks of one leaf; trees
+def test_embeddings_of_a_large_label_lose_no_pair(spark, n, sizes):
+    v = planted(n)
+    links = np.concatenate([(v[i : i + 1000] @ v.T >= 0.93).sum(axis=1) - 1 for i in range(0, len(v), 1000)])
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id bigint, embedding array<double>, label int"), **sizes).collect()
     assert [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == links.tolist()
-    assert {(r.vec_id, r.component_id) for r in got} == {(i, i % 2000) for i in range(4000)}
+    assert {(r.vec_id, r.component_id) for r in got} == {(i, i % n) for i in range(2 * n)}
+
+
+def test_links_of_a_dense_group_are_no_rows():
+    """Blocks of near copies return rows in proportion to their vectors."""
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal(32) + 0.01 * rng.standard_normal((600, 32))
+    table = pa.table({"side": pa.array([0] * 300 + [1] * 300, pa.int32()), "head": pa.array(range(600)), "copies": pa.array([2] * 600), "leaves": pa.array([[7]] * 600), "embedding": pa.array(v.tolist())})
+    out = embeddings._work(0.93)((pa.scalar(7),), table).to_pylist()
+    assert len(out) == 600 + 599
+    assert {r["n"] for r in out if r["b"] is None} == {600} and {r["b"] for r in out} == {None, 0}
+    meet = table.set_column(3, "leaves", pa.array([[3, 7]] * 300 + [[7, 9]] * 299 + [[3, 7]]))  # one pair of lists has an earlier leaf in common
+    out = embeddings._work(0.93)((pa.scalar(7),), meet).to_pylist()
+    assert {r["a"]: r["n"] for r in out if r["b"] is None} == {i: 598 if i < 300 else 600 for i in range(599)}
 
 
 def test_embeddings_empty(spark):
@@ -513,6 +532,34 @@ def test_minhash_odd_rows(spark):
     assert [(x.doc_id, x.component_id) for x in got] == [(1, 1), (1, 1), (2, 2), (3, 1)]
 
 
+def test_minhash_compares_every_text_of_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2_000)
+    r = random.Random(2)
+    say = lambda n: " ".join(f"w{r.randrange(1000)}" for _ in range(n))
+    near = lambda text: " ".join([*text.split()[:-1], "end"])
+    one, two, three, dense = say(60), say(60), say(60), say(80).split()
+    rows = [(1, one), (2, two), (2, near(one)), (3, near(two)), (4, three), (5, None), (5, near(three)), (6, ""), (7, three), (7, three), (8, None)]
+    for i in range(20, 80):  # some of these repeat an id with another text
+        own = list(dense)
+        for _ in range(3):
+            own[r.randrange(80)] = f"x{r.randrange(10**6)}"
+        rows += [(i, " ".join(own))] + ([(i, say(70))] if i % 7 == 0 else [])
+    sets = [(i, shingles(t, 4)) for i, t in rows]
+    ids = sorted({i for i, _ in rows})
+    part = {i: i for i in ids}
+    links = [(a, b) for a, s in sets for b, t in sets if s and t and 100 * len(s & t) >= 80 * len(s | t)]
+    for _ in ids:
+        for a, b in links:
+            part[a] = part[b] = min(part[a], part[b])
+    assert [part[i] for i in (1, 2, 3, 5, 7)] == [1, 1, 1, 4, 4]
+    for seed, few in ((0, 32), (1, 2), (2, 2)):
+        monkeypatch.setattr(minhash, "FEW", few)
+        random.Random(seed).shuffle(rows)
+        got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(1 + seed), k=4).collect()
+        assert sorted((x.doc_id, x.n_shingles) for x in got) == sorted((i, len(shingles(t, 4))) for i, t in rows)
+        assert {x.doc_id: x.component_id for x in got} == part and all(x.kept == (x.doc_id == x.component_id) for x in got)
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     for n in (1, 3, 50, 5000):
