@@ -43,7 +43,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices of the edges and the smallest vertex of each one's component."""
     ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = codes[: len(a)], codes[len(a) :]
@@ -68,7 +68,7 @@ def _contract(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = 0
 
     def flush() -> pa.RecordBatch:
-        v, root = _roots(np.concatenate(held_a), np.concatenate(held_b))
+        v, root = roots(np.concatenate(held_a), np.concatenate(held_b))
         far = v != root
         return pa.RecordBatch.from_arrays([pa.array(v[far]), pa.array(root[far])], ["a", "b"])
 

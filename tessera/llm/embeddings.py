@@ -11,6 +11,9 @@ Equal vectors collapse first. A label with more vectors than a leaf holds is cut
 each level sorts a node along a fresh direction and halves it at the median, and vectors
 within half a window of the cut go to both sides, so that a near pair stays
 together. Two trees over different directions make up for pairs that one of them parts.
+
+Links are never rows: a piece of work returns how many links each vector has in it and a
+spanning forest. A pair that meets in several leaves counts in the first that both vectors have.
 """
 
 from __future__ import annotations
@@ -66,29 +69,28 @@ def _routes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(dims == dim)
             for i, r in zip(at.tolist(), _unit([values[i] for i in at]) @ _directions(dim, ROUTES, 1), strict=True):
                 rows[i] = r
-        yield pa.RecordBatch.from_arrays([frame.column("head"), frame.column("embedding"), frame.column("node"), pa.array(rows, pa.list_(pa.float64()))], ["head", "embedding", "node", "routes"])
+        yield pa.RecordBatch.from_arrays([frame.column("head"), frame.column("node"), pa.array(rows, pa.list_(pa.float64()))], ["head", "node", "routes"])
 
 
-def near_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smaller id, larger id) of unit rows of x and other with at least that cosine."""
+def near_pairs(x: np.ndarray, other: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of x, row of other) of unit rows with at least that cosine, some at a time."""
     apart = sqrt(2 - 2 * cosine)
     w = WIDTH * apart
     need = least_count(DIRECTIONS, erf(WIDTH / sqrt(2)), MISSED - erfc(GATHER_WIDTH / sqrt(2)))
     a = _directions(x.shape[1], DIRECTIONS, 0)
     mine, theirs = x @ a, other @ a
-    by = np.argsort(theirs[:, 0], kind="stable")
-    theirs, other, other_ids = np.ascontiguousarray(theirs[by].astype(np.float32).T), other[by], other_ids[by]
+    to = np.argsort(theirs[:, 0], kind="stable")
+    theirs, other = np.ascontiguousarray(theirs[to].astype(np.float32).T), other[to]
     by = np.argsort(mine[:, 0], kind="stable")
-    x, ids, mine = x[by], ids[by], np.ascontiguousarray(mine[by].astype(np.float32).T)
+    x, mine = x[by], np.ascontiguousarray(mine[by].astype(np.float32).T)
     w, gather = np.float32(w), np.float32(GATHER_WIDTH * apart)
-    out_a, out_b = [], []
-    for lo in range(0, len(ids), 64):
+    for lo in range(0, len(x), 64):
         own = slice(lo, lo + 64)
         first = int(np.searchsorted(theirs[0], mine[0, lo] - gather))
         last = int(np.searchsorted(theirs[0], mine[0, own][-1] + gather, "right"))
         if last <= first:
             continue
-        count = np.zeros((len(ids[own]), last - first), np.uint8)
+        count = np.zeros((len(x[own]), last - first), np.uint8)
         gap, near = np.empty(count.shape, np.float32), np.empty(count.shape, bool)
         for i in range(DIRECTIONS):
             np.subtract(mine[i, own][:, None], theirs[i, first:last][None, :], out=gap)
@@ -99,45 +101,76 @@ def near_pairs(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, other: np.
         for at in range(0, len(q), 100_000):
             p, r = q[at : at + 100_000], o[at : at + 100_000]
             good = np.einsum("ij,ij->i", x[p], other[r]) >= cosine
-            out_a.append(ids[p[good]])
-            out_b.append(other_ids[r[good]])
-    if not out_a:
-        none = np.zeros(0, np.int64)
-        return none, none
-    first_, second = np.concatenate(out_a), np.concatenate(out_b)
-    return np.minimum(first_, second), np.maximum(first_, second)
+            yield by[p[good]], to[r[good]]
+
+
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest value that rows of a and b share, of each pair of rows."""
+    top = np.iinfo(np.int64).max
+    least = np.full(len(a), top)
+    for i in range(a.shape[1]):
+        shared = (a[:, i, None] == b).any(axis=1)
+        np.minimum(least, np.where(shared, a[:, i], top), out=least)
+    return least
 
 
 def _work(cosine: float):
-    """One pair of blocks of a leaf: links between the blocks, or inside where they are the same."""
+    """One pair of blocks of a leaf: of the links between the blocks, or inside where they are the same, the degrees and a spanning forest.
+
+    A pair that meets in several leaves counts in the first that both have.
+    """
 
     def run(key, table):
-        side = np.array(table.column("side").to_pylist())
-        ids = np.array(table.column("head").to_pylist(), np.int64)
+        node = key[0].as_py()
+        side = table.column("side").to_numpy()
+        ids, copies = table.column("head").to_numpy(), table.column("copies").to_numpy()
         x = _unit(table.column("embedding").to_pylist())
-        left, right = side == 0, side == 1
-        same = not right.any()
-        a, b = near_pairs(ids[left], x[left], ids[left if same else right], x[left if same else right], cosine)
-        if same:  # each pair was met from both ends
-            keep = a < b
-            a, b = a[keep], b[keep]
-            both = np.unique(np.stack((a, b)), axis=1)
-            a, b = both
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        lists = table.column("leaves").to_pylist()
+        leaves = None
+        if (most := max(map(len, lists))) > 1:
+            leaves = np.array([[*v, *v[:1] * (most - len(v))] for v in lists], np.int64)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not len(right)
+        right = left if same else right
+        degree = np.zeros(len(ids), np.int64)
+        root = np.arange(len(ids))
+        for p, r in near_pairs(x[left], x[right], cosine):
+            p, r = left[p], right[r]
+            if same:  # each pair is met from both ends
+                p, r = p[p < r], r[p < r]
+            if leaves is not None:
+                for lo in range(0, len(p), 20_000):
+                    own = slice(lo, lo + 20_000)
+                    r[own][_first_common(leaves[p[own]], leaves[r[own]]) != node] = -1
+                p, r = p[r >= 0], r[r >= 0]
+            np.add.at(degree, p, copies[r])
+            np.add.at(degree, r, copies[p])
+            a, b = root[p], root[r]
+            if (apart := a != b).any():
+                v, low = cluster.roots(a[apart], b[apart])
+                new = np.arange(len(ids))
+                new[v] = low
+                root = new[root]
+        near, tied = np.flatnonzero(degree), np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({
+            "a": pa.array(np.concatenate((ids[near], ids[tied]))),
+            "b": pa.array([*[None] * len(near), *ids[root[tied]].tolist()], pa.int64()),
+            "n": pa.array(np.concatenate((degree[near], np.zeros(len(tied), np.int64)))),
+        })
 
     return run
 
 
 def _leaves(heads: DataFrame, cosine: float, leaf: int) -> DataFrame:
-    """Rows (node, head, embedding) so that a node has at most leaf rows, or can't be cut further."""
+    """Rows (node, leaves, head, copies, embedding) so that a node has at most leaf rows, or can't be cut further; leaves: all nodes of the row's head."""
     half = ROUTE_WIDTH * sqrt(2 - 2 * cosine) / 2
     rows = heads
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.filter(F.col("n") > leaf).select("node", "n")
     if not large.limit(1).count():
-        return rows.select("node", "head", "embedding")
-    small = rows.join(large, "node", "left_anti").select("node", "head", "embedding")
-    routed = rows.join(large.select("node"), "node").mapInArrow(_routes, "head bigint, embedding array<double>, node bigint, routes array<double>")
+        return rows.withColumn("leaves", F.array("node"))
+    small = rows.join(large, "node", "left_anti").select("node", "head")
+    routed = rows.join(large.select("node"), "node").mapInArrow(_routes, "head bigint, node bigint, routes array<double>")
     todo = cluster.cut(routed.withColumn("tree", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("node", F.xxhash64("node", "tree")))
     done = small
     for level in range(ROUTES // 2):
@@ -147,11 +180,14 @@ def _leaves(heads: DataFrame, cosine: float, leaf: int) -> DataFrame:
         sides = F.filter(F.array(F.when(F.col("h") - half <= F.col("middle"), 0), F.when(F.col("h") + half > F.col("middle"), 1)), lambda s: s.isNotNull())
         todo = cluster.cut(split.withColumn("side", F.explode(sides)).withColumn("node", F.xxhash64("node", "side")).drop("h", "middle", "side"))
         large = cluster.cut(todo.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf).select("node"))
-        done = done.unionByName(todo.join(large, "node", "left_anti").select("node", "head", "embedding"))
+        done = done.unionByName(todo.join(large, "node", "left_anti").select("node", "head"))
         todo = todo.join(large, "node")
         if not large.limit(1).count():
-            return done
-    return done.unionByName(todo.select("node", "head", "embedding"))
+            break
+    else:
+        done = done.unionByName(todo.select("node", "head"))
+    placed = cluster.cut(done.groupBy("head").agg(F.sort_array(F.collect_set("node")).alias("leaves")))
+    return rows.drop("node").join(placed, "head").withColumn("node", F.explode("leaves"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
@@ -170,18 +206,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, leaf: int = LEAF,
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("embedding", lambda v: v != 0)
     valid = own.filter(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     classes = cluster.cut(valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("copies")))
-    heads = classes.select(F.xxhash64("label", F.size("embedding")).alias("node"), "head", "embedding")
+    heads = classes.select(F.xxhash64("label", F.size("embedding")).alias("node"), "head", "copies", "embedding")
     leaves = cluster.cut(_leaves(heads, cosine, leaf))
     # Blocks of a leaf meet in pairs; each pair of blocks is one bounded piece of work.
     blocks = leaves.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = leaves.join(blocks, "node").withColumn("own", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = met.select("node", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "head", "embedding")
-    found = work.groupBy("node", "i", "j").applyInArrow(_work(cosine), "a bigint, b bigint")
-    links = cluster.cut(found.distinct())
-    copies = classes.select("head", "copies")
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.join(copies.select(F.col("head").alias("b"), "copies"), "b").groupBy(F.col("a").alias("head")).agg(F.sum("copies").alias("others"))
+    work = met.select("node", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "head", "copies", "leaves", "embedding")
+    # Rows grow with the vectors, not with their links: those are summed in the piece of work that finds them.
+    found = cluster.cut(work.groupBy("node", "i", "j").applyInArrow(_work(cosine), "a bigint, b bigint, n bigint"))
+    degree = found.filter("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("others"))
+    links = found.filter("b is not null").select("a", "b")
     part = cluster.components(links).withColumnRenamed("id", "head")
     each = classes.join(degree, "head", "left").join(part, "head", "left").select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "head").alias("component_id"))
     linked = valid.join(each, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
