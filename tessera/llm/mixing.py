@@ -20,6 +20,7 @@ from tessera.llm import cluster
 ROUNDS = 100
 CLOSE = 1e-9  # relative change of the weights at which raking stops
 MOST_CELLS = 200_000  # raked on the driver; more are raked as a table
+MOST_BROADCAST = 500_000  # ids with their values sent to every task, some 40 MB; more are joined by a shuffle
 _NULL = "\ue000"  # a null value of a dimension is a value of its own, named by a private character
 
 
@@ -107,10 +108,12 @@ def _as_table(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, Mappi
     return cells.select(*dims, "weight", F.least(F.lit(1.0), F.lit(c) * F.col("weight")).alias("probability"))
 
 
-def sample(docs: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], share: float, seed: int = 0, most_cells: int = MOST_CELLS) -> DataFrame:
+def sample(docs: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[str, float] | float], share: float, seed: int = 0, most_cells: int = MOST_CELLS, also: DataFrame | None = None) -> DataFrame:
     """Every document with its chance, and whether it is sampled.
 
-    docs needs doc_id, text and the columns dims. targets has for each of dims the wanted share of
+    docs needs doc_id, text and the columns dims; of these, also (doc_id, a row an id, and one or
+    more of dims) gives those that it has, null for ids that it lacks, whatever docs holds under their
+    names. targets has for each of dims the wanted share of
     each value, or a power for shares in proportion to that power of the present ones;
     values without a target get nothing. share is the share of all tokens to keep. Returns a row
     a row: doc_id, the dims as strings, weight (wanted tokens over present ones of the cell),
@@ -118,16 +121,23 @@ def sample(docs: DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping[s
     dims is a value of its own, named U+E000 in targets and null in the result. Texts without words have no tokens and their cell's
     chance. Rows that repeat a doc_id are kept or not together, and so are those with a null one.
     """
-    keyed = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        *(F.coalesce(F.col(f"`{d}`").cast("string"), F.lit(_NULL)).alias(d) for d in dims),
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-    )
-    cells = keyed.groupBy(*dims).agg(F.sum(tokens(F.col("row.text"))).alias("tokens"))
-    cells = cluster.cut(cells)
+    given = [d for d in dims if also is not None and d in also.columns]
+    named = lambda d: F.coalesce(F.col(f"`{d}`").cast("string"), F.lit(_NULL)).alias(d)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(named(d) for d in dims if d not in given), tokens(F.col("text")).alias("tokens"), row)
+    if given:
+        lookup = also.select(F.col("doc_id").cast("bigint").alias("also_id"), *(F.col(f"`{d}`").cast("string").alias(d) for d in given)).filter("also_id is not null")
+        if lookup.count() <= MOST_BROADCAST:
+            lookup = F.broadcast(lookup)
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(lookup, F.col("doc_id") == F.col("also_id"), "left").drop("also_id").withColumns({d: named(d) for d in given}) if given else df
+
+    # Texts are no part of this join: their tokens are counted before it.
+    cells = cluster.cut(placed(keyed.drop("row")).groupBy(*dims).agg(F.sum("tokens").alias("tokens")))
     small = cells.limit(most_cells + 1).count() <= most_cells
     chance = _on_driver(cells, dims, targets, share) if small else cluster.cut(_as_table(cells, dims, targets, share))
-    joined = keyed.join(F.broadcast(chance) if small else chance, list(dims))
+    joined = placed(keyed.drop("tokens")).join(F.broadcast(chance) if small else chance, list(dims))
     unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     shown = (F.when(F.col(d) == _NULL, None).otherwise(F.col(d)).alias(d) for d in dims)
     return joined.select("doc_id", *shown, "weight", "probability", (unit < F.col("probability")).alias("selected"), "row")

@@ -27,10 +27,9 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
-def with_topic(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """docs with the label of the embedding of the same id as topic, null where there is none."""
-    topics = table(spark, sf_dir, "embeddings").filter("vec_id is not null").groupBy(F.col("vec_id").alias("__vec")).agg(F.min("label").cast("string").alias("topic"))
-    return docs.drop("topic").join(topics, F.col("doc_id") == F.col("__vec"), "left").drop("__vec")
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic of a document: the label of the embedding of the same id."""
+    return table(spark, sf_dir, "embeddings").filter("vec_id is not null").groupBy(F.col("vec_id").alias("doc_id")).agg(F.min("label").cast("string").alias("topic"))
 
 
 #: Shares in proportion to a power of the present ones, and the share of all tokens to keep.
@@ -39,8 +38,7 @@ MIX_SHARE = 0.6
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_topic(spark, sf_dir, table(spark, sf_dir, "documents"))
-    return mixing.sample(docs, list(MIX), MIX, MIX_SHARE).drop("row")
+    return mixing.sample(table(spark, sf_dir, "documents"), list(MIX), MIX, MIX_SHARE, also=topics(spark, sf_dir)).drop("row")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,6 +241,15 @@ def test_mixing(spark, empty):
     assert mixing.sample(odd(spark), ["source"], {"source": 1.0}, 1.0).filter("selected").count() == 5
 
 
+def test_mixing_by_a_column_of_another_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "mine"), (2, "a", "mine"), (2, "b", None), (3, None, "mine"), (None, "c", "mine")], "doc_id bigint, text string, topic string")
+    also = spark.createDataFrame([(1, 7), (2, 8), (None, 9), (4, 9)], "doc_id bigint, topic int")
+    for most in (mixing.MOST_BROADCAST, 0):
+        monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+        out = mixing.sample(docs, ["topic"], {"topic": {"7": 1.0, "8": 1.0}}, 1.0, also=also).collect()
+        assert sorted((str(r.doc_id), str(r.topic), str(r.row.topic), r.weight) for r in out) == [("1", "7", "mine", 1.25), ("2", "8", "None", 1.25), ("2", "8", "mine", 1.25), ("3", "None", "mine", 0.0), ("None", "None", "mine", 0.0)]
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------
 
 

@@ -38,13 +38,13 @@ def test_one_row_a_document(spark, sf, name):
 
 
 def test_stages(spark, sf):
-    docs = q.table(spark, sf, "documents").withColumn("extra", F.lit("kept")).cache()
+    docs = q.table(spark, sf, "documents").withColumns({"extra": F.lit("kept"), "topic": F.lit("kept")}).cache()
     names, n = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf).cache()
         assert out.columns == names, name
         assert out.select("doc_id").distinct().count() == out.count() <= n
-        assert out.join(docs, "doc_id", "left_anti").count() == 0 and out.first().extra == "kept"
+        assert out.join(docs, "doc_id", "left_anti").count() == 0 and out.first().extra == out.first().topic == "kept"
         docs, n = out, out.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == n > 0
@@ -58,6 +58,8 @@ def test_stages_of_odd_rows(spark, sf):
         out = stage(spark, docs, sf)
         if at == 1:
             assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "3", "None"]
+            unlike = docs.unionByName(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(1).cast("bigint")).withColumn("text", F.lit("another text of an id")))
+            assert sorted(str(r.doc_id) for r in stage(spark, unlike, sf).collect()) == ["1", "1", "2", "3", "None"]
         assert out.count() <= 6
 
 
