@@ -15,9 +15,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; documents without an id stay."""
+    """One document of each group of near copies stays, the one with the smallest id; documents without an id stay. Of rows that repeat an id, one of each text stays."""
     kept = minhash.near_duplicates(docs, k=5, percent=80).filter("kept").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
     known = docs.join(kept, "doc_id", "left_semi").withColumn("__first", first).filter("__first = 1").drop("__first")
     return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
@@ -32,7 +32,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics are near their target shares."""
-    return mixing.sample(q.with_topic(spark, sf_dir, docs), list(q.MIX), q.MIX, q.MIX_SHARE).filter("selected").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return mixing.sample(docs, list(q.MIX), q.MIX, q.MIX_SHARE, also=q.topics(spark, sf_dir)).filter("selected").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
