@@ -197,6 +197,60 @@ def test_fingerprints(spark, docs, empty):
     assert phrases.edit_fingerprints(odd(spark)).count() == 4
 
 
+def slow_names(text, levels):
+    """Names of the phrases of a text at the last level, one symbol at a time."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return h ^ (h >> 31)
+
+    symbols, bits = list(text.encode()), 8
+    for _ in range(levels):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        wide = [x if n == 1 else mix((x + 0x9E3779B97F4A7C15 * n) & mask) for x, n in runs]
+        labels = [x for x, _ in runs] if bits == 8 else wide
+        left = bits
+        while True:
+            low = [0 if i == 0 else (d := labels[i] ^ labels[i - 1], (d & -d).bit_length() - 1)[1] for i in range(len(labels))]
+            labels = [2 * b + ((x >> b) & 1) for b, x in zip(low, labels, strict=True)]
+            if left <= 3:
+                break
+            left = (2 * left - 1).bit_length()
+        starts = [i for i in range(len(labels)) if i == 0 or (i + 1 < len(labels) and labels[i - 1] < labels[i] > labels[i + 1])]
+        symbols = []
+        for a, b in zip(starts, [*starts[1:], len(wide)], strict=True):
+            total = sum(mix((x + 0x9E3779B97F4A7C15 * (j + 1)) & mask) for j, x in enumerate(wide[a:b])) + b - a
+            symbols.append(mix(total & mask))
+        bits = 64
+    return symbols
+
+
+def test_fingerprints_against_brute_force():
+    r = random.Random(9)
+    texts = ["", "a", "aa", "ab", "aaaaabbbbb", "x" * 3000] + ["".join(r.choice("abcé \n") for _ in range(r.randint(1, 400))) for _ in range(60)] + ["".join(r.choice("abcdefgh") for _ in range(9000))]
+    texts += [t[:200] + t[260:] for t in texts[6:20]]
+    for levels in (1, 2, 3):
+        prints = phrases.sketches(pa.array(texts), levels, 64)
+        names = [sorted({x >> 32 for x in slow_names(t, levels)}) if t else [] for t in texts]
+        assert [p.tolist() for p in prints] == [n[:64] for n in names]
+        for i in range(0, len(texts) - 1, 3):
+            for j in (i + 1, len(texts) - 1 - i % 5):
+                x, y = set(names[i]), set(names[j])
+                got = phrases.likeness(prints[i], prints[j], 64)
+                if len(x | y) <= 64:
+                    assert got == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
+                else:  # of the smallest values of the union
+                    least = sorted(x | y)[:64]
+                    assert got == pytest.approx(len(set(least) & x & y) / 64)
+
+
 def test_phrases_do_not_depend_on_the_offset():
     r = random.Random(0)
     text = "".join(r.choice("abcdefgh ") for _ in range(6000))
@@ -357,13 +411,58 @@ def test_licenses_in_narrow_lines_and_own_sentences(spark):
             found = licenses.Recogniser().sentences(text)
             assert [x for *_, x in found] == [name], (name, width)
             assert text[found[0][0] :].startswith(licenses.SENTENCES[name].split()[0]) and text[found[0][1] :] == "Words after."
-    assert all(re.search(licenses._HINT, x.replace(" ", "\n")) for x in licenses.SENTENCES.values())
+    assert all(re.search(licenses.Recogniser().hint(), x.replace(" ", "\n")) for x in licenses.SENTENCES.values())
     own = {"beer": "You can do whatever you want with this stuff"}
     rows = [(1, "Hello. You can do whatever\nyou want with this stuff."), (2, "other stuff")]
     got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, DOCS), own, (("Beerware", ("beer",)),)).collect()}
     assert got == {1: ["Beerware"], 2: []}
 
 
+def test_licence_families():
+    known = licenses.Recogniser()
+    say = lambda text: known.licences([x for *_, x in known.sentences(text)])
+    for name, stem, version in (("GNU General Public License", "GPL", "2"), ("GNU Lesser General Public License", "LGPL", "2.1"), ("GNU Affero General Public License", "AGPL", "3")):
+        dotted = version if "." in version else f"{version}.0"
+        notice = textwrap.fill(f"This program is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.", 70)
+        rest = textwrap.fill(f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the {name} for more details.", 60)
+        assert say(f"# x.c\n\n{notice}\n\n{rest}\n\ncode") == [f"{stem}-{dotted}-or-later"]
+        assert say(f"Released under the {name}, version {version} or later.") == [f"{stem}-{dotted}-or-later"]
+        assert say(f"Released under the {name}, version {version}.") == [f"{stem}-{dotted}"]
+        assert say(f"// SPDX-License-Identifier: {stem}-{dotted}-only\ncode") == [f"{stem}-{dotted}-only"]
+    s = licenses.SENTENCES
+    text = lambda *keys: "\n\n".join(s[k] + "." for k in keys)
+    bsd = ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis", "bsd-liability")
+    assert say("Copyright (c) 2001 Some One. All rights reserved.\n\n" + text(*bsd)) == ["BSD-3-Clause"]
+    assert say(text(*bsd[:3], "rights-reserved", *bsd[4:])) == ["BSD-2-Clause"]  # a sentence between that the rule doesn't name
+    assert say(text("zlib-asis", "zlib-liability", "zlib-grant") + " 1. " + text("zlib-origin") + " 2. " + text("zlib-altered") + " 3. " + text("zlib-notice")) == ["Zlib"]
+    assert say(text("mit-grant", "mit-short", "mit-notice", "mit-asis", "mit-liability", "mit-grant", "mit-notice")) == ["MIT", "MIT", "MIT"]
+    assert say(text("isc-grant", "isc-asis", "isc-liability")) == ["ISC"] and say("some words. " * 100_000 + text("cc0-short")) == ["CC0-1.0"]
+
+
+def test_rules_against_brute_force():
+    """The longest rule that follows in order from the first free identifier, tried as all choices of places."""
+    from itertools import combinations
+
+    r = random.Random(0)
+    rules = [("X", ("a",)), ("Y", ("a", "b")), ("Z", ("a", "b", "c")), ("V", ("c", "a")), ("W", ("b", "b")), ("X2", ("a",))]
+    known = licenses.Recogniser({x: f"sentence {x}" for x in "abcd"}, tuple(rules))
+    for _ in range(400):
+        ids = [r.choice("abcd") for _ in range(r.randint(0, 9))]
+        free, want = list(range(len(ids))), []
+        for i in range(len(ids)):
+            if i not in free:
+                continue
+            for name, rule in sorted(rules, key=lambda x: -len(x[1])):
+                later = [c for c in combinations([j for j in free if j > i], len(rule) - 1) if [ids[j] for j in (i, *c)] == list(rule)]
+                later = [c for c in later if not any(ids[j] == rule[0] for j in range(i + 1, max(c, default=i)))]
+                if ids[i] == rule[0] and later:
+                    best = min(later)  # the nearest place of each
+                    free = [j for j in free if j not in (i, *best)]
+                    want.append(name)
+                    break
+        assert known.licences(ids) == want, ids
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------
 
 
