@@ -17,9 +17,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrowtext as at
@@ -169,6 +168,18 @@ def _edits(levels: int, size: int):
     return run
 
 
+def _part(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are above an id: a tree of comparisons."""
+
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(len(cuts) - lo)
+        middle = (lo + hi) // 2
+        return F.when(doc_id < cuts[middle], below(lo, middle)).otherwise(below(middle + 1, hi))
+
+    return below(0, len(cuts)).cast("int")
+
+
 def edit_fingerprints(docs: DataFrame, levels: int = LEVELS, size: int = SIZE) -> DataFrame:
     """Fingerprints of each text and of its text edited with the next document's.
 
@@ -188,20 +199,13 @@ def edit_fingerprints(docs: DataFrame, levels: int = LEVELS, size: int = SIZE) -
     # Some n ids on the driver, as a range partitioner holds them.
     cuts = np.array(sorted(set(keyed.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else [], np.float64).astype(np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64)), dtype="int32")
-
-    heads = {r.part: r.head for r in keyed.select("doc_id", part_of("doc_id").alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    part = _part(F.col("doc_id"), cuts.tolist())
+    heads = {r.part: r.head for r in keyed.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     full = sorted(heads)
-    asked = {heads[p]: full[i - 1] for i, p in enumerate(full)}  # a part's first document is also what follows the part before it
-
-    @F.pandas_udf("array<int>")
-    def parts_of(ids: pd.Series) -> pd.Series:
-        own = len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64))
-        return pd.Series([[p, asked[i]] if i in asked else [p] for i, p in zip(ids.tolist(), own.tolist(), strict=True)])
-
-    dealt = keyed.select("doc_id", "text", F.posexplode(parts_of("doc_id")).alias("look", "part"))
+    # A part's first document is also what follows the part before it. A row a part: its first document, and the part before.
+    before = spark.createDataFrame([(heads[p], full[i - 1]) for i, p in enumerate(full)], "head bigint, before int")
+    places = F.filter(F.array(part, F.col("before")), lambda p: p.isNotNull())
+    dealt = keyed.join(F.broadcast(before), F.col("doc_id") == F.col("head"), "left").select("doc_id", "text", F.posexplode(places).alias("look", "part"))
     ordered = dealt.repartition(n, "part").sortWithinPartitions("part", "look", F.col("doc_id").desc(), "text")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ordered.mapInArrow(_edits(levels, size), schema)
