@@ -4,7 +4,8 @@ Segments of a path are the levels of the host's tree. Digits in a segment always
 segment is first reduced to its shape (each run of digits becomes one `#`). At each node a
 segment stays a branch of its own if its labelled pages differ from those of its siblings
 (two-proportion z), however small its share of the pages is; branches that are statistically
-alike, and those with too few pages or labels to tell, merge into the wildcard `*`. Leaves are templates. A template's
+alike, and those with too few pages or labels to tell, merge into the wildcard `*`; branches that differ
+from it but not from each other merge into one, named `{first+}`. Leaves are templates. A template's
 purity is its share of good labelled pages, smoothed to its host's share and that to the
 share of all; templates below LEAST_PURITY are rejected. Explicit rules go first.
 
@@ -14,6 +15,7 @@ shuffle by its name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +61,22 @@ def _shape(path: Column) -> Column:
     return F.regexp_replace(path, "[0-9]+", "#")
 
 
+def _merged(kept: DataFrame) -> DataFrame:
+    """A name for each branch that is unlike the wildcard: its own, or one that it shares with siblings it is statistically like.
+
+    Siblings meet by their share of bad pages on a scale on which shares vary alike (the arc sine of the
+    root), cut into steps that two branches with the fewest labels can't be told apart within; one
+    of the cuts is at the purity that rejects. Of these, a branch that the sum of its step can't be told from joins it.
+    """
+    share = F.col("bad") / F.col("labelled")
+    step = F.floor((F.asin(F.sqrt(share)) - math.asin(math.sqrt(1 - LEAST_PURITY))) / (DIFFERENT * math.sqrt(1 / (2 * LEAST_LABELS))))
+    placed = kept.withColumn("step", step)
+    sums = placed.groupBy("host", "template", "step").agg(F.min("segment").alias("first"), F.count(F.lit(1)).alias("branches"), (F.sum("bad") / F.sum("labelled")).alias("all"))
+    like = (F.abs(share - F.col("all")) < DIFFERENT * F.sqrt(F.col("all") * (1 - F.col("all")) / F.col("labelled"))) | (share == F.col("all"))
+    name = F.when((F.col("branches") > 1) & like, F.concat(F.lit("{"), F.col("first"), F.lit("+}"))).otherwise(F.col("segment"))
+    return placed.join(sums, ["host", "template", "step"]).select("host", "template", "segment", name.alias("name"))
+
+
 def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The template of each (host, shape). counts: host, shape, n pages, labelled, bad; a row a shape."""
     parts = F.split(F.regexp_replace("shape", "^/", ""), "/")
@@ -68,20 +86,20 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     for i in range(levels):
         here = tree.withColumn("segment", F.get("segments", F.lit(i)))
         left = cluster.cut(here.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
-        named = left.select("host", "template", "segment", F.lit(True).alias("own")).limit(0)
+        kept = left.limit(0)
         while True:  # what leaves the wildcard moves its share, so the others are tested again
             node = left.groupBy("host", "template").agg(*(F.sum(c).alias(f"all_{c}") for c in ("labelled", "bad")))
             share = F.col("all_bad") / F.col("all_labelled")
             z = F.abs(F.col("bad") / F.col("labelled") - share) / F.sqrt(share * (1 - share) / F.col("labelled"))
             own = (F.col("n") >= SUPPORT) & (F.col("labelled") >= LEAST_LABELS) & F.when((F.col("labelled") > 0) & (share > 0) & (share < 1), z >= DIFFERENT).otherwise(False)
-            unlike = cluster.cut(left.join(node, ["host", "template"]).filter(own).select("host", "template", "segment", F.lit(True).alias("own")))
+            unlike = cluster.cut(left.join(node, ["host", "template"]).filter(own).select(left.columns))
             if not unlike.limit(1).count():
                 break
-            named = named.unionByName(unlike)
+            kept = kept.unionByName(unlike)
             left = cluster.cut(left.join(unlike, ["host", "template", "segment"], "left_anti"))
-        tree = here.join(named, ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("segment")).otherwise(F.lit("*"))))
-        ).drop("segment", "own")
+        tree = here.join(_merged(kept), ["host", "template", "segment"], "left").withColumn(
+            "template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*"))))
+        ).drop("segment", "name")
         tree = cluster.cut(tree)
     return tree.select("host", "shape", "template", "n", "labelled", "bad")
 
@@ -110,9 +128,12 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tup
     hosts = leaves.groupBy("host").agg(((F.sum("labelled") - F.sum("bad") + SMOOTHING * good) / (F.sum("labelled") + SMOOTHING)).alias("host_good"))
     purity = (F.sum("labelled") - F.sum("bad") + SMOOTHING * F.first("host_good")) / (F.sum("labelled") + SMOOTHING)
     pure = leaves.join(hosts, "host").groupBy("host", "template").agg(purity.alias("purity"))
-    known = cluster.cut(leaves.select("host", "shape", "template").join(pure, ["host", "template"]))
+    known = cluster.cut(leaves.select("host", "shape", "template", "n").join(pure, ["host", "template"]))
     if known.count() <= MOST_BROADCAST:
-        known = F.broadcast(known)
+        found = parsed.join(F.broadcast(known), ["host", "shape"], "left")
+    else:  # shapes of more than 1 / shares of all pages are fewer than shares, and don't meet their pages in one task
+        common = F.col("n") * (4 * cluster.partitions(pages.sparkSession)) > (known.agg(F.sum("n")).first()[0] or 0)
+        hot = F.broadcast(known.filter(common))
+        found = parsed.join(hot, ["host", "shape"]).unionByName(parsed.join(hot, ["host", "shape"], "left_anti").join(known.filter(~common), ["host", "shape"]))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    found = parsed.join(known, ["host", "shape"], "left")
     return found.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("purity") < LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", "purity")

@@ -812,3 +812,78 @@ def test_more_than_fifty_directories_of_a_node_keep_their_templates(spark):
     labels = [(i, i % 120 < 60) for i, _ in rows]
     got = urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "page_id bigint, bad boolean"), []).collect()
     assert {r.page_id for r in got if r.verdict == "block"} == {i for i, b in labels if b}
+
+
+def brute_templates(counts):
+    """The tree of each host, node by node. counts: {(host, segments): (n, labelled, bad)}."""
+    add = lambda rows: tuple(map(sum, zip(*rows, strict=True)))
+    out = {}
+
+    def grow(template, rows, level):
+        out.update({k: template for k in rows if len(k[1]) == level})
+        rows = {k: v for k, v in rows.items() if len(k[1]) > level}
+        if not rows:
+            return
+        branch = {x: add([v for k, v in rows.items() if k[1][level] == x]) for x in {k[1][level] for k in rows}}
+        left, kept = dict(branch), {}
+        while True:
+            _, labelled, bad = add(left.values()) if left else (0, 0, 0)
+            share = bad / labelled if labelled else 0
+            unlike = {x: v for x, v in left.items() if v[0] >= urls.SUPPORT and v[1] >= urls.LEAST_LABELS and 0 < share < 1 and abs(v[2] / v[1] - share) / math.sqrt(share * (1 - share) / v[1]) >= urls.DIFFERENT}
+            if not unlike:
+                break
+            kept |= unlike
+            left = {x: v for x, v in left.items() if x not in unlike}
+        steps = defaultdict(dict)
+        for x, v in kept.items():
+            steps[math.floor((math.asin(math.sqrt(v[2] / v[1])) - math.asin(math.sqrt(1 - urls.LEAST_PURITY))) / (urls.DIFFERENT * math.sqrt(1 / (2 * urls.LEAST_LABELS))))][x] = v
+        name = dict.fromkeys(left, "*")
+        for own in steps.values():
+            _, labelled, bad = add(own.values())
+            share = bad / labelled
+            for x, v in own.items():
+                like = abs(v[2] / v[1] - share) < urls.DIFFERENT * math.sqrt(share * (1 - share) / v[1]) or v[2] / v[1] == share
+                name[x] = "{" + min(own) + "+}" if len(own) > 1 and like else x
+        for x in set(name.values()):
+            grow(f"{template}/{x}", {k: v for k, v in rows.items() if name[k[1][level]] == x}, level + 1)
+
+    for host in {h for h, _ in counts}:
+        grow("", {k: v for k, v in counts.items() if k[0] == host}, 0)
+    return out
+
+
+def test_templates_and_purities_against_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    rows, marks = [], []
+    share = defaultdict(lambda: r.choice([0.05, 0.1, 0.5, 0.9, 0.95]))
+    for i in range(6000):
+        host = f"h{min(r.randrange(9), 4)}.net"
+        path = "/".join(r.choice("abcdefgh") for _ in range(r.choice([0, 1, 2, 2, 3])))
+        rows.append((i, f"http://{host}/{path}"))
+        if r.random() < 0.6:
+            marks.append((i, r.random() < share[host, path[:1], path[2:3] if path[:1] in "abc" else ""]))
+    counts = defaultdict(lambda: (0, 0, 0))
+    bad = dict(marks)
+    key = lambda url: (url.split("/")[2], tuple(url.split("/", 3)[3].split("/")))
+    for i, url in rows:
+        n = counts[key(url)]
+        counts[key(url)] = (n[0] + 1, n[1] + (i in bad), n[2] + bad.get(i, False))
+    template = brute_templates(counts)
+    total, host, leaf = [0, 0], defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for k, (_, labelled, b) in counts.items():
+        for x in (total, host[k[0]], leaf[k[0], template[k]]):
+            x[0] += labelled - b
+            x[1] += labelled
+    near = lambda x, prior: (x[0] + urls.SMOOTHING * prior) / (x[1] + urls.SMOOTHING)
+    assert any("+}" in t for t in template.values()) and any("*" in t for t in template.values())
+    pages, labels = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(marks, "page_id bigint, bad boolean")
+    for most in (urls.MOST_BROADCAST, 0):
+        monkeypatch.setattr(urls, "MOST_BROADCAST", most)
+        got = {x.page_id: x for x in urls.judge(pages, labels, []).collect()}
+        assert len(got) == len(rows)
+        for i, url in rows:
+            k = key(url)
+            purity = near(leaf[k[0], template[k]], near(host[k[0]], total[0] / total[1]))
+            assert got[i].template == template[k] and got[i].purity == pytest.approx(purity), url
+            assert got[i].verdict == ("block" if purity < 0.5 else "allow")
+    assert 0 < sum(x.verdict == "block" for x in got.values()) < len(rows)
