@@ -466,26 +466,98 @@ def test_rules_against_brute_force():
 # --- 6 ----------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("k", [1, 5, 13])
-def test_substrings(spark, docs, empty, k, monkeypatch):
-    monkeypatch.setattr(substring, "GROUP", 50)  # prefixes are extended
-    words = {i: WORD.findall(t or "") for i, t in corpus()}
-    owner = {}
-    for i, w in sorted(words.items()):
+def without_repeats(rows, k):
+    """{doc_id: [(words, kept words) of each row]}, window by window."""
+    rows = sorted(((i, WORD.findall(t or "")) for i, t in rows), key=lambda r: r[0])
+    owner, out = {}, defaultdict(list)
+    for i, w in rows:
         for j in range(len(w) - k + 1):
             owner.setdefault(tuple(w[j : j + k]), i)
-    got = {r.doc_id: r for r in substring.remove_repeats(docs, k).collect()}
-    assert len(got) == len(words)
-    for i, w in words.items():
+    for i, w in rows:
         gone = [False] * len(w)
         for j in range(len(w) - k + 1):
             if owner[tuple(w[j : j + k])] < i:
                 gone[j : j + k] = [True] * k
-        assert (got[i].n_words, got[i].n_removed, got[i].kept_text) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
-        assert sum(s.end - s.first for s in got[i].spans) == sum(gone)
+        out[i].append((len(w), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize(("k", "group"), [(1, 50), (5, 50), (13, 50), (13, substring.GROUP)])
+def test_substrings(spark, docs, empty, k, group):
+    got = {r.doc_id: r for r in substring.remove_repeats(docs, k, group=group).collect()}
+    assert {i: [(r.n_words, r.kept_text)] for i, r in got.items()} == without_repeats(corpus(), k)
+    for r in got.values():
+        assert r.n_removed == r.n_words - len(r.kept_text.split(" ")) * (r.kept_text != "") == sum(s.end - s.first for s in r.spans)
+        assert all(a.end < b.first for a, b in zip(r.spans, r.spans[1:], strict=False))
     assert substring.remove_repeats(empty, k).count() == 0
 
 
+def passes(rows, k, group, slots=3):
+    """The operator's passes one after the other in this process; rows that each level sent on, and the result."""
+    table = lambda rows: pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows], pa.string())})
+    parts = [rows[i::4] for i in range(4)]
+    batches = lambda f, frames: [b for b in f(iter(frames)) if b.num_rows]
+    found = pa.Table.from_batches([b for p in parts for b in batches(substring._windows(k, slots), table(p).to_batches())])
+    take = lambda t, c, v: t.filter(pa.compute.equal(t[c], v)).to_batches()
+    shared = pa.Table.from_batches([b for i in range(slots) for b in batches(substring._screen(slots), take(found, "task", i))])
+    hits = {r["doc_id"]: r["hits"] for i in range(slots) for b in batches(substring._by_document, take(shared, "to", i)) for r in b.to_pylist()}
+    sent, levels = [], []
+    for p in parts:
+        for b in batches(substring._zipped(["doc_id"]), table(p).to_batches()):
+            mine = b.append_column("hits", pa.array([hits.get(i) for i in b.column("doc_id").to_pylist()], pa.binary()))
+            sent += batches(substring._candidates(k, slots), [mine.filter(mine.column("hits").is_valid())])
+    lost = []
+    for level in range(len(substring.ladder(k))):
+        sent = pa.Table.from_batches(sent, substring._batch(slot=[]).schema)
+        lost += sent.filter(sent["slot"].is_null()).to_pylist()
+        levels.append(sent["slot"].drop_null().to_pylist())
+        sent = [b for i in range(slots) for b in batches(substring._trees(level, k, slots, group), take(sent, "slot", i))]
+    sent = pa.Table.from_batches(sent, substring._batch(slot=[]).schema)
+    assert sent["slot"].null_count == sent.num_rows
+    marks = defaultdict(list)
+    for r in lost + sent.to_pylist():
+        marks[r["doc_id"]].append({c: r[c] for c in ("key", "first", "n")})
+    out = defaultdict(list)
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("first", pa.int32()), ("n", pa.int32())]))
+    for b in batches(substring._zipped(["doc_id"]), table(sorted(rows, key=lambda r: r[0])).to_batches()):
+        mine = b.append_column("lost", pa.array([marks[i] for i in b.column("doc_id").to_pylist()], kind))
+        for r in pa.Table.from_batches(batches(substring._cut(k, ["doc_id"]), [mine])).to_pylist():
+            out[r["doc_id"]].append((r["n_words"], r["kept_text"]))
+    return levels, out
+
+
+@pytest.mark.parametrize("alike", ["none", "windows", "words"])
+def test_substrings_do_not_hang_on_hashes(alike, monkeypatch):
+    """The same result where all windows, or all words, have one hash."""
+    if alike == "windows":
+        monkeypatch.setattr(substring, "_short", lambda names: np.zeros(len(names), np.uint32))
+    if alike == "words":
+        monkeypatch.setattr(at.Words, "hashes", lambda self: np.zeros(len(self.codes), np.uint64))
+    rows = corpus(60) + [(3, corpus(60)[4][1]), (3, corpus(60)[3][1]), (3, corpus(60)[3][1])]
+    for k in (1, 4, 13):
+        want = without_repeats(rows, k)
+        for group in (20, 10**6):
+            levels, got = passes(rows, k, group)
+            assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in want.items()}, (k, group)
+            assert len(levels[0]) and any(levels[1:] + [[]]) == (group == 20 and k > 2)  # large groups are dealt again
+
+
+def test_suffixes_are_ordered_by_their_words():
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["a", "b", "ba", "é"]) for _ in range(r.randint(0, 40))) for _ in range(30)]
+    w = at.words(pa.array(texts))
+    for depth in (1, 2, 3, 5, 13):
+        where, begin = at.within(w.first, depth)
+        row = np.repeat(np.arange(len(texts)), np.diff(begin))
+        s = substring.Suffixes(w, np.arange(len(texts)), row, np.zeros(len(texts), np.int64), where, row)
+        order, node = substring.deep_nodes(s, depth)
+        split = [t.encode().split() for t in texts]
+        suffix = [split[i][j - w.first[i] :][:depth] for i, j in zip(row[order], where[order], strict=True)]
+        assert suffix == sorted(suffix) and len({tuple(x) for x in suffix}) == node[-1]
+        shared = substring.common_prefixes(w.codes, where[order], depth)
+        assert all((x[: shared[i + 1]] == y[: shared[i + 1]]) and (shared[i + 1] == depth or x[shared[i + 1]] != y[shared[i + 1]]) for i, (x, y) in enumerate(zip(suffix, suffix[1:], strict=False)))
+
+
 def test_substrings_odd_rows(spark):
     got = substring.remove_repeats(odd(spark), 3, carry=True).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_removed) for r in got] == [(None, 0), (1, 0), (1, 0), (2, 0), (3, 6)]
