@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm import arrowtext as at
 from tessera.llm import cluster
 
-BATCH_BYTES = 5_000_000
+BATCH_BYTES = 2_000_000
 MOST_BROADCAST = 1_000_000  # steps of a plan; some 40 MB
 
 # Fixed values of byte-level BPE files: the pattern of words, and the characters that stand for bytes.
@@ -241,7 +241,8 @@ class _Encoder:
         begin[order] = np.cumsum(sizes[order]) - sizes[order]
         n = sizes[codes]
         end = np.cumsum(n)
-        spots = np.arange(end[-1]) + np.repeat(begin[codes] - (end - n), n)
+        spots = np.repeat((begin[codes] - (end - n)).astype(np.int32), n)
+        spots += np.arange(end[-1], dtype=np.int32)
         return flat[spots], np.diff(np.concatenate(([0], end))[np.searchsorted(start, offsets)])
 
 
@@ -253,6 +254,7 @@ def _pieces(path: str, window: int, end_id: int):
             doc = at.chunk(table, "doc_id").to_pylist()
             tail = np.array([end_id], "<u4").tobytes()
             body, size = memoryview(ids.astype("<u4").tobytes()), np.cumsum(counts) * 4
+            del ids
             out: tuple[list, ...] = ([], [], [], [], [])
             lo = 0
             for r, hi in enumerate(size.tolist()):
