@@ -43,6 +43,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows joined with table, which has one row a key and how many rows hold it.
+
+    A key that more than one in 4 x partitions of all rows hold goes to every task instead of meeting
+    its rows in one; there are fewer such keys than that.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    common = F.col(weight) * (4 * partitions(rows.sparkSession)) > total
+    hot = F.broadcast(table.filter(common).drop(weight))
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(table.filter(~common).drop(weight), on))
+
+
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices of the edges and the smallest vertex of each one's component."""
     ids, codes = np.unique(np.concatenate([a, b]), return_inverse=True)

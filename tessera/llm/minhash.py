@@ -165,20 +165,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     return ordered.mapInArrow(_verifier(k, percent), "a bigint, b bigint")
 
 
-def _joined(solid: DataFrame, classes: DataFrame, column: str, shares: int) -> DataFrame:
-    """Each document with a column of the class of its set.
-
-    A set that more than 1 / shares of all rows have goes to every task instead of meeting its
-    rows in one; there are fewer such sets than shares.
-    """
-    total = classes.agg(F.sum("copies")).first()[0] or 0
-    common = F.col("copies") * shares > total
-    hot = F.broadcast(classes.filter(common).select("set_key", column))
-    rare = classes.filter(~common).select("set_key", column)
-    rows = solid.select("doc_id", "set_key")
-    return rows.join(hot, "set_key").unionByName(rows.join(hot, "set_key", "left_anti").join(rare, "set_key")).select("doc_id", column)
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """Components of documents whose shingle sets S, T have 100 * |S & T| >= percent * |S | T|.
 
@@ -199,7 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     # A class is a set, numbered where it is written; its head is the smallest document that has it.
     heads = solid.groupBy("set_key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     heads = cluster.cut(heads.withColumn("class", F.monotonically_increasing_id()))
-    member = cluster.cut(_joined(solid, heads, "class", 4 * cluster.partitions(spark)))
+    member = cluster.cut(cluster.spread_join(solid.select("doc_id", "set_key"), heads.select("set_key", "class", "copies"), ["set_key"], "copies").select("doc_id", "class"))
     sketched = solid.join(heads.select("set_key", F.col("head").alias("doc_id"), "class"), ["set_key", "doc_id"])
     sketched = cluster.cut(sketched.dropDuplicates(["set_key", "doc_id"]).select("class", "bands", "low", "n_bytes"))
     low = sketched.select("class", "low")
@@ -248,10 +234,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     # From classes back to documents: a component is named by the smallest head in it.
     part = cluster.components(links).withColumnRenamed("id", "class")
     of_class = cluster.cut(heads.select("class", "head").join(part, "class", "left").select("class", "head", F.coalesce("component_id", "class").alias("component")))
-    least = of_class.groupBy("component").agg(F.min("head").alias("component_id"), F.count(F.lit(1)).alias("classes"))
-    joint = of_class.join(least.filter("classes > 1"), "component").select("class", "component_id")
+    least = cluster.cut(of_class.groupBy("component").agg(F.min("head").alias("component_id"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
+    joint = cluster.spread_join(of_class, least, ["component"], "classes").select("class", "component_id")
     named = cluster.cut(heads.join(joint, "class", "left").select("set_key", "copies", F.coalesce("component_id", "head").alias("component_id")))
-    final = _joined(solid, named, "component_id", 4 * cluster.partitions(spark)).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    final = cluster.spread_join(solid.select("doc_id", "set_key"), named, ["set_key"], "copies").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     return signed.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 

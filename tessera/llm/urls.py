@@ -131,9 +131,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tup
     known = cluster.cut(leaves.select("host", "shape", "template", "n").join(pure, ["host", "template"]))
     if known.count() <= MOST_BROADCAST:
         found = parsed.join(F.broadcast(known), ["host", "shape"], "left")
-    else:  # shapes of more than 1 / shares of all pages are fewer than shares, and don't meet their pages in one task
-        common = F.col("n") * (4 * cluster.partitions(pages.sparkSession)) > (known.agg(F.sum("n")).first()[0] or 0)
-        hot = F.broadcast(known.filter(common))
-        found = parsed.join(hot, ["host", "shape"]).unionByName(parsed.join(hot, ["host", "shape"], "left_anti").join(known.filter(~common), ["host", "shape"]))
+    else:
+        found = cluster.spread_join(parsed, known, ["host", "shape"], "n")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return found.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("purity") < LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", "purity")
