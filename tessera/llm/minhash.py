@@ -343,8 +343,8 @@ def _compared(grouped: DataFrame, sketched: DataFrame, heads: DataFrame, docs: D
     """Links that join the components (part) of each group's members. Groups are cut into blocks of BLOCK classes and BLOCK_BYTES of text, and a task holds two at a time."""
     members = cluster.cut(grouped.join(sketched.select("class", "n_bytes", "low"), "class").join(heads.select("class", "head", "set_key"), "class"))
     most = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_bytes") / BLOCK_BYTES)
-    sizes = members.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("group", "blocks")
-    placed = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), F.greatest("blocks", F.lit(1))).cast("int"))
+    sizes = members.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"), F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("group", "blocks", "n")
+    placed = cluster.spread_join(members, cluster.cut(sizes), ["group"], "n").withColumn("own", F.pmod(F.xxhash64("class", F.lit(1)), F.greatest("blocks", F.lit(1))).cast("int"))
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)))
     work = met.select("group", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "class", "part", "low", "head", "set_key")
     texts = _asked(docs, members.select(F.col("head").alias("doc_id")).distinct())
