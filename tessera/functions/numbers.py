@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.core import let
@@ -38,6 +38,8 @@ SUBJECT_HEADERS = (
     "parameter", "component", "material", "sample", "element",
 )
 
+MOST_HEADERS = 10_000  # distinct headers sent to every task; more are joined by a shuffle
+# Numbers and units as tables write them.
 NUMBER = r"-?[0-9]+(?:[.,][0-9]+)?"
 _IN_HEADER = r"[,(]\s*([^,()]+?)\s*\)?$"
 
@@ -76,20 +78,40 @@ def header_role(header: Column) -> Column:
     return F.when(low.rlike(_one_of(UNIT_HEADERS)), "unit").when(low.rlike(_one_of(VALUE_HEADERS)), "value").when(low.rlike(_one_of(SUBJECT_HEADERS)), "subject").otherwise("other")
 
 
+def header_cells(headers: Column) -> Column:
+    """What each header says of its column: array<struct<h, role, unit, prop>>. It costs far more than a row, and a table has one header."""
+    cell = lambda h: F.struct(
+        h.alias("h"), header_role(h).alias("role"), unit_of_header(h).alias("unit"),
+        F.coalesce(F.nullif(canonical_key(F.trim(F.regexp_replace(h, _IN_HEADER, ""))), F.lit("")), F.lit("value")).alias("prop"),
+    )
+    return F.transform(F.transform(headers, lambda h: F.coalesce(h, F.lit(""))), cell)
+
+
 _FACTS = "array<struct<subject: string, subject_label: string, prop: string, value: double, unit: string>>"
 
 
 def row_facts(headers: Column, values: Column) -> Column:
-    """Facts of a table row as array<struct<subject, subject_label, prop, value, unit>>.
+    """Facts of a table row, of its headers and values; of many rows with one header, `facts_of_rows` reads the header once."""
+    return facts_of_cells(header_cells(headers), values)
+
+
+def facts_of_rows(rows: DataFrame, headers: str = "headers", values: str = "values", out: str = "facts") -> DataFrame:
+    """rows with the facts of each, every distinct header read once."""
+    known = rows.select(F.col(headers).alias("__headers")).distinct().withColumn("__cells", header_cells(F.col("__headers")))
+    if known.limit(MOST_HEADERS + 1).count() <= MOST_HEADERS:
+        known = F.broadcast(known)
+    return rows.join(known, F.col(headers) == F.col("__headers")).withColumn(out, facts_of_cells(F.col("__cells"), F.col(values))).drop("__headers", "__cells")
+
+
+def facts_of_cells(known: Column, values: Column) -> Column:
+    """Facts of a table row as array<struct<subject, subject_label, prop, value, unit>>. known: what header_cells gives.
 
     With a subject column and a value column the row is one fact; else the first cell without a
     number names the subject and each other cell with a number is a fact of its column.
     """
-    cell = lambda x, i: F.struct(
-        i.alias("i"), x["h"].alias("h"), x["v"].alias("v"), header_role(x["h"]).alias("role"), first_number(x["v"]).alias("n"),
-        unit_of_header(x["h"]).alias("unit"), F.coalesce(F.nullif(canonical_key(F.trim(F.regexp_replace(x["h"], _IN_HEADER, ""))), F.lit("")), F.lit("value")).alias("prop"),
-    )
-    pairs = F.zip_with(headers, values, lambda h, v: F.struct(F.coalesce(h, F.lit("")).alias("h"), F.trim(F.coalesce(v, F.lit(""))).alias("v")))
+    cell = lambda x, i: F.struct(i.alias("i"), x["h"]["h"].alias("h"), x["v"].alias("v"), x["h"]["role"].alias("role"), first_number(x["v"]).alias("n"), x["h"]["unit"].alias("unit"), x["h"]["prop"].alias("prop"))
+    bare = F.struct(F.lit("").alias("h"), F.lit("other").alias("role"), F.lit("").alias("unit"), F.lit("value").alias("prop"))
+    pairs = F.zip_with(known, values, lambda h, v: F.struct(F.coalesce(h, bare).alias("h"), F.trim(F.coalesce(v, F.lit(""))).alias("v")))
 
     def roles(cells: Column) -> Column:
         first = lambda test: F.get(F.filter(cells, test), F.lit(0))

@@ -42,8 +42,8 @@ def visible_text(c: Column) -> Column:
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 40) -> Column:
-    """A key from content: hex of a SHA-256 over the parts, which may be null."""
-    joined = F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("none")) for p in parts))
+    """A key from content: hex of a SHA-256 over the parts. A null part is unlike every text."""
+    joined = F.concat_ws("\u001f", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts))
     return F.concat(F.lit(prefix), F.substring(F.sha2(joined, 256), 1, length))
 
 
@@ -118,7 +118,8 @@ def geography(c: Column, ru_places: tuple[str, ...] = RU_PLACES, foreign_places:
     """ru, foreign, mixed or null: named places decide, else the script of more than 40 letters."""
     low = F.lower(c)
     ru, foreign = (any_of([low.contains(p) for p in places]) for places in (ru_places, foreign_places))
-    cyrillic, latin = (F.regexp_count(low, F.lit(p)) for p in ("[а-яё]", "[a-z]"))
+    # Letters are counted as what is lost without them.
+    cyrillic, latin = (F.length(low) - F.length(F.translate(low, letters, "")) for letters in ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "abcdefghijklmnopqrstuvwxyz"))
     script = F.when(cyrillic + latin <= 40, None).when(cyrillic >= latin, "ru").otherwise("foreign")
     return F.when(ru & foreign, "mixed").when(ru, "ru").when(foreign, "foreign").otherwise(script)
 
@@ -151,6 +152,11 @@ def authors(head: Column, most: int = 12) -> Column:
     return F.when(F.lower(head).rlike(AFFILIATION), F.slice(good, 1, most)).otherwise(F.array().cast("array<string>"))
 
 
+def mention_stem(alias_key: Column) -> Column:
+    """What every text that mention_pattern finds an alias in holds: the alias, without the letter that an ending may replace."""
+    return F.when(~alias_key.rlike("[0-9a-z]") & (F.length(alias_key) > 4), F.substring(alias_key, F.lit(1), F.length(alias_key) - 1)).otherwise(alias_key)
+
+
 def mention_pattern(alias_key: Column) -> Column:
     """The pattern that finds an alias in a canonical text, with room for an ending if it is a Cyrillic word."""
     quoted = F.regexp_replace(alias_key, r"([\\.\[\]{}()*+?^$|\-])", r"\\$1")

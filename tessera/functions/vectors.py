@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from tessera.functions.core import let
 
@@ -32,12 +39,39 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+_WORD = re.compile(r"\w+")
+
+
+def embedded(texts: list[str], dims: int = DIMS) -> np.ndarray:
+    """Rows for texts: the unit sum of a pseudo-random direction for each word."""
+    found = [_WORD.findall(t.lower()) for t in texts]
+    code: dict[str, int] = {}
+    codes = np.fromiter((code.setdefault(w, len(code)) for words_ in found for w in words_), np.int64)
+    digests = b"".join(hashlib.blake2b(w.encode(), digest_size=8).digest() for w in code)
+    # A word's direction: its digest, scrambled once for each axis.
+    h = np.frombuffer(digests, "<u8")[:, None] + np.arange(1, dims + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    direction = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**52 - 1.0
+    out = np.zeros((len(texts), dims))
+    first = 0
+    for i, words_ in enumerate(found):
+        if words_:
+            out[i] = direction[codes[first : first + len(words_)]].sum(axis=0)
+            first += len(words_)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.divide(out, length, out=out, where=length > 0)
+
+
+@F.pandas_udf(types.ArrayType(types.DoubleType()))
+def _embedded(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for text, dims in texts:
+        yield pd.Series(list(embedded(text.fillna("").tolist(), int(dims.iloc[0]))) if len(text) else [], dtype=object)
+
+
 def hash_embedding(c: Column, dims: int = DIMS) -> Column:
-    """Unit sum of a pseudo-random direction for each word; zero for a text without words."""
-    axis = F.sequence(F.lit(0), F.lit(dims - 1))
-    direction = lambda w: F.transform(axis, lambda i: F.pmod(F.xxhash64(w, i), F.lit(2001)) / 1000.0 - 1.0)
-    total = F.aggregate(words(c), F.transform(axis, lambda i: F.lit(0.0)), lambda s, w: F.zip_with(s, direction(w), lambda x, y: x + y))
-    return let(total, lambda t: let(norm(t), lambda n: F.transform(t, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+    """Unit sum of a pseudo-random direction for each word; zero for a text without words. Words are hashed once a batch."""
+    return _embedded(c, F.lit(dims))
 
 
 def sparse_counts(c: Column) -> Column:

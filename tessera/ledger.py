@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dates, numbers
 from tessera.functions import text as T
-from tessera.operators import analytics, answers, graph, mutation, qa, retrieval
+from tessera.operators import analytics, answers, extraction, graph, mutation, qa, resolution, retrieval
 from tessera.operators import relational as R
 from tessera.plans.schemas import LEDGER
 from tessera.sources import files
@@ -56,12 +56,32 @@ class Ledger:
         return self.spark.read.parquet(f"{self.root}/{place}") if place else self.spark.createDataFrame([], LEDGER[name])
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
+        """Writes tables as the next commit. A second writer of the same commit fails before it writes anything.
+
+        A writer that was killed leaves its claim behind; `release` takes it away.
+        """
         n = (self._commits() or [0])[-1] + 1
-        places = self._places()
-        for name, df in tables.items():
-            places[name] = f"{name}/{n}"
-            df.write.mode("overwrite").parquet(f"{self.root}/{places[name]}")
-        self.spark.createDataFrame(sorted(places.items()), "name string, place string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/{n}")
+        claim, fs = self._claim(n)
+        if not fs.createNewFile(claim):
+            raise RuntimeError(f"another writer holds commit {n} of {self.root}")
+        try:
+            places = self._places()
+            for name, df in tables.items():
+                places[name] = f"{name}/{n}"
+                df.write.mode("overwrite").parquet(f"{self.root}/{places[name]}")
+            self.spark.createDataFrame(sorted(places.items()), "name string, place string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/{n}")
+        except BaseException:
+            fs.delete(claim, False)
+            raise
+
+    def _claim(self, n: int):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{n}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def release(self) -> bool:
+        """Takes away the claim on the next commit that a killed writer left; whether there was one."""
+        claim, fs = self._claim((self._commits() or [0])[-1] + 1)
+        return fs.delete(claim, False)
 
     def _put(self, new: dict[str, DataFrame], key: str = "source_id") -> None:
         """Rows of the sources in new take the place of those that were there."""
@@ -101,34 +121,58 @@ class Ledger:
         sources.unpersist()
 
     def add_tables(self, path: str, label: str = "internal") -> None:
-        """One CSV file with a header: labelled rows and their facts; of the experiment schema also measurements and effects."""
+        """CSV files with a header each, every file a source: labelled rows and their facts; of the experiment schema also measurements and effects."""
         found = files.scan(self.spark, path, ["csv"])
         sources = self._sources(found, "table", label).dropDuplicates(["source_id"]).cache()
-        first = sources.select("source_id").orderBy("source_id").first()
-        if first is None:
-            return
-        source = first.source_id
-        raw = self.spark.read.option("header", True).csv(path).withColumn("ordinal", F.monotonically_increasing_id() + 2)
-        cells = [c for c in raw.columns if c != "ordinal"]
-        headers, values = F.array(*map(F.lit, cells)), F.array(*(F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) for c in cells))
+        read = files.csv_rows(found.join(sources.select("path"), "path", "left_semi")).join(sources.select("path", "source_id"), "path")
         locator = F.concat(F.lit("table_001:row_"), F.lpad(F.col("ordinal").cast("string"), 3, "0"))
-        rows = raw.withColumns({"visible_text": T.labelled(headers, values), "source_id": F.lit(source)}).filter("visible_text <> ''")
-        rows = rows.withColumn("span_id", T.stable_id("evs_", F.col("source_id"), locator, T.visible_text(F.col("visible_text"))))
+        rows = read.withColumn("visible_text", T.labelled(F.col("headers"), F.col("values"))).filter("visible_text <> ''")
+        rows = rows.withColumn("span_id", T.stable_id("evs_", F.col("source_id"), locator, T.visible_text(F.col("visible_text")))).cache()
         spans = rows.select("span_id", "source_id", "ordinal", F.lit("table_row").alias("span_type"), "visible_text", F.struct(locator.alias("stable_locator"), F.create_map().cast("map<string, string>").alias("extra")).alias("locator"), F.lit("validated_rule").alias("validation_status"), F.lit(0.95).alias("evidence_confidence"), F.lit(label).alias("security_label"))
-        facts = rows.select("source_id", "span_id", F.explode(numbers.row_facts(headers, values)).alias("f")).select("source_id", "span_id", "f.*").withColumns({"fact_id": T.stable_id("fact_", F.col("span_id"), F.col("subject"), F.col("prop"), F.col("value"), F.col("unit")), "confidence": F.lit(0.95)})
-        more = {"numeric_facts": facts}
-        if set(files.EXPERIMENT_COLUMNS) <= set(cells):
-            good, _ = files.decode_experiments(raw.select(*(F.trim(c).alias(c) for c in files.EXPERIMENT_COLUMNS)))
-            own = good.join(rows.select("span_id", *(F.trim(c).alias(c) for c in ("experiment_id", "material", "property"))), ["experiment_id", "material", "property"])
-            own = own.withColumns({"source_id": F.lit(source), "property_id": T.slug(F.col("property")), "ids": F.array("span_id"), "regime_id": F.concat(F.lit("reg_"), T.slug(F.col("regime")), F.lit("_"), F.col("temperature_c").cast("int").cast("string"))})
-            more["property_measurements"] = own.select(T.stable_id("meas_", F.col("span_id")).alias("measurement_id"), "source_id", "experiment_id", "property_id", F.col("property").alias("property_name"), F.col("treated_value").alias("value"), "unit", F.col("treated_value").cast("string").alias("original_value"), "method", F.col("ids").alias("supporting_span_ids"))
-            more["effect_claims"] = own.select(
-                T.stable_id("eff_", F.col("span_id")).alias("effect_id"), "source_id", "experiment_id", F.concat(F.lit("mat_"), T.canonical_key(F.col("material"))).alias("material_id"), F.col("material").alias("material_name"), "regime_id",
-                F.concat_ws(" ", "regime", numbers.shown(F.col("temperature_c")), numbers.shown(F.col("duration_h")), "atmosphere").alias("regime_summary"), "property_id", F.col("effect").alias("direction"), "delta_value", F.col("unit").alias("delta_unit"), F.col("ids").alias("supporting_span_ids"),
-            )
-        self._write_sources(sources.filter(F.col("source_id") == source), spans, more)
+        each = numbers.facts_of_rows(rows).select("source_id", "span_id", F.explode("facts").alias("f")).select("source_id", "span_id", "f.*")
+        more = {"numeric_facts": each.withColumns({"fact_id": T.stable_id("fact_", F.col("span_id"), F.col("subject"), F.col("prop"), F.col("value"), F.col("unit")), "confidence": F.lit(0.95)})}
+        # Of repeated headers the first counts.
+        cell = lambda name: F.get("values", (F.array_position("headers", name) - 1).cast("int"))
+        whole = F.forall(F.array(*map(F.lit, files.EXPERIMENT_COLUMNS)), lambda c: F.array_contains(F.col("headers"), c))
+        good, _ = files.decode_experiments(rows.filter(whole).select("span_id", "source_id", *(cell(c).alias(c) for c in files.EXPERIMENT_COLUMNS)))
+        own = good.withColumns({"property_id": T.slug(F.col("property")), "ids": F.array("span_id"), "regime_id": F.concat(F.lit("reg_"), T.slug(F.col("regime")), F.lit("_"), F.col("temperature_c").cast("int").cast("string"))})
+        more["property_measurements"] = own.select(T.stable_id("meas_", F.col("span_id")).alias("measurement_id"), "source_id", "experiment_id", "property_id", F.col("property").alias("property_name"), F.col("treated_value").alias("value"), "unit", F.col("treated_value").cast("string").alias("original_value"), "method", F.col("ids").alias("supporting_span_ids"))
+        more["effect_claims"] = own.select(
+            T.stable_id("eff_", F.col("span_id")).alias("effect_id"), "source_id", "experiment_id", F.concat(F.lit("mat_"), T.canonical_key(F.col("material"))).alias("material_id"), F.col("material").alias("material_name"), "regime_id",
+            F.concat_ws(" ", "regime", numbers.shown(F.col("temperature_c")), numbers.shown(F.col("duration_h")), "atmosphere").alias("regime_summary"), "property_id", F.col("effect").alias("direction"), "delta_value", F.col("unit").alias("delta_unit"), F.col("ids").alias("supporting_span_ids"),
+        )
+        self._write_sources(sources, spans, more)
+        rows.unpersist()
         sources.unpersist()
 
+    # --- extraction and index -----------------------------------------------------------------------------------
+
+    def extract(self, more: list[DataFrame] | None = None, relations: DataFrame | None = None) -> None:
+        """Entities, aliases and edges of all spans: the dictionary's mentions and those of more (span_id, text, entity_type, confidence, origin), resolved.
+
+        relations holds stated edges of spans, as `graph.typed_edges` takes them. Doing it again changes nothing.
+        """
+        entities, aliases = self.table("entities"), self.table("entity_aliases")
+        names = aliases.join(entities.select("entity_id", "entity_type"), "entity_id").select("alias_norm", "entity_type", "alias").unionByName(entities.select(F.col("canonical_key").alias("alias_norm"), "entity_type", F.col("canonical_name").alias("alias"))).dropDuplicates(["alias_norm", "entity_type"])
+        spans = self.table("evidence_spans")
+        found = extraction.span_pipeline([resolution.dictionary_mentions(spans, names), *(more or [])], entities, aliases, relations)
+        ids = F.coalesce("evidence_span_ids", F.array().cast("array<string>"))
+        seen = entities.join(found.evidence.withColumnRenamed("spans", "__spans"), "entity_id", "left").withColumn("evidence_span_ids", mutation.extend_ids(ids, F.col("__spans"))).drop("__spans")
+        made = found.created.join(found.evidence, "entity_id").select("entity_id", "entity_type", F.col("key").alias("canonical_key"), "canonical_name", F.col("spans").alias("evidence_span_ids"), F.lit("extracted").alias("validation_status"), F.current_timestamp().alias("created_at"))
+        edges = found.edges.withColumn("relation_id", T.stable_id("rel_", F.col("src_entity_id"), F.col("relation_type"), F.col("dst_entity_id")))
+        old = self.table("relations")
+        kept = old.join(edges.select("relation_id", F.col("evidence_span_ids").alias("__spans")), "relation_id", "left").withColumn("evidence_span_ids", mutation.extend_ids(F.col("evidence_span_ids"), F.col("__spans"))).drop("__spans")
+        shaped = lambda df, name: df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], LEDGER[name]).schema))
+        self.commit({
+            "entities": seen.unionByName(shaped(made, "entities")), "entity_aliases": mutation.upsert_first(aliases, shaped(found.aliases, "entity_aliases"), ["alias_norm", "entity_id"], [F.col("alias")]),
+            "relations": kept.unionByName(shaped(edges.withColumns({"validation_status": F.lit("extracted"), "created_at": F.current_timestamp()}), "relations").join(old.select("relation_id"), "relation_id", "left_anti")),
+        })
+
+    def reindex(self) -> None:
+        """Vectors of all units: those with a new text are worked out, those without a unit go, the others stay as they are."""
+        units = retrieval.units(self.table("evidence_spans"), self.table("sources"))
+        self.commit({"unit_vectors": retrieval.index(units, self.table("unit_vectors"))})
+
     def delete_source(self, source_id: str) -> None:
         self.commit(mutation.delete_source({name: self.table(name) for name in LEDGER if name not in ("answer_claims", "answer_runs", "eval_results")}, source_id))
 
@@ -187,7 +231,9 @@ class Ledger:
         allowed = list(qa.compile_question(question, None, labels, self.labels).labels)
         asked = self.spark.createDataFrame([(1, question)], "query_id int, question string")
         spans = self.table("evidence_spans")
-        return retrieval.hybrid(asked, retrieval.units(spans, self.table("sources")), spans, allowed, k).orderBy("position")
+        units = retrieval.units(spans, self.table("sources"))
+        known = retrieval.index(units, self.table("unit_vectors")).select("unit_id", "vec")
+        return retrieval.hybrid(asked, units.join(known, "unit_id"), spans, allowed, k).orderBy("position")
 
     def record(self, question: str, answer: Answer, latency_ms: int = 0) -> None:
         """Adds a run with its counters; runs have ids of their own."""

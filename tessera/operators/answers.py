@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.functions import verify
 
 # What a model is shown and may say.
@@ -57,6 +58,12 @@ def source_label(title: Column, year: Column, geography: Column) -> Column:
     return F.nullif(F.concat_ws(", ", F.nullif(F.substring(title, 1, 80), F.lit("")), year.cast("string"), geography), F.lit(""))
 
 
+def relevant_gaps(gaps: DataFrame, names: Column, question: str, all_of_them: bool) -> DataFrame:
+    """Gaps whose names share the first five letters of a word with the question; all where it asks for gaps."""
+    words = F.lit(question)
+    return gaps if all_of_them else gaps.filter(F.arrays_overlap(T.prefixes(names), T.prefixes(words)))
+
+
 def relevant_conflicts(conflicts: DataFrame, selected: DataFrame, all_of_them: bool) -> DataFrame:
     """Conflicts that share a material or an experiment with the selected rows; all where the question asks for conflicts."""
     if all_of_them:
@@ -64,5 +71,5 @@ def relevant_conflicts(conflicts: DataFrame, selected: DataFrame, all_of_them: b
     materials = selected.select("material_id").distinct()
     ids = selected.select("experiment_id").distinct()
     by_material = conflicts.join(materials, "material_id", "left_semi")
-    by_id = conflicts.join(ids, (F.col("a.experiment_id") == ids["experiment_id"]) | (F.col("b.experiment_id") == ids["experiment_id"]), "left_semi")
-    return by_material.unionByName(by_id).distinct()
+    by_id = [conflicts.join(ids, F.col(f"{end}.experiment_id") == ids["experiment_id"], "left_semi") for end in "ab"]
+    return by_material.unionByName(by_id[0]).unionByName(by_id[1]).distinct()

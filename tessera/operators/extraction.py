@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import graph, resolution
 
 # What an extraction may name.
 ENTITY_TYPES = (
@@ -76,6 +79,39 @@ def payloads(answers: DataFrame, answer: str = "answer") -> tuple[DataFrame, Dat
     return good.drop("payload"), read.filter(~F.coalesce(fits, F.lit(False))).drop("payload").withColumn("status", F.lit("rejected"))
 
 
+def mention_union(*found: DataFrame) -> DataFrame:
+    """Mentions (span_id, text, entity_type, confidence, origin) of a dictionary, a recogniser and a model together."""
+    columns = ["span_id", "text", "entity_type", "confidence", "origin"]
+    return reduce(DataFrame.unionByName, [f.select(*columns) for f in found])
+
+
+@dataclass
+class Extracted:
+    resolved: DataFrame  # mentions with entity_id and matched_by
+    created: DataFrame  # new entities: entity_id, entity_type, key, canonical_name
+    evidence: DataFrame  # entity_id, spans
+    aliases: DataFrame
+    edges: DataFrame  # src_entity_id, relation_type, dst_entity_id, evidence_span_ids, confidence
+    review: DataFrame
+
+
+def span_pipeline(found: list[DataFrame], entities: DataFrame, aliases: DataFrame, relations: DataFrame | None = None, vectors: DataFrame | None = None) -> Extracted:
+    """From mentions to a graph in one plan: union, the best mention a span and key, resolution, stated and co-occurrence edges.
+
+    relations holds stated edges of spans (span_id, src_type, src_key, relation_type, dst_type, dst_key). An edge
+    that is both stated and seen has all its spans and the higher confidence.
+    """
+    mentions = resolution.best_mentions(mention_union(*found))
+    resolved, created, review = resolution.resolve(mentions, entities, aliases, vectors)
+    seen = graph.co_occurrence(resolved.select("span_id", "entity_id", "entity_type")).withColumn("confidence", F.lit(0.6))
+    edges = seen.select("src_entity_id", "relation_type", "dst_entity_id", "confidence", F.explode("evidence_span_ids").alias("span_id"))
+    if relations is not None:
+        edges = edges.unionByName(graph.typed_edges(relations, resolved, RELATION_TYPES).select(*edges.columns))
+    edges = edges.groupBy("src_entity_id", "relation_type", "dst_entity_id").agg(F.sort_array(F.collect_set("span_id")).alias("evidence_span_ids"), F.max("confidence").alias("confidence"))
+    evidence = resolved.groupBy("entity_id").agg(F.sort_array(F.collect_set("span_id")).alias("spans"))
+    return Extracted(resolved, created, evidence, resolution.learned_aliases(resolved), edges, review)
+
+
 def publication_links(publications: DataFrame, mentions: DataFrame, authors: DataFrame) -> DataFrame:
     """Edges of a source's publication (source_id, publication_id): what it describes and who wrote it."""
     described = mentions.filter(F.col("entity_type").isin("material", "regime", "property")).join(publications, "source_id")

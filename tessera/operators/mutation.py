@@ -80,7 +80,7 @@ def delete_source(ledger: dict[str, DataFrame], source_id: str) -> dict[str, Dat
     """
     out = dict(ledger)
     spans = ledger["evidence_spans"].filter(F.col("source_id") == source_id).select(F.col("span_id").alias("gone"))
-    for name in ("sources", "evidence_spans", "property_measurements", "effect_claims", "ingestion_runs", "artifacts", "extraction_claims", "numeric_facts"):
+    for name in ("sources", "evidence_spans", "property_measurements", "effect_claims", "ingestion_runs", "artifacts", "extraction_claims", "numeric_facts", "unit_vectors"):
         if name in ledger:
             out[name] = ledger[name].filter(~F.col("source_id").eqNullSafe(F.lit(source_id)))
 

@@ -10,23 +10,29 @@ from tessera.functions import vectors as V
 
 # Cosines from which a mention merges, and from which it is shown for review.
 MERGE, REVIEW = 0.90, 0.80
+MOST_BEGINS = 2_000  # beginnings of aliases that are named in a plan
 
 
 def dictionary_mentions(spans: DataFrame, aliases: DataFrame) -> DataFrame:
     """Spans (span_id, visible_text) and the aliases (alias_norm, entity_type, alias) that occur in them as words.
 
-    A pattern can only match where the alias's first word begins a word of the text, so a join on
-    the first three letters of words finds the candidates, and the pattern decides.
+    A pattern can only match where the first word of what it asks for begins a word of the text, so a
+    join on the first three letters of words finds the candidates, and the pattern decides.
     """
     texts = spans.select("span_id", T.canonical_key(F.col("visible_text")).alias("canonical"))
+    known = aliases.filter(F.length("alias_norm") >= 3).withColumn("must", T.mention_stem(F.col("alias_norm")))
+    known = known.withColumn("begin", F.substring(F.regexp_extract("must", r"[\p{L}\p{N}_]{3,}", 0), 1, 3))
     begins = F.array_distinct(F.transform(F.regexp_extract_all("canonical", F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)), lambda w: F.substring(w, 1, 3)))
-    words = texts.select("span_id", "canonical", F.explode(begins).alias("begin"))
-    known = aliases.filter(F.length("alias_norm") >= 3).withColumn("begin", F.substring(F.regexp_extract("alias_norm", r"[\p{L}\p{N}_]{3,}", 0), 1, 3))
+    asked = [r.begin for r in known.filter("begin <> ''").select("begin").distinct().limit(MOST_BEGINS + 1).collect()]
+    few = len(asked) <= MOST_BEGINS
+    # A text goes on only with the beginnings that some alias asks for, where these are few enough to be named.
+    words = texts.select("span_id", "canonical", F.explode(F.array_intersect(begins, F.array(*map(F.lit, asked)).cast("array<string>")) if few else begins).alias("begin"))
     keyed = words.join(known.filter("begin <> ''"), "begin")
-    # Aliases whose words are all shorter than three characters; these are few.
-    other = texts.join(F.broadcast(known.filter("begin = ''")), F.col("canonical").contains(F.col("alias_norm")))
-    found = keyed.select("span_id", "canonical", "alias_norm", "entity_type", "alias").unionByName(other.select("span_id", "canonical", "alias_norm", "entity_type", "alias"))
-    hit = found.filter(F.rlike("canonical", T.mention_pattern(F.col("alias_norm"))))
+    # What the pattern asks for has no word of three characters.
+    short = known.filter("begin = ''")
+    other = texts.join(F.broadcast(short) if short.count() <= MOST_BEGINS else short, F.col("canonical").contains(F.col("must")))
+    found = keyed.select("span_id", "canonical", "must", "alias_norm", "entity_type", "alias").unionByName(other.select("span_id", "canonical", "must", "alias_norm", "entity_type", "alias"))
+    hit = found.filter(F.col("canonical").contains(F.col("must")) & F.rlike("canonical", T.mention_pattern(F.col("alias_norm"))))
     return hit.select("span_id", F.col("alias").alias("text"), "entity_type", F.lit(0.95).alias("confidence"), F.lit("rule").alias("origin")).distinct()
 
 

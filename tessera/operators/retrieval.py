@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators import mutation
 
 K1, B, FUSE = 1.2, 0.75, 60
 RERANK_POOL = 30
@@ -99,15 +100,25 @@ def units(spans: DataFrame, sources: DataFrame) -> DataFrame:
     return own.select(F.col("span_id").alias("unit_id"), F.concat_ws("\n", "title", "visible_text").alias("text"), "source_id", "security_label", "span_type")
 
 
+def index(units: DataFrame, stored: DataFrame) -> DataFrame:
+    """Vectors of units (unit_id, source_id, text): stored ones where the text is the same, new ones else; units that are gone have none."""
+    hashed = units.select("unit_id", "source_id", "text", F.sha2("text", 256).alias("text_hash"))
+    kept = stored.select("unit_id", "text_hash", "vec").join(hashed.select("unit_id", "source_id", "text_hash"), ["unit_id", "text_hash"])
+    new = mutation.fresh(units.select("unit_id", "source_id", "text"), stored).withColumn("vec", V.hash_embedding(F.col("text")))
+    columns = ["unit_id", "source_id", "text_hash", "vec"]
+    return kept.select(*columns).unionByName(new.select(*columns))
+
+
 def hybrid(queries: DataFrame, indexed: DataFrame, spans: DataFrame, allowed: list[str], k: int = 10) -> DataFrame:
     """The k best spans of each query (query_id, question) by words and hashed vectors together, reranked by their words.
 
     Labels are filtered before both rankings, as no filter passes through them, and again when the hits meet the
-    spans as they are now. Both legs rank max(100, 5 k) units.
+    spans as they are now. Both legs rank max(100, 5 k) units. indexed: what `units` gives, with vec where vectors are stored.
     """
     pool = max(100, 5 * k)
     seen = indexed.filter(F.col("security_label").isin(*allowed))
-    dense = nearest(queries.select("query_id", V.hash_embedding(F.col("question")).alias("vec")), seen.select("unit_id", V.hash_embedding(F.col("text")).alias("vec")), pool)
+    vec = F.col("vec") if "vec" in indexed.columns else V.hash_embedding(F.col("text"))
+    dense = nearest(queries.select("query_id", V.hash_embedding(F.col("question")).alias("vec")), seen.select("unit_id", vec.alias("vec")), pool)
     terms = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("term"))
     found = fuse([dense, bm25(terms, seen.select("unit_id", "text"), pool)], RERANK_POOL)
     rows = rejoin(found, spans, allowed).join(queries, "query_id").withColumn("text", F.col("visible_text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 LEDGER = {
+    "unit_vectors": "unit_id string, source_id string, text_hash string, vec array<double>",
     "sources": "source_id string, title string, document_type string, raw_sha256 string, security_label string, created_at timestamp, year int, geography string",
     "evidence_spans": "span_id string, source_id string, artifact_id string, span_type string, visible_text string, locator struct<stable_locator: string, extra: map<string, string>>, page int, validation_status string, evidence_confidence double, security_label string",
     "property_measurements": "measurement_id string, source_id string, experiment_id string, property_id string, property_name string, value double, unit string, original_value string, method string, supporting_span_ids array<string>, validation_status string",

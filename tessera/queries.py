@@ -280,7 +280,7 @@ def _wide(spark, d):
     GROUP BY 1, 2, 3""")
 def wide_table_facts(spark, d):
     # The header `Sample` names a subject but no header names a value, so the row is wide.
-    each = _wide(spark, d).select(F.explode(numbers.row_facts(F.col("headers"), F.col("cells"))).alias("f")).select("f.*")
+    each = numbers.facts_of_rows(_wide(spark, d), "headers", "cells").select(F.explode("facts").alias("f")).select("f.*")
     return each.groupBy("subject", "prop", "unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 

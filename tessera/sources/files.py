@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import io
 import ipaddress
 import re
@@ -10,6 +11,7 @@ import socket
 import zipfile
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import zip_longest
 from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
@@ -96,6 +98,29 @@ def decode_experiments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
 
 
+def csv_rows(found: DataFrame) -> DataFrame:
+    """Rows of tables with a header (path, content): path, ordinal (2 for the first row of a file), headers, values as trimmed text.
+
+    Each file has its own header. Short rows are filled up; rows and header cells without content go.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                out, headers = [], None
+                for n, cells in enumerate(csv.reader(io.StringIO(decode_bytes(content or b"")[0], newline="")), 1):
+                    cells = [c.strip() for c in cells]
+                    if headers is None:
+                        headers = cells
+                    elif any(cells):
+                        row = [(h, v) for h, v in zip_longest(headers, cells[: len(headers)], fillvalue="") if h]
+                        out.append((path, n, [h for h, _ in row], [v for _, v in row]))
+                if out:
+                    yield pd.DataFrame(out, columns=["path", "ordinal", "headers", "values"])
+
+    return found.select("path", "content").mapInPandas(run, "path string, ordinal bigint, headers array<string>, values array<string>")
+
+
 def generic_rows(rows: DataFrame) -> DataFrame:
     """Rows of any table with a header as labelled text; rows without content go."""
     headers = F.array(*(F.lit(c) for c in rows.columns))
@@ -104,13 +129,14 @@ def generic_rows(rows: DataFrame) -> DataFrame:
 
 
 def packed_lines(lines: Column, most: int = 800) -> Column:
-    """Lines joined to blocks that end before they would pass `most` characters, each line counting one more."""
+    """Trimmed lines that are not blank, joined by a space to blocks that end before they would pass `most` characters, each line counting one more."""
+    lines = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size"))
     def step(s: Column, x: Column) -> Column:
         full = (s["size"] + F.length(x) > most) & (s["size"] > 0)
         return F.struct(
             F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
-            F.when(full | (s["size"] == 0), x).otherwise(F.concat_ws("\n", s["open"], x)).alias("open"),
+            F.when(full | (s["size"] == 0), x).otherwise(F.concat_ws(" ", s["open"], x)).alias("open"),
             F.when(full, F.length(x) + 1).otherwise(s["size"] + F.length(x) + 1).alias("size"),
         )
     return F.aggregate(lines, start, step, lambda s: F.when(s["size"] > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))

@@ -37,12 +37,50 @@ def test_ledger(spark, tmp_path):
     assert [r.experiment_id for r in ledger.ask("твердость МН30 не менее 300 HV").experiments.collect()] == ["exp_high"]
     assert ledger.retrieve("who gets harder").first().visible_text == "Ni-30Cu gets harder"
     assert ledger.retrieve("who gets harder", ["public"]).count() == 0
+    ledger.reindex()
+    vectors = {r.unit_id: r.vec for r in ledger.table("unit_vectors").collect()}
+    assert len(vectors) == 4 and ledger.retrieve("who gets harder").first().visible_text == "Ni-30Cu gets harder"
     ledger.record("твердость?", got)
     assert ledger.table("answer_runs").first().verification["citation_coverage"] == 1.0
 
+    for _ in range(2):  # again: nothing new
+        ledger.extract()
+        found = {r.entity_id: (r.canonical_key, len(r.evidence_span_ids or [])) for r in ledger.table("entities").collect()}
+        assert found["mat_ni-30cu"] == ("ni-30cu", 3) and found["vickers_hardness"][1] == 2 and len(found) == 4
+        assert {(r.src_entity_id, r.relation_type, r.dst_entity_id, len(r.evidence_span_ids)) for r in ledger.table("relations").collect()} == {("mat_ni-30cu", "HAS_MEASUREMENT", "vickers_hardness", 2), ("mat_ni-30cu", "APPLIES_REGIME", "regime_aging", 2)}
+    new = ledger.table("evidence_spans").filter("span_type = 'text'").selectExpr("span_id", "'Kola works' AS text", "'facility' AS entity_type", "0.7D AS confidence", "'model' AS origin")
+    ledger.extract([new])
+    made = ledger.table("entities").filter("canonical_name = 'Kola works'").first()
+    assert made.entity_id.startswith("ent_facility_") and len(made.evidence_span_ids) == 2
+
     ledger.delete_source(listed["a.csv"].source_id)
+    assert ledger.table("unit_vectors").count() == 2
     assert [r.title for r in ledger.sources().collect()] == ["report_2019.md"] and ledger.experiments().count() == 0
-    assert ledger.table("entities").count() == 4  # dictionaries stay
+    assert ledger.table("entities").filter("not entity_id like 'ent_%'").count() == 4  # dictionaries stay
+
+
+def test_every_table_file_is_a_source(spark, tmp_path):
+    (tmp_path / "one.csv").write_text(HEAD + "e1,Ni-30Cu,aging,700,8,air,Vickers hardness,HV10,210,245,HV,increase\n")
+    (tmp_path / "two.csv").write_text('Показатель,"Значение, мг/л",\nСульфаты,"12,5",x\n,,\nХлориды\n')
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.add_tables(str(tmp_path))
+    listed = {r.title: r for r in ledger.sources().collect()}
+    assert {t: (r.evidence_count, r.measurement_count) for t, r in listed.items()} == {"one.csv": (1, 1), "two.csv": (2, 0)}
+    own = listed["two.csv"].source_id
+    assert [(r.ordinal, r.visible_text) for r in ledger.evidence(own).select("locator.stable_locator", "visible_text").selectExpr("int(right(stable_locator, 3)) AS ordinal", "visible_text").collect()] == [(2, "Показатель: Сульфаты | Значение, мг/л: 12,5"), (4, "Показатель: Хлориды")]
+    assert [(r.subject, r.value, r.unit) for r in ledger.table("numeric_facts").filter(f"source_id = '{own}'").collect()] == [("сульфаты", 12.5, "мг/л")]
+
+
+def test_two_writers_take_no_commit_of_each_other(spark, tmp_path):
+    import pytest
+
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    claim, fs = ledger._claim(1)
+    assert fs.createNewFile(claim)
+    with pytest.raises(RuntimeError):
+        ledger.commit({"entities": ledger.table("entities")})
+    assert ledger.table("entities").count() == 0 and ledger.release()
+    ledger.commit({"entities": ledger.table("entities")})
 
 
 def test_gate(spark):

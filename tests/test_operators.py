@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import analytics, graph, mutation, qa, resolution, retrieval
 from tessera.operators import relational as R
 from tessera.sources import files
@@ -94,6 +95,23 @@ def test_resolution(spark):
     assert made.count() == 1 and review.count() == 0
 
 
+def test_no_mention_is_lost(spark, monkeypatch):
+    """The same as the pattern alone for every text and alias."""
+    import re as regex
+
+    aliases = ["на дне", "ni-30cu", "cu", "медь", "сплав медь", "в до", "три-на", "а-б-в", "печь"]
+    texts = ["на дно", "на дне моря", "лежит на днем", "сплав ni-30cu и cu", "меди и медью", "сплавом медью", "сплав меди", "в доме", "три-нац", "а-б-вг", "печами", "печь."]
+    spans = spark.createDataFrame(list(enumerate(texts)), "span_id int, visible_text string")
+    names = spark.createDataFrame([(a, "x", a) for a in aliases], "alias_norm string, entity_type string, alias string")
+    keys = {r.span_id: r.k for r in spans.select("span_id", T.canonical_key(F.col("visible_text")).alias("k")).collect()}
+    patterns = {r.alias: r.p for r in names.select("alias", T.mention_pattern(F.col("alias_norm")).alias("p")).collect()}
+    want = {(i, a) for i, k in keys.items() for a, p in patterns.items() if len(a) >= 3 and regex.search(p.replace(r"[\p{L}\p{N}_]", r"\w"), k)}
+    assert (0, "на дне") in want and len(want) > 8
+    for most in (resolution.MOST_BEGINS, 0):
+        monkeypatch.setattr(resolution, "MOST_BEGINS", most)
+        assert {(r.span_id, r.text) for r in resolution.dictionary_mentions(spans, names).collect()} == want
+
+
 def test_mentions_start_at_words(spark):
     spans = spark.createDataFrame([(1, "пробы руды из карьера"), (2, "оборудование цеха"), (3, "сплав Ni-30Cr"), (4, "сплав Ni–30Cu.")], "span_id int, visible_text string")
     aliases = spark.createDataFrame([("руда", "material", "руда"), ("ni-30cu", "material", "Ni-30Cu")], "alias_norm string, entity_type string, alias string")
@@ -169,7 +187,8 @@ def test_lines_and_html(spark):
     page = spark.createDataFrame([("<title>T</title><script>x()</script><nav>menu</nav><p>a &amp; b</p><p>c</p>",)], "html string")
     assert page.select(files.html_text(F.col("html")).alias("x")).first().x.split() == ["T", "a", "&", "b", "c"]
     blocks = spark.range(1).select(files.packed_lines(F.array(*map(F.lit, ("aaaa", "bb", "c"))), 7).alias("x")).first().x
-    assert blocks == ["aaaa\nbb", "c"]
+    assert blocks == ["aaaa bb", "c"]
+    assert spark.range(1).select(files.packed_lines(F.array(*map(F.lit, ("  a  ", "", " ", "b")))).alias("x")).first().x == ["a b"]
 
 
 def test_public_addresses():
