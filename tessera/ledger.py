@@ -192,9 +192,7 @@ class Ledger:
     def experiments(self) -> DataFrame:
         m, e = self.table("property_measurements"), self.table("effect_claims")
         keys = ["experiment_id", "property_id", "source_id"]
-        left = m.select(*keys, "property_name", "value", "unit", "method", F.col("supporting_span_ids").alias("m_ids"))
-        right = e.select(*keys, "material_id", "material_name", "regime_id", "regime_summary", "direction", "delta_value", F.col("supporting_span_ids").alias("e_ids"))
-        return left.join(right, keys).withColumn("evidence_ids", mutation.extend_ids(F.col("m_ids"), F.col("e_ids"))).drop("m_ids", "e_ids")
+        return analytics.experiments(m.select(*keys, "property_name", "value", "unit", "method", "supporting_span_ids"), e.select(*keys, "material_id", "material_name", "regime_id", "regime_summary", "direction", "delta_value", "supporting_span_ids"))
 
     def conflicts(self) -> DataFrame:
         rows = self.experiments().withColumns({"bucket": numbers.regime_bucket(F.col("regime_id")), "method": F.lower(F.trim("method")), "unit": numbers.unit(F.col("unit")), "pos": F.concat_ws(":", "experiment_id", "source_id")})

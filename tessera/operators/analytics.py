@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, verify
+from tessera.operators import mutation
 
 # Fixed value: a relative difference above it is a disagreement.
 DISAGREE = 0.15
@@ -33,6 +34,18 @@ def conflicts(experiments: DataFrame, keys: list[str], order: str) -> DataFrame:
     return pairs.withColumn("type", conflict_type("a", "b")).filter("type is not null")
 
 
+def experiments(measurements: DataFrame, effects: DataFrame) -> DataFrame:
+    """Measurements with the effects of the same experiment, property and source, and the evidence of both without repeats."""
+    keys = ["experiment_id", "property_id", "source_id"]
+    left, right = measurements.withColumnRenamed("supporting_span_ids", "m_ids"), effects.withColumnRenamed("supporting_span_ids", "e_ids")
+    return left.join(right, keys).withColumn("evidence_ids", mutation.extend_ids(F.col("m_ids"), F.col("e_ids"))).drop("m_ids", "e_ids")
+
+
+def gap_counts(matrix: DataFrame, *by: str) -> DataFrame:
+    """Covered cells and gaps of a matrix, for each value of some of its columns."""
+    return matrix.groupBy(*by).agg(F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("gaps"))
+
+
 def gap_matrix(materials: DataFrame, regimes: DataFrame, properties: DataFrame, experiments: DataFrame) -> DataFrame:
     """Every cell of the three dictionaries with the experiments that cover it.
 

@@ -48,6 +48,22 @@ def search_entities(entities: DataFrame, aliases: DataFrame, key: str, limit: in
     return top(found.select("entity_id", "entity_type", "canonical_name", "evidence_count", rank.cast("bigint").alias("rank")), limit, F.col("rank"), F.col("evidence_count").desc(), "canonical_name", "entity_id")
 
 
+def facets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """How many rows have each value of each of the columns, in one pass; nulls don't count."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))
+    return counts(df.select(F.explode(pairs).alias("x")).select("x.*").filter("value is not null"), "facet", "value")
+
+
+def listed(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows of each key as a sorted list `items` of structs: what is asked for is the list itself."""
+    return df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("items"))
+
+
+def free_text(df: DataFrame, columns: Sequence[str], query: str) -> DataFrame:
+    """Rows whose columns, joined by a space, hold the query without regard to case; an empty query keeps all."""
+    return df.filter(F.lower(F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))).contains(query.strip().lower()))
+
+
 def within_budget(df: DataFrame, keys: Sequence[str], size: str, budget: int, *order: Column) -> DataFrame:
     """The longest prefix of each key whose sizes sum to the budget at most; the first row is always in."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -67,6 +83,31 @@ def shard(df: DataFrame, key: str, count: int, index: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(key), F.lit(count)) == index)
 
 
+def ordinal_shard(df: DataFrame, order: Sequence[str], count: int, index: int) -> DataFrame:
+    """One of `count` shares of the rows, dealt in turn in the given order, without one task that sees all rows.
+
+    Rows are range-partitioned by the order; each partition starts at the number of rows before it.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    part, own = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = {r.p: r.n for r in spread.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a partition
+    starts, before = [], 0
+    for p in sorted(sizes):
+        starts += [F.lit(p), F.lit(before)]
+        before += sizes[p]
+    if not starts:
+        return df.filter("false")
+    ordinal = own + F.element_at(F.create_map(*starts), part)
+    return spread.filter(ordinal % count == index).drop("__id")
+
+
+def metric_map(text: Column) -> Column:
+    """The numbers of a JSON object by name, booleans as 0 and 1; other values have no place in it."""
+    read = F.from_json(text, "map<string, string>")
+    number = lambda v: F.when(v.isin("true", "false"), (v == "true").cast("double")).otherwise(v.try_cast("double"))
+    return F.map_filter(F.transform_values(read, lambda k, v: number(v)), lambda k, v: v.isNotNull())
+
+
 def content_dedup(df: DataFrame, content: str, *order: Column) -> DataFrame:
     """The first of the rows with equal content."""
     return latest(df.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256)), ["content_hash"], *order)

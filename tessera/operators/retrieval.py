@@ -15,6 +15,8 @@ from tessera.operators import mutation
 
 K1, B, FUSE = 1.2, 0.75, 60
 RERANK_POOL = 30
+MOST_TERMS = 20_000  # terms of all queries that are named in a plan
+MOST_QUERIES = 100_000  # rows of the query side sent to every task; more are joined by a shuffle
 
 
 def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
@@ -44,15 +46,21 @@ def bm25(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
 
     Statistics are of all units; only postings of asked terms are scored.
     """
-    terms = term_counts(units, F.col("text"))
-    sizes = units.select(F.size(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))).alias("n"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("units"), F.avg("n").alias("mean"))
-    asked = terms.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
+    wanted = [r.term for r in queries.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    words = units.select("unit_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+    sized = words.select("unit_id", F.size("words").alias("length"), "words")
+    stats = sized.agg(F.count(F.lit(1)).alias("units"), F.avg("length").alias("mean"))
+    each = sized.select("unit_id", "length", F.explode("words").alias("term"))
+    each = each.filter(F.col("term").isin(wanted)) if len(wanted) <= MOST_TERMS else each.join(queries.select("term").distinct(), "term", "left_semi")
+    asked = each.groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    posted = asked.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).select("unit_id", "term", weight.alias("w"))  # stats is one row
-    return ranked(posted.join(F.broadcast(queries), "term").groupBy("query_id", "unit_id").agg(F.sum("w").alias("score")), k)
+    # df has a row a term of the queries, stats is one row.
+    side = F.broadcast if len(wanted) <= MOST_TERMS else (lambda x: x)
+    posted = asked.join(side(df), "term").crossJoin(F.broadcast(stats)).select("unit_id", "term", weight.alias("w"))
+    few = queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+    return ranked(posted.join(F.broadcast(queries) if few else queries, "term").groupBy("query_id", "unit_id").agg(F.sum("w").alias("score")), k)
 
 
 def fuse(legs: list[DataFrame], k: int) -> DataFrame:
@@ -109,6 +117,12 @@ def index(units: DataFrame, stored: DataFrame) -> DataFrame:
     return kept.select(*columns).unionByName(new.select(*columns))
 
 
+def scroll(stored: DataFrame, source_id: str, after: str | None = None, page: int = 1024) -> DataFrame:
+    """The next page of a source's units, in the order of their ids."""
+    own = stored.filter(F.col("source_id") == source_id)
+    return (own if after is None else own.filter(F.col("unit_id") > after)).orderBy("unit_id").limit(page)
+
+
 def hybrid(queries: DataFrame, indexed: DataFrame, spans: DataFrame, allowed: list[str], k: int = 10) -> DataFrame:
     """The k best spans of each query (query_id, question) by words and hashed vectors together, reranked by their words.
 

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows on all cores, for work that costs far more than a shuffle; a table of enough files stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source a document; its label follows the document's marks."""
     docs, marks = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -30,7 +36,7 @@ SOURCES = """sources AS (
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank lines of the documents that are no headings."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "visible_text"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "visible_text"))
     kept = lines.filter((F.trim("visible_text") != "") & ~F.trim("visible_text").startswith("#"))
     return kept.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("span_id"), F.col("doc_id").alias("source_id"), F.col("line").cast("bigint").alias("block"), "visible_text")
 

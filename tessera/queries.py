@@ -168,8 +168,7 @@ def evidence_by_source(spark, d):
 
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def content_dedup(spark, d):
-    docs = A.table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    return docs.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    return R.content_dedup(A.table(spark, d, "documents").select("doc_id", "text").filter("text is not null"), "text", F.col("doc_id")).select("content_hash", "doc_id")
 
 
 @query()
@@ -272,7 +271,7 @@ def unit_normalize(spark, d):
 def _wide(spark, d):
     headers = F.array(*map(F.lit, ("Sample", "Quantity, mg/l", "Price (rub)", "Place (Finland)")))
     cells = F.array(F.col("l_returnflag"), F.translate(F.col("l_quantity").cast("string"), ".", ","), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("7"))
-    return A.table(spark, d, "lineitem").select("l_orderkey", headers.alias("headers"), cells.alias("cells"))
+    return A.spread(A.table(spark, d, "lineitem")).select("l_orderkey", headers.alias("headers"), cells.alias("cells"))
 
 
 @query("""SELECT subject, prop, unit, count(*) AS n, round(sum(value), 2) AS total FROM (
@@ -318,7 +317,7 @@ def _stem_sql(x: str) -> str:
         SELECT {_stem_sql('w')} AS t FROM (SELECT replace(lower(unnest(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-zА-Яа-яЁё]{{2,}}'))), 'ё', 'е') AS w FROM documents))
     WHERE t NOT IN ({", ".join(f"'{w}'" for w in T.RU_STOP_WORDS)}) GROUP BY 1""")
 def stemmed_terms(spark, d):
-    words = A.table(spark, d, "documents").select(F.explode(T.raw_tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = A.spread(A.table(spark, d, "documents").select("text")).select(F.explode(T.raw_tokens(F.col("text"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     terms = words.select(T.stem(F.col("w")).alias("term"), "n").filter(~F.col("term").isin(*T.RU_STOP_WORDS))
     return terms.groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -348,7 +347,7 @@ def _any_sql(names: tuple[str, ...]) -> str:
         WHEN cyr + lat <= 40 THEN NULL WHEN cyr >= lat THEN 'ru' ELSE 'foreign' END AS geography
     FROM (SELECT doc_id, lower(text) AS low, len(regexp_extract_all(lower(text), '[а-яё]')) AS cyr, len(regexp_extract_all(lower(text), '[a-z]')) AS lat FROM documents)""")
 def geography(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", T.geography(F.col("text")).alias("geography"))
+    return A.spread(A.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.geography(F.col("text")).alias("geography"))
 
 
 # --- verification -----------------------------------------------------------------------------------------------
@@ -418,11 +417,11 @@ def conflicts(spark, d):
 
 @query("""SELECT s.material_id, p.regime_type, b.property_id, coalesce(x.n, 0) AS experiments, coalesce(x.n, 0) > 0 AS covered
     FROM (SELECT DISTINCT c_mktsegment AS material_id FROM customer) s CROSS JOIN (SELECT DISTINCT o_orderpriority AS regime_type FROM orders) p CROSS JOIN (SELECT DISTINCT p_brand AS property_id FROM part) b
-    LEFT JOIN (SELECT c_mktsegment AS m, o_orderpriority AS r, p_brand AS q, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 GROUP BY 1, 2, 3) x
+    LEFT JOIN (SELECT c_mktsegment AS m, o_orderpriority AS r, p_brand AS q, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3) x
     ON x.m = s.material_id AND x.r = p.regime_type AND x.q = b.property_id""")
 def gap_matrix(spark, d):
     of = lambda t, c, name: A.table(spark, d, t).select(F.col(c).alias(name)).distinct()
-    line = A.table(spark, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_partkey")
+    line = A.table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
     orders, customers, parts = (A.table(spark, d, t) for t in ("orders", "customer", "part"))
     done = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(customers, orders["o_custkey"] == customers["c_custkey"]).join(parts, line["l_partkey"] == parts["p_partkey"])
     done = done.select(F.col("c_mktsegment").alias("material_id"), F.col("o_orderpriority").alias("regime_type"), F.col("p_brand").alias("property_id"))
@@ -609,7 +608,7 @@ _BM25 = """w AS (SELECT doc_id AS unit_id, regexp_extract_all(lower(coalesce(tex
 def _bm25(spark, d, k):
     items = A.table(spark, d, "benchmark").filter("item_id % 20 = 0")
     asked = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("term"))
-    return retrieval.bm25(asked, A.table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text"), k)
+    return retrieval.bm25(asked, A.spread(A.table(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text")), k)
 
 
 @query(f"WITH {_BM25.format(k=10)} SELECT query_id, rank, round(score, 4) AS score FROM bm")
@@ -694,7 +693,7 @@ def sentence_chunks(spark, d):
 
 @query()
 def html_main_text(spark, d):
-    return A.table(spark, d, "pages").select("page_id", files.html_title(F.col("html")).alias("title"), F.sha2(files.html_text(F.col("html")), 256).alias("digest"), long(F.char_length(files.html_text(F.col("html"))), "length"))
+    return A.spread(A.table(spark, d, "pages").select("page_id", "html")).select("page_id", files.html_title(F.col("html")).alias("title"), F.sha2(files.html_text(F.col("html")), 256).alias("digest"), long(F.char_length(files.html_text(F.col("html"))), "length"))
 
 
 @query()
@@ -743,3 +742,6 @@ def event_sessions(spark, d):
 def stream_ingest_dedup(spark, d):
     """Events by id: ids repeat within the watermark only, so each comes once."""
     return _drained(spark, ingest.deduplicated(_events(spark, d), ["event_id"]).select("event_id", "user_id"), "dedup", "append")
+
+
+from tessera import queries_records  # noqa: E402, F401  it adds the rest of the catalogue
