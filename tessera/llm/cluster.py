@@ -32,7 +32,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Texts go to Python some megabytes at a time; a batch lies in the JVM, in the worker and between them at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -32,6 +32,7 @@ FEW = 32  # classes of a band that are tested by pairs
 BLOCK = 1024  # classes of a side of a task's work
 BLOCK_BYTES = 16_000_000  # of their texts, on average
 MOST_BROADCAST = 500_000  # ids; some 30 MB as a hash table
+BATCH_BYTES = 2_500_000
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -81,7 +82,7 @@ def sketch(sets: np.ndarray, first: np.ndarray, t: int) -> np.ndarray:
 
 def _signatures(k: int, rows: int, bands: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in at.batches(frames, "text", 4_000_000):
+        for table in at.batches(frames, "text", BATCH_BYTES):
             sets, first = shingles(at.chunk(table, "text"), k)
             sketches = sketch(sets, first, rows * bands)
             sizes = np.diff(first)
@@ -121,7 +122,7 @@ def _verifier(k: int, percent: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, mine = None, np.zeros(0, np.uint64)
-        for table in at.batches(frames, "text", 4_000_000):
+        for table in at.batches(frames, "text", BATCH_BYTES):
             sets, first = shingles(at.chunk(table, "text"), k)
             a, b = (at.chunk(table, c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
             keys = at.chunk(table, "set_key").to_pylist()

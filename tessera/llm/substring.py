@@ -41,7 +41,7 @@ from tessera.llm import cluster
 WORD_BYTES = 6  # of a word and its space, to choose the number of tasks
 TASK = 1_000_000  # windows that a task of the screen gets
 GROUP = 1_000_000  # suffixes of a group that are ordered at once; more are dealt by longer prefixes
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_500_000
 
 
 def ladder(min_words: int) -> list[int]:
@@ -533,7 +533,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False, gr
     marks = lost.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "n")).alias("lost"))
 
     known = travel(keyed, names).filter("doc_id is not null").join(marks, "doc_id", "left")
-    if docs.schema["doc_id"].nullable:
+    if keyed.filter("doc_id is null").limit(1).count():  # their tasks run two workers, one after the other
         known = known.unionByName(travel(keyed.filter("doc_id is null"), names).withColumn("lost", F.lit(None).cast(marks.schema["lost"].dataType)))
     ready = known.select(*names, "body", "n_bytes", "key", F.coalesce("lost", F.array().cast(marks.schema["lost"].dataType)).alias("lost"))
     spans = T.ArrayType(T.StructType().add("first", "long").add("end", "long"))
