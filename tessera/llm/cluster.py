@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing reads any more.
+
+    Spark removes them when the driver's heap is collected, which a driver with little to do puts off for
+    long while large files lie on the executors' disks.
+    """
+    gc.collect()
+    time.sleep(0.3)  # references are given back in the background
+    spark.sparkContext._jvm.System.gc()
+
+
 def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Texts go to Python some megabytes at a time; a batch lies in the JVM, in the worker and between them at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

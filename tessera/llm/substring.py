@@ -525,11 +525,13 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False, gr
     travel = lambda df, own: df.select(*own, "text").mapInArrow(_zipped(own), T.StructType([df.schema[c] for c in own] + zipped.fields))
     sent = cluster.cut(travel(plain, ["doc_id"]).join(hits, "doc_id").select("doc_id", "body", "n_bytes", "key", "hits").mapInArrow(_candidates(min_words, tasks), _SENT))
     lost = sent.filter("slot is null")
+    cluster.free(spark)  # of the screen
     for level in range(len(ladder(min_words))):
         sent = cluster.cut(sent.filter("slot is not null").repartitionById(tasks, F.col("slot")).mapInArrow(_trees(level, min_words, tasks, group), _SENT))
         lost = lost.unionByName(sent.filter("slot is null"))
         if not sent.filter("slot is not null").limit(1).count():
             break
+    cluster.free(spark)
     marks = lost.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first", "n")).alias("lost"))
 
     known = travel(keyed, names).filter("doc_id is not null").join(marks, "doc_id", "left")
