@@ -10,6 +10,7 @@ from tessera.operators import mutation
 
 # Fixed value: a relative difference above it is a disagreement.
 DISAGREE = 0.15
+MOST_ENTRIES = 100_000  # rows of a dictionary sent to every task
 
 
 def conflict_type(a: str, b: str) -> Column:
@@ -49,9 +50,11 @@ def gap_counts(matrix: DataFrame, *by: str) -> DataFrame:
 def gap_matrix(materials: DataFrame, regimes: DataFrame, properties: DataFrame, experiments: DataFrame) -> DataFrame:
     """Every cell of the three dictionaries with the experiments that cover it.
 
-    The dictionaries are curated and small; they are crossed by definition. Experiments are grouped first.
+    The dictionaries are curated; they are crossed by definition, the two shorter ones in every task if their size allows.
+    Experiments are grouped first.
     """
-    cells = materials.crossJoin(F.broadcast(regimes)).crossJoin(F.broadcast(properties))
+    sent = [F.broadcast(side) if side.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES else side for side in (regimes, properties)]
+    cells = materials.crossJoin(sent[0]).crossJoin(sent[1])
     done = experiments.groupBy("material_id", "regime_type", "property_id").agg(F.count(F.lit(1)).alias("experiments"))
     found = cells.join(done, ["material_id", "regime_type", "property_id"], "left")
     return found.withColumn("experiments", F.coalesce("experiments", F.lit(0))).withColumn("covered", F.col("experiments") > 0)

@@ -6,6 +6,8 @@ ln(1 + (N - df + 0.5) / (df + 0.5)), and reciprocal rank fusion 1 / (60 + rank).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,20 @@ K1, B, FUSE = 1.2, 0.75, 60
 RERANK_POOL = 30
 MOST_TERMS = 20_000  # terms of all queries that are named in a plan
 MOST_QUERIES = 100_000  # rows of the query side sent to every task; more are joined by a shuffle
+MOST_VECTORS = 10_000  # query vectors sent to every task at a time; more go in blocks
 
 
-def nearest(queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """The k units of largest cosine for each query. queries: query_id, vec (a stated, small set); units: unit_id, vec.
+def nearest(queries: DataFrame, units: DataFrame, k: int, most: int = MOST_VECTORS) -> DataFrame:
+    """The k units of largest cosine for each query. queries: query_id, vec (a stated set); units: unit_id, vec.
 
     Every unit is compared with every query where it lies; each task keeps k rows a query before the shuffle.
+    Queries are counted first: beyond `most` they go by a hash of their id in blocks of about that many, one after the other.
     """
     ends = [f.withColumn(c, V.unit(F.col(c))).filter(f"{c} is not null") for f, c in ((units, "vec"), (queries.withColumnRenamed("vec", "q"), "q"))]
-    scored = ends[0].crossJoin(F.broadcast(ends[1])).filter("size(q) = size(vec)").select("query_id", "unit_id", V.dot(F.col("q"), F.col("vec")).alias("score"))
-    return ranked(scored, k)
+    blocks = -(-queries.count() // most) or 1
+    parts = [ends[1].filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [ends[1]]
+    scored = lambda part: ends[0].crossJoin(F.broadcast(part)).filter("size(q) = size(vec)").select("query_id", "unit_id", V.dot(F.col("q"), F.col("vec")).alias("score"))
+    return reduce(DataFrame.unionAll, [ranked(scored(part), k) for part in parts])
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

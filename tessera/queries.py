@@ -707,7 +707,10 @@ def packed_blocks(spark, d):
 
 def _drained(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
     """What a stream gives until its source is used up, as a table in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="tessera-stream-")
     run = f"{root}/{name}-{spark.sparkContext.applicationId}-{next(_runs)}"
     df.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{run}/out")

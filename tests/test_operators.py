@@ -212,3 +212,20 @@ def test_streamed_upserts(spark, tmp_path):
     spark.createDataFrame([("b", 3), ("c", 4)], "k string, v int").write.parquet(f"{src}/2")
     run()
     assert rows(ingest.version(spark, table, 1), "k", "v") == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_nearest_in_blocks_of_queries_gives_the_same_rows(spark):
+    queries = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)], "query_id int, vec array<double>")
+    units = spark.createDataFrame([(i, [float(i), 2.0, float(i % 4)]) for i in range(12)], "unit_id int, vec array<double>")
+    rows = lambda most: sorted((r.query_id, r["rank"], r.unit_id, round(r.score, 9)) for r in retrieval.nearest(queries, units, 3, most).collect())
+    assert len(rows(100)) == 120 and rows(7) == rows(100)
+    assert retrieval.nearest(queries.limit(0), units, 3).collect() == []
+
+
+def test_gap_matrix_is_the_same_beyond_the_bound_of_its_broadcast(spark, monkeypatch):
+    col = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    done = spark.createDataFrame([("m1", "r1", "p1")], "material_id string, regime_type string, property_id string")
+    cells = lambda: sorted(map(tuple, analytics.gap_matrix(col("material_id", "m1", "m2"), col("regime_type", "r1"), col("property_id", "p1", "p2"), done).collect()))
+    want = cells()
+    monkeypatch.setattr(analytics, "MOST_ENTRIES", 0)
+    assert len(want) == 4 and cells() == want
