@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embeddings, language, licenses, minhash, mixing, packing, phrases, quality, substring, urls
+from tessera.llm import embeddings, language, licenses, merkle, minhash, mixing, packing, phrases, quality, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, marks)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -85,10 +89,16 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
+# crc32 of the decimal doc_id, a bit at a time
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, b: list_reduce(list_concat([xor(x, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(map(_FIELD.format, ("doc_id", "source", "lang", "n_chars", "{0}"))) + ")"
 
 ORACLES = {
     "op1_embedding_near_dedup": """
@@ -152,4 +162,36 @@ ORACLES = {
         SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
         FROM c LEFT JOIN n USING (doc_id)
     """,
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, leaf,
+                CASE WHEN mod(crc, 3) = 0 THEN changed ELSE leaf END AS now
+            FROM (SELECT doc_id, lang, {_LEAF.format("text")} AS leaf, {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed, {_CRC} AS crc FROM documents)
+        ), node AS (
+            SELECT lang, 0 AS level, pos, n, leaf AS digest FROM d
+            UNION ALL
+            SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY lang, level, n, pos // 8
+        ), sub AS MATERIALIZED (
+            SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+        ), upper AS (
+            SELECT 0 AS level, pos, n, digest FROM sub
+            UNION ALL
+            SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, n, pos // 8
+        ), run AS MATERIALIZED (
+            SELECT lang, level, pos // 8 AS pos, string_agg(digest, '' ORDER BY pos) AS run FROM node WHERE n > 1 GROUP BY ALL
+        ), upper_run AS MATERIALIZED (
+            SELECT level, pos // 8 AS pos, string_agg(digest, '' ORDER BY pos) AS run FROM upper WHERE n > 1 GROUP BY ALL
+        ), inside AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, leaf, 0 AS level, pos, n, now AS cur, '' AS proof FROM d
+            UNION ALL
+            SELECT r, doc_id, i.lang, leaf, i.level + 1, i.pos // 8, (n + 7) // 8, sha256(run[:64 * (i.pos % 8)] || cur || run[64 * (i.pos % 8) + 65:]), proof || run[:64 * (i.pos % 8)] || run[64 * (i.pos % 8) + 65:]
+            FROM inside i JOIN run ON run.lang IS NOT DISTINCT FROM i.lang AND run.level = i.level AND run.pos = i.pos // 8 WHERE n > 1
+        ), outside AS (
+            SELECT r, doc_id, leaf, sub.digest AS subroot, 0 AS level, sub.pos, sub.n, cur, proof FROM inside i JOIN sub ON sub.lang IS NOT DISTINCT FROM i.lang WHERE i.n = 1
+            UNION ALL
+            SELECT r, doc_id, leaf, subroot, o.level + 1, o.pos // 8, (n + 7) // 8, sha256(run[:64 * (o.pos % 8)] || cur || run[64 * (o.pos % 8) + 65:]), proof || run[:64 * (o.pos % 8)] || run[64 * (o.pos % 8) + 65:]
+            FROM outside o JOIN upper_run u ON u.level = o.level AND u.pos = o.pos // 8 WHERE n > 1
+        )
+        SELECT doc_id, leaf, subroot, (SELECT digest FROM upper WHERE n = 1) AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = (SELECT digest FROM upper WHERE n = 1) AS verified FROM outside WHERE n = 1
+    """,
 }
