@@ -9,6 +9,7 @@ longest rule whose identifiers follow in that order names a licence and takes th
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -59,10 +60,6 @@ SENTENCES = {
     "bsd-asis": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
     "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "gpl3-short": "This work is licensed under the GNU General Public License, version 3",
-    "gpl2-short": "This work is licensed under the GNU General Public License, version 2",
-    "lgpl3-short": "This work is licensed under the GNU Lesser General Public License, version 3",
-    "agpl3-short": "This work is licensed under the GNU Affero General Public License, version 3",
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "cc0-short": "Released under CC0 1.0",
     "cc-by-short": "Licensed under CC BY 4.0",
@@ -118,6 +115,7 @@ NAMES = {
     "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache Software License, Version 2.0"),
     "MIT": ("MIT License", "MIT licence", "Expat License"),
     "ISC": ("ISC License",),
+    "BSD": ("BSD License", "BSD licence"),
     "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"),
     "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
     "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
@@ -196,11 +194,19 @@ def _families() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
 _FAMILIES = _families()
 SENTENCES = _FAMILIES[0] | SENTENCES
 RULES = (*RULES, *_FAMILIES[1])
+#: Beginnings of the identifiers that are evidence in longer rules, or of nothing by themselves.
+EVIDENCE = (
+    "mit-name-plain", "mit-grant", "apache2-comply", "apache2-obtain", "apache2-asis", "apache2-limits", "mit-notice", "mit-asis", "mit-liability", "isc-asis", "isc-liability", "zlib-", "bsd-", "mpl2-copy", "unlicense-anyone",
+    "rights-reserved", "copyright", "gnu-", "general-", "lesser-", "library-", "affero-",
+)
 
 _COPYRIGHT = re.compile(r"^(?:copyright|\(c\)|©)(?:\s+(?:\(c\)|©))?\s+(?:\d{4}\b.*|the .*|by .*)$", re.I | re.S)
 _END = re.compile(r"(?<=[.!?;:,])\s+|\n\s*\n")
 _LINE = re.compile(r"[\r\n]+")
 _EDGE = re.compile(r"[^0-9a-z]+")
+_SIGNS = " \t\r\n" + string.punctuation
+_SPDX = re.compile(r"SPDX-License-Identifier:", re.I)
+_OPERATOR = re.compile(r"\s+(?:OR|AND|WITH)\s+|[()]|\Z")
 
 
 def normalised(sentence: str) -> str:
@@ -263,9 +269,27 @@ class Recogniser:
                     found.append((breaks[i], breaks[end], name))
                     got = n
                     break
+            else:
+                if pieces[i].startswith("spdx"):
+                    found += self._expression(text, breaks[i], breaks[ends[k]])
             k += got or 1
         return found
 
+    def _expression(self, text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+        """The operands of the SPDX expression whose tag is in a fragment, up to the end of the line, each as if it stood alone after the tag."""
+        tag = _SPDX.search(text, start, end)
+        if not tag or text[start : tag.start()].strip(_SIGNS):
+            return []
+        line = _LINE.search(text, tag.end())
+        end = line.start() if line else len(text)
+        own, begin = [], tag.end()
+        for m in _OPERATOR.finditer(text[:end], begin):
+            name = self.known.get(normalised(tag.group() + text[begin : m.start()]))
+            if name is not None:
+                own.append((begin, m.start(), name))
+            begin = m.end()
+        return own
+
     def licences(self, ids: list[str]) -> list[str]:
         """Licences of a sequence of identifiers, in order.
 

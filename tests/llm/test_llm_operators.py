@@ -959,3 +959,64 @@ def test_templates_and_purities_against_brute_force(spark, monkeypatch):
             assert got[i].template == template[k] and got[i].purity == pytest.approx(purity), url
             assert got[i].verdict == ("block" if purity < 0.5 else "allow")
     assert 0 < sum(x.verdict == "block" for x in got.values()) < len(rows)
+
+
+def test_every_licence_sentence_has_a_rule_or_is_evidence():
+    """Each sentence alone gives its licence, unless it is listed as evidence; no text has two names that differ in that."""
+    known = licenses.Recogniser()
+    alone = {name for name, ids in ((ids[0], ids) for _, ids in licenses.RULES) if len(ids) == 1}
+    for name, text in licenses.SENTENCES.items():
+        found = known.licences([x for *_, x in known.sentences(f"Words.\n{text}.\nWords.")])
+        assert found or name.startswith(licenses.EVIDENCE), name
+        if name in alone:
+            assert found, name
+    say = lambda text: known.licences([x for *_, x in known.sentences(text)])
+    for name, stem, versions in licenses.GNU:
+        for v in versions:
+            dotted = v if "." in v else f"{v}.0"
+            for opening in licenses.OPENINGS:
+                for ending, tail in (("", ""), (" or later", "-or-later"), (", or (at your option) any later version", "-or-later")):
+                    assert say(f"{opening} the {name}, version {v}{ending}.") == [f"{stem}-{dotted}{tail}"]
+    assert say("Licensed under the BSD license.") == ["BSD"]
+
+
+def test_spdx_expressions():
+    known = licenses.Recogniser()
+    say = lambda text: known.licences([x for *_, x in known.sentences(text)])
+    assert say("// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;") == ["MIT", "Apache-2.0"]
+    assert say("# SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause) OR MIT") == ["GPL-2.0-or-later", "BSD-3-Clause", "MIT"]
+    assert say("/* SPDX-License-Identifier: GPL-2.0-only WITH Unknown-exception */") == ["GPL-2.0-only"]
+    assert say("SPDX-License-Identifier: Unknown") == [] == say("the SPDX-License-Identifier: Unknown OR other")
+    text = "a\nSPDX-License-Identifier: MIT OR ISC\nb"
+    assert [text[a:b].strip() for a, b, _ in known.sentences(text)] == ["MIT", "ISC"]
+
+
+def test_sentence_lookup_against_brute_force():
+    """Runs of fragments from left to right, the longest known one first, by trying every run."""
+    r = random.Random(8)
+    words = "a b c copyright".split()
+    names = {f"s{i}": " ".join(r.choice(words[:3]) for _ in range(r.randint(1, 5))) for i in range(25)}
+    known = licenses.Recogniser(names, ())
+    table = {licenses.normalised(t): known.known[licenses.normalised(t)] for t in names.values()}
+    for _ in range(400):
+        text = "".join(r.choice(words[:3]) + r.choice([" ", " ", ", ", ". ", "\n", "\n\n", "; // ", "!\n * "]) for _ in range(r.randint(0, 14)))
+        cuts = sorted({0, len(text), *(m.end() for m in re.finditer(r"(?<=[.!?;:,])\s+|\n\s*\n|[\r\n]+", text))})
+        parts = [licenses._EDGE.sub(" ", text[a:b].lower()).strip() for a, b in zip(cuts, cuts[1:], strict=False)]
+        parts = [p for p in parts if p]
+        want, k = [], 0
+        while k < len(parts):
+            for n in range(len(parts) - k, 0, -1):
+                if name := table.get(" ".join(parts[k : k + n])):
+                    want.append(name)
+                    k += n
+                    break
+            else:
+                k += 1
+        assert [x for *_, x in known.sentences(text)] == want, text
+
+
+def test_licensed_documents_have_a_licence(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs).collect()}
+    marked = docs.filter("text rlike '(Licensed under|Released under the|This work is licensed under) (the )?(Apache|MIT|GNU|CC)'").select("doc_id").collect()
+    assert marked and all(got[r.doc_id] for r in marked)
