@@ -1,7 +1,7 @@
-"""The ledger as one object: ingest, questions, search, graph, gaps, statistics and deletion over Parquet snapshots.
+"""The ledger as one object: ingest, questions, search, graph, gaps, statistics and deletion over bucketed tables.
 
-A commit writes the changed tables whole and then a small table that names the directory of each one. Readers
-follow the last such table that is complete, so a lost job changes nothing.
+A commit rewrites the buckets that it touches (`tessera.store`), so the cost of adding or deleting a source doesn't grow with the
+number of the others. Readers follow the last complete commit, so a lost job changes nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from tessera.functions import dates, numbers
 from tessera.functions import text as T
 from tessera.operators import analytics, answers, extraction, graph, mutation, qa, resolution, retrieval
 from tessera.operators import relational as R
-from tessera.plans.schemas import LEDGER
+from tessera.plans.schemas import BUCKET_KEYS, LEDGER
 from tessera.sources import files
+from tessera.store import BUCKETS, Store, Table
 
 
 @dataclass
@@ -31,66 +32,36 @@ class Answer:
 
 
 class Ledger:
-    """labels: those that this deployment may show; a question may narrow them and never widen them."""
+    """labels: those that this deployment may show; a question may narrow them and never widen them. buckets: of each table; a ledger keeps the number that it began with."""
 
-    def __init__(self, spark: SparkSession, root: str, labels: tuple[str, ...] = T.LABELS) -> None:
+    def __init__(self, spark: SparkSession, root: str, labels: tuple[str, ...] = T.LABELS, buckets: int = BUCKETS) -> None:
         self.spark, self.root, self.labels = spark, root.rstrip("/"), labels
+        self.store = Store(spark, self.root, {name: Table(schema, BUCKET_KEYS[name], buckets) for name, schema in LEDGER.items()})
 
-    # --- snapshots ----------------------------------------------------------------------------------------------
-
-    def _commits(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName()) for p in done)
-
-    def _places(self) -> dict[str, str]:
-        commits = self._commits()
-        return {r.name: r.place for r in self.spark.read.parquet(f"{self.root}/commits/{commits[-1]}").collect()} if commits else {}
+    # --- tables -------------------------------------------------------------------------------------------------
 
     def table(self, name: str) -> DataFrame:
-        place = self._places().get(name)
-        return self.spark.read.parquet(f"{self.root}/{place}") if place else self.spark.createDataFrame([], LEDGER[name])
+        return self.store.table(name)
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes tables as the next commit. A second writer of the same commit fails before it writes anything.
-
-        A writer that was killed leaves its claim behind; `release` takes it away.
-        """
-        n = (self._commits() or [0])[-1] + 1
-        claim, fs = self._claim(n)
-        if not fs.createNewFile(claim):
-            raise RuntimeError(f"another writer holds commit {n} of {self.root}")
-        try:
-            places = self._places()
-            for name, df in tables.items():
-                places[name] = f"{name}/{n}"
-                df.write.mode("overwrite").parquet(f"{self.root}/{places[name]}")
-            self.spark.createDataFrame(sorted(places.items()), "name string, place string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/commits/{n}")
-        except BaseException:
-            fs.delete(claim, False)
-            raise
+        """Writes tables whole as the next commit."""
+        self.store.replace(tables)
 
     def _claim(self, n: int):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{n}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self.store._path("log", f"{n:012d}.claim")
 
     def release(self) -> bool:
         """Takes away the claim on the next commit that a killed writer left; whether there was one."""
-        claim, fs = self._claim((self._commits() or [0])[-1] + 1)
-        return fs.delete(claim, False)
+        return self.store.release()
 
     def _put(self, new: dict[str, DataFrame], key: str = "source_id") -> None:
-        """Rows of the sources in new take the place of those that were there."""
-        full = {}
-        for name, df in new.items():
-            columns = self.spark.createDataFrame([], LEDGER[name]).schema
-            df = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns))
-            full[name] = mutation.replace_by_key(self.table(name), df, [key])
-        self.commit(full)
+        """Rows of the sources in new take the place of those that were there; only these sources' buckets are read and written."""
+
+        def merge(old: DataFrame, rows: DataFrame) -> DataFrame:
+            known = [c for c in old.columns if c in rows.columns]
+            return old.join(rows.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(rows.select(*known), allowMissingColumns=True)
+
+        self.store.commit({name: (df, merge) for name, df in new.items()})
 
     # --- ingest -------------------------------------------------------------------------------------------------
 
@@ -152,29 +123,53 @@ class Ledger:
 
         relations holds stated edges of spans, as `graph.typed_edges` takes them. Doing it again changes nothing.
         """
+        base, _ = self.store.state()
         entities, aliases = self.table("entities"), self.table("entity_aliases")
         names = aliases.join(entities.select("entity_id", "entity_type"), "entity_id").select("alias_norm", "entity_type", "alias").unionByName(entities.select(F.col("canonical_key").alias("alias_norm"), "entity_type", F.col("canonical_name").alias("alias"))).dropDuplicates(["alias_norm", "entity_type"])
         spans = self.table("evidence_spans")
         found = extraction.span_pipeline([resolution.dictionary_mentions(spans, names), *(more or [])], entities, aliases, relations)
         ids = F.coalesce("evidence_span_ids", F.array().cast("array<string>"))
-        seen = entities.join(found.evidence.withColumnRenamed("spans", "__spans"), "entity_id", "left").withColumn("evidence_span_ids", mutation.extend_ids(ids, F.col("__spans"))).drop("__spans")
+        seen = entities.join(found.evidence.withColumnRenamed("spans", "__spans"), "entity_id").withColumn("evidence_span_ids", mutation.extend_ids(ids, F.col("__spans"))).drop("__spans")
         made = found.created.join(found.evidence, "entity_id").select("entity_id", "entity_type", F.col("key").alias("canonical_key"), "canonical_name", F.col("spans").alias("evidence_span_ids"), F.lit("extracted").alias("validation_status"), F.current_timestamp().alias("created_at"))
         edges = found.edges.withColumn("relation_id", T.stable_id("rel_", F.col("src_entity_id"), F.col("relation_type"), F.col("dst_entity_id")))
-        old = self.table("relations")
-        kept = old.join(edges.select("relation_id", F.col("evidence_span_ids").alias("__spans")), "relation_id", "left").withColumn("evidence_span_ids", mutation.extend_ids(F.col("evidence_span_ids"), F.col("__spans"))).drop("__spans")
         shaped = lambda df, name: df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], LEDGER[name]).schema))
-        self.commit({
-            "entities": seen.unionByName(shaped(made, "entities")), "entity_aliases": mutation.upsert_first(aliases, shaped(found.aliases, "entity_aliases"), ["alias_norm", "entity_id"], [F.col("alias")]),
-            "relations": kept.unionByName(shaped(edges.withColumns({"validation_status": F.lit("extracted"), "created_at": F.current_timestamp()}), "relations").join(old.select("relation_id"), "relation_id", "left_anti")),
-        })
+        edges = shaped(edges.withColumns({"validation_status": F.lit("extracted"), "created_at": F.current_timestamp()}), "relations")
+
+        def grown(old: DataFrame, new: DataFrame) -> DataFrame:
+            """Edges that are there get the spans that they lack."""
+            more = new.select("relation_id", F.col("evidence_span_ids").alias("__spans"))
+            kept = old.join(more, "relation_id", "left").withColumn("evidence_span_ids", mutation.extend_ids(F.col("evidence_span_ids"), F.col("__spans"))).drop("__spans")
+            return kept.unionByName(new.join(old.select("relation_id"), "relation_id", "left_anti").select(*old.columns))
+
+        self.store.commit({
+            "entities": (seen.unionByName(shaped(made, "entities")), lambda old, new: mutation.upsert_last(old, new, ["entity_id"])),
+            "entity_aliases": (shaped(found.aliases, "entity_aliases"), lambda old, new: mutation.upsert_first(old, new, ["alias_norm", "entity_id"], [F.col("alias")])),
+            "relations": (edges, grown),
+        }, base)
 
     def reindex(self) -> None:
         """Vectors of all units: those with a new text are worked out, those without a unit go, the others stay as they are."""
+        base, _ = self.store.state()
         units = retrieval.units(self.table("evidence_spans"), self.table("sources"))
-        self.commit({"unit_vectors": retrieval.index(units, self.table("unit_vectors"))})
+        stored = self.table("unit_vectors")
+        hashed = units.select("unit_id", "source_id", F.sha2("text", 256).alias("text_hash"))
+        keys = ["unit_id", "source_id", "text_hash"]
+        differs = hashed.join(stored.select(*keys), keys, "left_anti").select("source_id").unionByName(stored.select(*keys).join(hashed, keys, "left_anti").select("source_id")).distinct()
+        changed = differs.join(units.select("source_id", "unit_id", "text"), "source_id", "left")
+
+        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+            sources = new.select("source_id").distinct()
+            return old.join(sources, "source_id", "left_anti").select(*old.columns).unionByName(retrieval.index(new.filter("unit_id is not null"), old.join(sources, "source_id", "left_semi")).select(*old.columns))
+
+        self.store.commit({"unit_vectors": (changed, merge)}, base)
 
     def delete_source(self, source_id: str) -> None:
-        self.commit(mutation.delete_source({name: self.table(name) for name in LEDGER if name not in ("answer_claims", "answer_runs", "eval_results")}, source_id))
+        """Takes a source away; of the shared tables only buckets of rows that change are written again."""
+        base, _ = self.store.state()
+        one = self.spark.range(1).select(F.lit(source_id).alias("source_id"))
+        without = lambda old, new: old.filter(~F.col("source_id").eqNullSafe(F.lit(source_id)))
+        shared = mutation.changes_of_deletion({name: self.table(name) for name in ("evidence_spans", *mutation.SHARED)}, source_id)
+        self.store.commit({name: (one, without) for name in mutation.OF_SOURCES} | {name: (rows, lambda old, new, name=name: mutation.applied(old, new, mutation.SHARED[name])) for name, rows in shared.items()}, base)
 
     # --- reads --------------------------------------------------------------------------------------------------
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, verify
-from tessera.operators import mutation
 
 # Fixed value: a relative difference above it is a disagreement.
 DISAGREE = 0.15
@@ -36,10 +35,9 @@ def conflicts(experiments: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def experiments(measurements: DataFrame, effects: DataFrame) -> DataFrame:
-    """Measurements with the effects of the same experiment, property and source, and the evidence of both without repeats."""
+    """Measurements with the effects of the same experiment, property and source; evidence_ids is the effect's evidence as it stands."""
     keys = ["experiment_id", "property_id", "source_id"]
-    left, right = measurements.withColumnRenamed("supporting_span_ids", "m_ids"), effects.withColumnRenamed("supporting_span_ids", "e_ids")
-    return left.join(right, keys).withColumn("evidence_ids", mutation.extend_ids(F.col("m_ids"), F.col("e_ids"))).drop("m_ids", "e_ids")
+    return measurements.drop("supporting_span_ids").join(effects.withColumnRenamed("supporting_span_ids", "evidence_ids"), keys)
 
 
 def gap_counts(matrix: DataFrame, *by: str) -> DataFrame:

@@ -73,30 +73,47 @@ def prune(stored: DataFrame, keep: DataFrame, source: str = "source_id", key: st
     return other.unionByName(stored.join(keep.select(source, key), [source, key], "left_semi")).select(*stored.columns)
 
 
-def delete_source(ledger: dict[str, DataFrame], source_id: str) -> dict[str, DataFrame]:
-    """The ledger without one source: its rows, its spans in the lists of entities and relations, what these lists leave empty, and edges and aliases of entities that go.
+#: Tables whose rows are of one source, by source_id.
+OF_SOURCES = ("sources", "evidence_spans", "property_measurements", "effect_claims", "ingestion_runs", "artifacts", "extraction_claims", "numeric_facts", "unit_vectors")
+#: Keys of the tables that sources share.
+SHARED = {"entities": ["entity_id"], "relations": ["relation_id"], "entity_aliases": ["alias_norm", "entity_id"]}
+
+
+def changes_of_deletion(ledger: dict[str, DataFrame], source_id: str) -> dict[str, DataFrame]:
+    """Rows of the shared tables that change when a source is deleted, as they are afterwards, with `gone` where they go.
 
-    Entities of the dictionaries stay, with or without evidence; their ids don't begin with `ent_`.
+    The source's spans leave the lists of entities and relations. A list that this empties takes its entity along, unless that is of a
+    dictionary (its id doesn't begin with `ent_`), and its relation. Relations whose ends aren't there go too, and aliases of entities that go.
     """
-    out = dict(ledger)
-    spans = ledger["evidence_spans"].filter(F.col("source_id") == source_id).select(F.col("span_id").alias("gone"))
-    for name in ("sources", "evidence_spans", "property_measurements", "effect_claims", "ingestion_runs", "artifacts", "extraction_claims", "numeric_facts", "unit_vectors"):
-        if name in ledger:
-            out[name] = ledger[name].filter(~F.col("source_id").eqNullSafe(F.lit(source_id)))
+    spans = ledger["evidence_spans"].filter(F.col("source_id") == source_id).select(F.col("span_id").alias("id"))
 
     def stripped(df: DataFrame, key: str) -> DataFrame:
-        """Lists without the spans that go; touched: whether one of them went."""
-        ids = df.select(key, F.posexplode("evidence_span_ids").alias("i", "id")).join(spans, F.col("id") == F.col("gone"), "left")
-        left = ids.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.struct("i", "id")))).alias("left"), F.max(F.col("gone").isNotNull()).alias("touched"))
-        return df.join(left, key, "left").withColumn("evidence_span_ids", F.coalesce(F.transform("left", lambda x: x["id"]), "evidence_span_ids")).withColumn("touched", F.coalesce("touched", F.lit(False))).drop("left")
-
-    entities = stripped(ledger["entities"], "entity_id").filter(~(F.col("touched") & (F.size("evidence_span_ids") == 0) & F.col("entity_id").startswith("ent_"))).drop("touched")
-    relations = stripped(ledger["relations"], "relation_id").filter(~(F.col("touched") & (F.size("evidence_span_ids") == 0))).drop("touched")
-    alive = entities.select("entity_id")
-    for end in ("src_entity_id", "dst_entity_id"):
-        relations = relations.join(alive, F.col(end) == F.col("entity_id"), "left_semi")
-    out |= {"entities": entities.select(*ledger["entities"].columns), "relations": relations.select(*ledger["relations"].columns), "entity_aliases": ledger["entity_aliases"].join(alive, "entity_id", "left_semi").select(*ledger["entity_aliases"].columns)}
-    return out
+        ids = df.select(key, F.posexplode("evidence_span_ids").alias("i", "id"))
+        rows = df.join(ids.join(spans, "id", "left_semi").select(key).distinct(), key, "left_semi")
+        left = rows.select(key, F.posexplode("evidence_span_ids").alias("i", "id")).join(spans, "id", "left_anti").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("left"))
+        ids = F.coalesce(F.transform("left", lambda x: x["id"]), F.array().cast("array<string>"))
+        return rows.join(left, key, "left").withColumn("evidence_span_ids", ids).select(*df.columns)
+
+    entities = stripped(ledger["entities"], "entity_id")
+    entities = entities.withColumn("gone", (F.size("evidence_span_ids") == 0) & F.col("entity_id").startswith("ent_"))
+    lost = entities.filter("gone").select("entity_id")
+    alive = ledger["entities"].select("entity_id").join(lost, "entity_id", "left_anti")
+    relations = ledger["relations"]
+    dead = relations.join(alive, F.col("src_entity_id") == F.col("entity_id"), "left_anti").unionByName(relations.join(alive, F.col("dst_entity_id") == F.col("entity_id"), "left_anti")).dropDuplicates(["relation_id"])
+    touched = stripped(relations, "relation_id").join(dead.select("relation_id"), "relation_id", "left_anti").withColumn("gone", F.size("evidence_span_ids") == 0)
+    aliases = ledger["entity_aliases"].join(lost, "entity_id", "left_semi").select(*ledger["entity_aliases"].columns)
+    return {"entities": entities, "relations": touched.select(*relations.columns, "gone").unionByName(dead.select(*relations.columns).withColumn("gone", F.lit(True))), "entity_aliases": aliases.withColumn("gone", F.lit(True))}
+
+
+def applied(old: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """old with its changed rows as they are in changes, without those that are gone."""
+    return old.join(changes.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns).unionByName(changes.filter(~F.col("gone")).select(*old.columns))
+
+
+def delete_source(ledger: dict[str, DataFrame], source_id: str) -> dict[str, DataFrame]:
+    """The ledger without one source: its rows, and what `changes_of_deletion` says of the shared tables."""
+    own = {name: ledger[name].filter(~F.col("source_id").eqNullSafe(F.lit(source_id))) for name in OF_SOURCES if name in ledger}
+    return dict(ledger) | own | {name: applied(ledger[name], rows, SHARED[name]) for name, rows in changes_of_deletion(ledger, source_id).items()}
 
 
 def quarantine(rows: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:

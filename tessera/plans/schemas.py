@@ -20,6 +20,9 @@ LEDGER = {
     "numeric_facts": "fact_id string, source_id string, span_id string, subject string, subject_label string, prop string, value double, unit string, qualifier string, confidence double, status string, created_at timestamp",
 }
 
+#: The column whose hash names the bucket of a row; tables of one source's rows go by the source.
+BUCKET_KEYS = {name: "source_id" if "source_id string" in schema else schema.split()[0] for name, schema in LEDGER.items()}
+
 # The enumerations of the ledger.
 SPAN_TYPES = ("text", "table_row", "table_cell", "figure", "page_image")
 VALIDATION = ("raw", "extracted", "normalized", "validated_rule", "validated_manual", "rejected", "conflict", "needs_review")

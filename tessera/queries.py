@@ -705,13 +705,18 @@ def packed_blocks(spark, d):
 # --- streams ----------------------------------------------------------------------------------------------------
 
 
-def _drained(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream gives until its source is used up, as a table in the shared folder."""
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of one run of a query in the folder that the cluster shares."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-    root = root or tempfile.mkdtemp(prefix="tessera-stream-")
-    run = f"{root}/{name}-{spark.sparkContext.applicationId}-{next(_runs)}"
+    root = root or tempfile.mkdtemp(prefix="tessera-run-")
+    return f"{root}/{name}-{spark.sparkContext.applicationId}-{next(_runs)}"
+
+
+def _drained(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream gives until its source is used up, as a table in the shared folder."""
+    run = run_folder(spark, name)
     df.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{run}/out")
 
@@ -747,4 +752,4 @@ def stream_ingest_dedup(spark, d):
     return _drained(spark, ingest.deduplicated(_events(spark, d), ["event_id"]).select("event_id", "user_id"), "dedup", "append")
 
 
-from tessera import queries_records  # noqa: E402, F401  it adds the rest of the catalogue
+from tessera import queries_records, queries_stored  # noqa: E402, F401  they add the rest of the catalogue
