@@ -6,10 +6,14 @@ ln(1 + (N - df + 0.5) / (df + 0.5)), and reciprocal rank fusion 1 / (60 + rank).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
@@ -19,20 +23,56 @@ K1, B, FUSE = 1.2, 0.75, 60
 RERANK_POOL = 30
 MOST_TERMS = 20_000  # terms of all queries that are named in a plan
 MOST_QUERIES = 100_000  # rows of the query side sent to every task; more are joined by a shuffle
+CELLS = 4_000_000  # scores that a task holds at a time
 MOST_VECTORS = 10_000  # query vectors sent to every task at a time; more go in blocks
 
 
+def _blocks(asked, k: int):
+    """The k best units of a block of rows for each query, ties included. asked: a broadcast of {dimensions: (query numbers, unit vectors)}."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            sizes = np.diff(frame.column("vec").offsets.to_numpy())
+            flat, first = frame.column("vec").flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+            for dims, (numbers, vectors) in asked.value.items():
+                own = np.flatnonzero(sizes == dims)
+                step = max(k, CELLS // len(numbers))
+                for lo in range(0, len(own), step):
+                    rows = own[lo : lo + step]
+                    score = flat[(first[rows][:, None] + np.arange(dims)).ravel()].reshape(-1, dims) @ vectors.T
+                    # Sums of the same numbers may differ in the last digits by their place in a block.
+                    score = np.round(score, 12)
+                    kept = score >= np.partition(score, len(rows) - k, axis=0)[len(rows) - k] if len(rows) > k else np.isfinite(score)
+                    at, q = np.nonzero(kept)
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[q], pa.int32()), frame.column("unit_id").take(pa.array(rows[at])), pa.array(score[at, q])], ["q", "unit_id", "score"])
+
+    return run
+
+
 def nearest(queries: DataFrame, units: DataFrame, k: int, most: int = MOST_VECTORS) -> DataFrame:
     """The k units of largest cosine for each query. queries: query_id, vec (a stated set); units: unit_id, vec.
 
-    Every unit is compared with every query where it lies; each task keeps k rows a query before the shuffle.
+    Every unit is compared with every query where it lies, in blocks; each task keeps k rows a query before the shuffle.
     Queries are counted first: beyond `most` they go by a hash of their id in blocks of about that many, one after the other.
+    Vectors without a direction, with components that are no finite numbers, or of other dimensions than a query's are not found. Scores count to 12 places.
     """
-    ends = [f.withColumn(c, V.unit(F.col(c))).filter(f"{c} is not null") for f, c in ((units, "vec"), (queries.withColumnRenamed("vec", "q"), "q"))]
-    blocks = -(-queries.count() // most) or 1
-    parts = [ends[1].filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [ends[1]]
-    scored = lambda part: ends[0].crossJoin(F.broadcast(part)).filter("size(q) = size(vec)").select("query_id", "unit_id", V.dot(F.col("q"), F.col("vec")).alias("score"))
-    return reduce(DataFrame.unionAll, [ranked(scored(part), k) for part in parts])
+    spark = units.sparkSession
+    finite = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    ready = lambda df, key: df.select(F.col(key), F.col("vec").cast("array<double>").alias("vec")).filter(finite(F.col("vec"))).withColumn("vec", V.unit(F.col("vec"))).filter("vec is not null")
+    asked, rows = ready(queries, "query_id"), ready(units, "unit_id")
+    blocks = -(-asked.count() // most) or 1
+    parts = []
+    for b in range(blocks):
+        some = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked).collect()  # about `most`
+        sets: dict[int, tuple[list[int], list]] = {}
+        for i, r in enumerate(some):
+            for held, x in zip(sets.setdefault(len(r.vec), ([], [])), (i, r.vec), strict=True):
+                held.append(x)
+        sent = spark.sparkContext.broadcast({dims: (np.array(i), np.array(v)) for dims, (i, v) in sets.items()})
+        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(some)], types.StructType([types.StructField("q", types.IntegerType()), types.StructField("query_id", asked.schema["query_id"].dataType)]))
+        schema = types.StructType([types.StructField("q", types.IntegerType()), types.StructField("unit_id", rows.schema["unit_id"].dataType), types.StructField("score", types.DoubleType())])
+        parts.append(ranked(rows.mapInArrow(_blocks(sent, k), schema).join(F.broadcast(names), "q").select("query_id", "unit_id", "score"), k))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

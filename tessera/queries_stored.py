@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import mutation
 from tessera.operators import relational as R
+from tessera.operators.vector_index import VectorIndex
 from tessera.plans import adapters as A
 from tessera.queries import query, run_folder
 from tessera.store import Store, Table
@@ -59,3 +60,20 @@ def stream_upsert(spark, d):
 
     ingest.upsert_store(ingest.read_stream(spark, f"{run}/in", _LAST["last"].schema, files_per_trigger=1), store, "last", merge, f"{run}/state").awaitTermination()
     return store.table("last").select("user_id", "event_id", "value")
+
+
+# --- indexes ----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT * FROM e WHERE vec_id % 50 <> 1)
+    SELECT q.vec_id AS query_id, u.vec_id AS unit_id, round(list_cosine_similarity(q.v, u.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, u.v) DESC, u.vec_id) AS rank
+    FROM e q, u WHERE q.vec_id % 20 = 0 QUALIFY rank <= 5""")
+def indexed_knn(spark, d):
+    """A vector index that is built, added to and taken from; the searches are exact, by the cells' radii. Recall of the quick ones is measured in the tests."""
+    vectors = A.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("unit_id"), F.col("embedding").alias("vec"))
+    at = F.col("unit_id").cast("bigint")
+    index = VectorIndex(spark, run_folder(spark, "vector-index"), buckets=16)
+    index.build(vectors.filter(at % 3 < 2))
+    index.upsert(vectors.filter((at % 3 == 2) & (at % 50 != 1)), vectors.filter(at % 50 == 1).select("unit_id"))
+    found = index.search(vectors.filter(at % 20 == 0).select(at.alias("query_id"), "vec"), 5, exact=True)
+    return found.select("query_id", F.col("unit_id").cast("bigint").alias("unit_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
