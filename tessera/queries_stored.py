@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import mutation
 from tessera.operators import relational as R
+from tessera.operators.term_index import TermIndex, words
 from tessera.operators.vector_index import VectorIndex
 from tessera.plans import adapters as A
-from tessera.queries import query, run_folder
+from tessera.queries import _BM25, long, query, run_folder
 from tessera.store import Store, Table
 from tessera.streaming import ingest
 
@@ -77,3 +78,16 @@ def indexed_knn(spark, d):
     index.upsert(vectors.filter((at % 3 == 2) & (at % 50 != 1)), vectors.filter(at % 50 == 1).select("unit_id"))
     found = index.search(vectors.filter(at % 20 == 0).select(at.alias("query_id"), "vec"), 5, exact=True)
     return found.select("query_id", F.col("unit_id").cast("bigint").alias("unit_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {_BM25.format(k=10).replace('FROM documents', 'FROM documents WHERE doc_id % 50 <> 1')} SELECT query_id, rank, round(score, 4) AS score FROM bm")
+def indexed_search(spark, d):
+    """BM25 from a stored index that is built from part of the texts and some older ones, then brought up to date; the texts aren't read again."""
+    docs = A.spread(A.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("unit_id"), "text"))
+    at = F.col("unit_id").cast("bigint")
+    index = TermIndex(spark, run_folder(spark, "term-index"), buckets=16)
+    index.upsert(docs.filter(at % 3 < 2).withColumn("text", F.when(at % 10 == 0, F.concat(F.lit("older words the "), F.reverse("text"))).otherwise(F.col("text"))))
+    index.upsert(docs.filter(at % 50 != 1), docs.filter(at % 50 == 1).select("unit_id"))
+    items = A.table(spark, d, "benchmark").filter("item_id % 20 = 0")
+    asked = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    return index.search(asked, 10).select("query_id", long("rank", "rank"), F.round("score", 4).alias("score"))
