@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.lineage import cut
 from tessera.operators import graph, resolution
 
 # What an extraction may name.
@@ -96,13 +97,15 @@ class Extracted:
 
 
 def span_pipeline(found: list[DataFrame], entities: DataFrame, aliases: DataFrame, relations: DataFrame | None = None, vectors: DataFrame | None = None) -> Extracted:
-    """From mentions to a graph in one plan: union, the best mention a span and key, resolution, stated and co-occurrence edges.
+    """From mentions to a graph: union, the best mention a span and key, resolution, stated and co-occurrence edges.
 
     relations holds stated edges of spans (span_id, src_type, src_key, relation_type, dst_type, dst_key). An edge
-    that is both stated and seen has all its spans and the higher confidence.
+    that is both stated and seen has all its spans and the higher confidence. Mentions and their entities are written once, as all outputs come from them.
     """
-    mentions = resolution.best_mentions(mention_union(*found))
+    mentions = cut(resolution.best_mentions(mention_union(*found)))
     resolved, created, review = resolution.resolve(mentions, entities, aliases, vectors)
+    resolved = cut(resolved)
+    created = resolution.created(resolved)
     seen = graph.co_occurrence(resolved.select("span_id", "entity_id", "entity_type")).withColumn("confidence", F.lit(0.6))
     edges = seen.select("src_entity_id", "relation_type", "dst_entity_id", "confidence", F.explode("evidence_span_ids").alias("span_id"))
     if relations is not None:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, types
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -10,30 +15,62 @@ from tessera.functions import vectors as V
 
 # Cosines from which a mention merges, and from which it is shown for review.
 MERGE, REVIEW = 0.90, 0.80
-MOST_BEGINS = 2_000  # beginnings of aliases that are named in a plan
+MOST_ALIASES = 500_000  # aliases of one automaton, some 100 bytes each in every Python worker
+
+
+def _found(names):
+    """Aliases in canonical texts by one pass of an automaton. names: a broadcast of (what a text must hold, room for an ending, alias, type)."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = ahocorasick.Automaton()
+        own: dict[str, list[tuple[int, str, str]]] = {}
+        for must, room, alias, kind in names.value:
+            own.setdefault(must, []).append((room, alias, kind))
+        for must, entries in own.items():
+            machine.add_word(must, (len(must), entries))
+        machine.make_automaton()
+        word = lambda c: c.isalnum() or c == "_"
+        for frame in frames:
+            rows, texts, kinds = [], [], []
+            for r, text in enumerate(frame.column("canonical").to_pylist()):
+                seen = set()
+                for last, (size, entries) in machine.iter(text):
+                    begin = last + 1 - size
+                    if begin and word(text[begin - 1]):
+                        continue
+                    tail = 0  # letters up to the end of the word
+                    while tail < 4 and last + 1 + tail < len(text) and word(text[last + 1 + tail]):
+                        tail += 1
+                    seen.update((alias, kind) for room, alias, kind in entries if tail <= room)
+                rows += [r] * len(seen)
+                for alias, kind in sorted(seen):
+                    texts.append(alias)
+                    kinds.append(kind)
+            yield pa.RecordBatch.from_arrays([frame.column("span_id").take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(kinds, pa.string())], ["span_id", "text", "entity_type"])
+
+    return run
 
 
 def dictionary_mentions(spans: DataFrame, aliases: DataFrame) -> DataFrame:
     """Spans (span_id, visible_text) and the aliases (alias_norm, entity_type, alias) that occur in them as words.
 
-    A pattern can only match where the first word of what it asks for begins a word of the text, so a
-    join on the first three letters of words finds the candidates, and the pattern decides.
+    Each text is read once by an automaton of all aliases. They are counted first: beyond MOST_ALIASES
+    they are dealt by a hash to groups, each with an automaton and a pass of its own. `text.mention_pattern` says what an occurrence is.
     """
-    texts = spans.select("span_id", T.canonical_key(F.col("visible_text")).alias("canonical"))
-    known = aliases.filter(F.length("alias_norm") >= 3).withColumn("must", T.mention_stem(F.col("alias_norm")))
-    known = known.withColumn("begin", F.substring(F.regexp_extract("must", r"[\p{L}\p{N}_]{3,}", 0), 1, 3))
-    begins = F.array_distinct(F.transform(F.regexp_extract_all("canonical", F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)), lambda w: F.substring(w, 1, 3)))
-    asked = [r.begin for r in known.filter("begin <> ''").select("begin").distinct().limit(MOST_BEGINS + 1).collect()]
-    few = len(asked) <= MOST_BEGINS
-    # A text goes on only with the beginnings that some alias asks for, where these are few enough to be named.
-    words = texts.select("span_id", "canonical", F.explode(F.array_intersect(begins, F.array(*map(F.lit, asked)).cast("array<string>")) if few else begins).alias("begin"))
-    keyed = words.join(known.filter("begin <> ''"), "begin")
-    # What the pattern asks for has no word of three characters.
-    short = known.filter("begin = ''")
-    other = texts.join(F.broadcast(short) if short.count() <= MOST_BEGINS else short, F.col("canonical").contains(F.col("must")))
-    found = keyed.select("span_id", "canonical", "must", "alias_norm", "entity_type", "alias").unionByName(other.select("span_id", "canonical", "must", "alias_norm", "entity_type", "alias"))
-    hit = found.filter(F.col("canonical").contains(F.col("must")) & F.rlike("canonical", T.mention_pattern(F.col("alias_norm"))))
-    return hit.select("span_id", F.col("alias").alias("text"), "entity_type", F.lit(0.95).alias("confidence"), F.lit("rule").alias("origin")).distinct()
+    norm = F.col("alias_norm")
+    room = F.when(norm.rlike("[0-9a-z]"), 0).when(F.length(norm) > 4, 3).otherwise(2)
+    known = aliases.filter(F.length(norm) >= 3).select("alias_norm", T.mention_stem(norm).alias("must"), room.alias("room"), "alias", "entity_type").distinct()
+    texts = spans.select("span_id", F.coalesce(T.canonical_key(F.col("visible_text")), F.lit("")).alias("canonical"))
+    schema = types.StructType([types.StructField("span_id", spans.schema["span_id"].dataType), types.StructField("text", types.StringType()), types.StructField("entity_type", types.StringType())])
+    groups = -(-known.count() // MOST_ALIASES)
+    passes = [texts.limit(0).select("span_id", F.lit("").alias("text"), F.lit("").alias("entity_type"))]
+    for g in range(groups):
+        some = known.filter(F.pmod(F.xxhash64("alias_norm"), F.lit(groups)) == g) if groups > 1 else known
+        names = [(r.must, r.room, r.alias, r.entity_type) for r in some.select("must", "room", "alias", "entity_type").collect()]  # about MOST_ALIASES
+        if names:
+            passes.append(texts.mapInArrow(_found(spans.sparkSession.sparkContext.broadcast(names)), schema))
+    found = reduce(DataFrame.unionByName, passes).distinct()
+    return found.select("span_id", "text", "entity_type", F.lit(0.95).alias("confidence"), F.lit("rule").alias("origin"))
 
 
 def best_mentions(mentions: DataFrame) -> DataFrame:
@@ -67,8 +104,12 @@ def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, vector
     step = F.when(F.col("by_key").isNotNull(), "key").when(F.col("by_alias").isNotNull(), "alias").when(F.col("by_vector").isNotNull(), "semantic").otherwise("created")
     settled = keys.select("entity_type", "key", F.coalesce("by_key", "by_alias", "by_vector", F.concat(F.lit("ent_"), F.col("entity_type"), F.lit("_"), made)).alias("entity_id"), step.alias("matched_by"))
     found = mentions.join(settled, ["entity_type", "key"])
-    first = found.filter("matched_by = 'created'").groupBy("entity_id", "entity_type", "key").agg(F.min_by("text", "span_id").alias("canonical_name"))
-    return found, first, review
+    return found, created(found), review
+
+
+def created(found: DataFrame) -> DataFrame:
+    """New entities among resolved mentions, by the name of the first span."""
+    return found.filter("matched_by = 'created'").groupBy("entity_id", "entity_type", "key").agg(F.min_by("text", "span_id").alias("canonical_name"))
 
 
 def learned_aliases(found: DataFrame) -> DataFrame:

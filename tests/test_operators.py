@@ -107,11 +107,23 @@ def test_no_mention_is_lost(spark, monkeypatch):
     patterns = {r.alias: r.p for r in names.select("alias", T.mention_pattern(F.col("alias_norm")).alias("p")).collect()}
     want = {(i, a) for i, k in keys.items() for a, p in patterns.items() if len(a) >= 3 and regex.search(p.replace(r"[\p{L}\p{N}_]", r"\w"), k)}
     assert (0, "на дне") in want and len(want) > 8
-    for most in (resolution.MOST_BEGINS, 0):
-        monkeypatch.setattr(resolution, "MOST_BEGINS", most)
+    for most in (resolution.MOST_ALIASES, 2):
+        monkeypatch.setattr(resolution, "MOST_ALIASES", most)
         assert {(r.span_id, r.text) for r in resolution.dictionary_mentions(spans, names).collect()} == want
 
 
+def test_many_aliases_and_odd_texts(spark):
+    """100 000 aliases in one pass; nulls, empty and long texts, repeated aliases and spans."""
+    names = spark.range(100_000).selectExpr("concat('alloy-', id) as alias_norm", "'material' as entity_type", "concat('Alloy-', id) as alias")
+    names = names.unionByName(names.limit(5)).unionByName(spark.createDataFrame([(None, "material", "x"), ("ab", "material", "ab")], "alias_norm string, entity_type string, alias string"))
+    texts = [(i, f"mix of alloy-{i * 7}, Alloy-{i * 11 + 1}x and (alloy-{99_999 - i})") for i in range(300)]
+    spans = spark.createDataFrame([*texts, (5, texts[5][1]), (1000, None), (1001, ""), (1002, "alloy-1 " * 50_000 + "alloy-77777")], "span_id int, visible_text string")
+    want = {(i, f"Alloy-{n}") for i, _ in texts for n in (i * 7, 99_999 - i)} | {(1002, "Alloy-1"), (1002, "Alloy-77777")}
+    found = resolution.dictionary_mentions(spans, names).collect()
+    assert {(r.span_id, r.text) for r in found} == want and len(found) == len(want)
+    assert resolution.dictionary_mentions(spans, names.limit(0)).collect() == []
+
+
 def test_mentions_start_at_words(spark):
     spans = spark.createDataFrame([(1, "пробы руды из карьера"), (2, "оборудование цеха"), (3, "сплав Ni-30Cr"), (4, "сплав Ni–30Cu.")], "span_id int, visible_text string")
     aliases = spark.createDataFrame([("руда", "material", "руда"), ("ni-30cu", "material", "Ni-30Cu")], "alias_norm string, entity_type string, alias string")
