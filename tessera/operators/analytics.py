@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, verify
@@ -24,14 +26,41 @@ def conflict_type(a: str, b: str) -> Column:
 
 
 def conflicts(experiments: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Pairs of experiments of one group that conflict, the one of smaller order first.
+    """Pairs of experiments of one group that conflict, the one of smaller order first, and their type.
 
-    experiments needs the keys, order (unique), experiment_id, source_id, direction, method, value, unit. The pairs of a
-    group are asked for, so a large group is a large result; skewed groups are split by adaptive execution.
+    experiments needs the keys, order (unique), experiment_id, source_id, direction, method, value, unit; two rows of one experiment and
+    source don't conflict. Only conflicting pairs are made: those of opposite directions and those of unlike methods by joins on what they
+    differ in, those of unlike values by a sweep. Rows of one method and unit are sorted by value; the partners of a row that are too far
+    below it are the first so many, and it meets them by their rank. A group whose rows agree makes no pairs.
     """
-    side = lambda x: experiments.select(*keys, F.struct(order, "experiment_id", "source_id", "direction", "method", F.col("value").cast("double").alias("value"), "unit").alias(x))
-    pairs = side("a").join(side("b"), keys).filter(f"a.{order} < b.{order} and not (a.experiment_id = b.experiment_id and a.source_id <=> b.source_id)")
-    return pairs.withColumn("type", conflict_type("a", "b")).filter("type is not null")
+    x = F.struct(order, "experiment_id", "source_id", "direction", "method", F.col("value").cast("double").alias("value"), "unit")
+    rows = experiments.select(*keys, x.alias("__x")).withColumn("__way", F.when(F.col("__x.direction").isin("increase", "decrease"), F.col("__x.direction")).otherwise(""))
+    side = lambda df, name, *more: df.select(*keys, *more, F.col("__x").alias(name))
+    opposite = side(rows.filter("__way = 'increase'"), "__p").join(side(rows.filter("__way = 'decrease'"), "__q"), keys)
+
+    named = rows.filter("coalesce(__x.method, '') <> ''").withColumn("__method", F.col("__x.method"))
+    others = named.select(*keys, F.col("__method").alias("__other"), F.col("__way").alias("__other_way")).distinct()
+    aims = named.join(others, keys).filter("__method < __other and not (__way <> '' and __other_way <> '' and __way <> __other_way)")
+    unlike = side(aims, "__p", "__other", "__other_way").join(side(named, "__q", F.col("__method").alias("__other"), F.col("__way").alias("__other_way")), [*keys, "__other", "__other_way"])
+
+    alike = [*keys, "__method", "__unit"]
+    values = named.withColumn("__unit", F.col("__x.unit")).filter("__unit is not null and __x.value is not null")
+    value = F.col("__x.value")
+    # Slightly more than what is too far below a value; the exact test follows.
+    limit = F.when(value > 0, value * (1 - DISAGREE)).otherwise(value / (1 - DISAGREE)) + F.abs(value) * 1e-9
+    marks = values.select(*alike, value.alias("__at"), F.lit(1).alias("__row"), "__x").unionByName(values.select(*alike, limit.alias("__at"), F.lit(0).alias("__row"), "__x"))
+    upward = Window.partitionBy(*alike).orderBy("__at", "__row", f"__x.{order}").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = marks.withColumn("__rank", F.sum("__row").over(upward).cast("int"))
+    below = swept.filter("__row = 0 and __rank > 0").select(*alike, F.col("__x").alias("__q"), F.explode(F.sequence(F.lit(1), F.col("__rank"))).alias("__rank"))
+    far = below.join(swept.filter("__row = 1").select(*alike, "__rank", F.col("__x").alias("__p")), [*alike, "__rank"])
+
+    made = ((opposite, "contradictory_direction"), (unlike, "method_mismatch"), (far, "numeric_disagreement"))
+    pairs = reduce(DataFrame.unionByName, [df.select(*keys, "__p", "__q", F.lit(kind).alias("__kind")) for df, kind in made])
+    first = F.col(f"__p.{order}") < F.col(f"__q.{order}")
+    pairs = pairs.select(*keys, F.when(first, F.col("__p")).otherwise(F.col("__q")).alias("a"), F.when(first, F.col("__q")).otherwise(F.col("__p")).alias("b"), "__kind")
+    pairs = pairs.filter(f"a.{order} < b.{order} and not (a.experiment_id = b.experiment_id and a.source_id <=> b.source_id)")
+    # The sweep also meets pairs of opposite directions, and some within its slack.
+    return pairs.withColumn("type", conflict_type("a", "b")).filter("type = __kind").drop("__kind")
 
 
 def experiments(measurements: DataFrame, effects: DataFrame) -> DataFrame:

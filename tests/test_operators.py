@@ -56,6 +56,32 @@ def test_conflicts(spark):
     assert got[3, 4] == "method_mismatch"
 
 
+def test_conflicts_against_every_pair(spark):
+    """The sweep finds the pairs that a look at all of them finds: negative values, zeros, ties, nulls, borders."""
+    import random
+
+    r = random.Random(7)
+    rows_ = [
+        (r.choice(["m", "n", None]), i, f"e{r.randrange(40)}", r.choice(["s", "t", None]), r.choice(["increase", "decrease", "unknown", None]), r.choice(["hv", "hb", "", None]), r.choice([None, 0.0, 85.0, 100.0, -85.0, -100.0, r.uniform(-50, 50), r.uniform(90, 110)]), r.choice(["hv", "gpa", None]))
+        for i in range(160)
+    ]
+    e = spark.createDataFrame(rows_, "m string, pos int, experiment_id string, source_id string, direction string, method string, value double, unit string")
+    side = lambda x: e.select("m", F.struct(*e.columns[1:]).alias(x))
+    pairs = side("a").join(side("b"), "m").filter("a.pos < b.pos and not (a.experiment_id = b.experiment_id and a.source_id <=> b.source_id)")
+    found = lambda df: sorted((r.m, r.a.pos, r.b.pos, r.type) for r in df.collect())
+    want = found(pairs.withColumn("type", analytics.conflict_type("a", "b")).filter("type is not null"))
+    assert found(analytics.conflicts(e, ["m"], "pos")) == want and len({w[3] for w in want}) == 3
+
+
+def test_rows_that_agree_make_no_pairs(spark):
+    """A group of 100 000 rows within the threshold of each other, and one row beyond it."""
+    e = spark.range(100_000).selectExpr("'m' as m", "id as pos", "string(id) as experiment_id", "'s' as source_id", "'increase' as direction", "'hv' as method", "100 + id / 100000D as value", "'hv' as unit")
+    one = spark.createDataFrame([("m", -1, "x", "s", "increase", "hv", 85.2, "hv")], "m string, pos int, experiment_id string, source_id string, direction string, method string, value double, unit string")
+    assert analytics.conflicts(e, ["m"], "pos").count() == 0
+    # 85.2 is too far below 100.2353 and what lies above that.
+    assert analytics.conflicts(e.unionByName(one), ["m"], "pos").count() == sum(1 - 85.2 / (100 + i / 100_000) > 0.15 for i in range(100_000))
+
+
 def test_gap_matrix_covers_every_cell(spark):
     col = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} string")
     done = spark.createDataFrame([("m1", "r1", "p1"), ("m1", "r1", "p1"), ("m9", "r1", "p1")], "material_id string, regime_type string, property_id string")
