@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import mutation
 from tessera.operators import relational as R
+from tessera.operators.adjacency import Adjacency
 from tessera.operators.term_index import TermIndex, words
 from tessera.operators.vector_index import VectorIndex
 from tessera.plans import adapters as A
-from tessera.queries import _BM25, long, query, run_folder
+from tessera.queries import _BM25, _HOPS, _focus, long, query, run_folder
 from tessera.store import Store, Table
 from tessera.streaming import ingest
 
@@ -91,3 +92,16 @@ def indexed_search(spark, d):
     items = A.table(spark, d, "benchmark").filter("item_id % 20 = 0")
     asked = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     return index.search(asked, 10).select("query_id", long("rank", "rank"), F.round("score", 4).alias("score"))
+
+
+_KEPT = _HOPS.replace("FROM relations UNION SELECT dst_entity_id, src_entity_id FROM relations)", "FROM kept UNION SELECT dst_entity_id, src_entity_id FROM kept)").replace(", steps AS", ", kept AS (SELECT * FROM relations WHERE length(relation_id) % 5 <> 0), steps AS")
+
+
+@query(f"WITH {_KEPT} SELECT e AS entity_id, CAST(0 AS BIGINT) AS hops FROM h0 UNION ALL SELECT e, 1 FROM h1 UNION ALL SELECT e, 2 FROM h2")
+def khop_stored(spark, d):
+    """Two hops over a stored adjacency table from which some edges were taken; a hop reads the buckets of its frontier."""
+    edges = A.relations(spark, d)
+    graph = Adjacency(spark, run_folder(spark, "adjacency"))
+    graph.upsert(edges)
+    graph.upsert(edges.limit(0), edges.filter("length(relation_id) % 5 = 0").select("relation_id"))
+    return graph.k_hop(_focus(spark), 2).select("entity_id", long("hops", "hops"))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieval
+from tessera.operators import graph, retrieval
+from tessera.operators.adjacency import Adjacency
 from tessera.operators.term_index import TermIndex
 from tessera.operators.vector_index import VectorIndex
 
@@ -127,3 +128,24 @@ def test_appended_parts_are_compacted(spark, tmp_path):
         store.commit({"t": (spark.createDataFrame([(i,)], "k int"), None)})
     assert store.state()[1]["t"][0].count("|") == 3 and store.compact("t", parts=3) == 1 and store.compact("t", parts=3) == 0
     assert sorted(r.k for r in store.table("t").collect()) == [0, 1, 2, 3] and store.vacuum(1) == 4
+
+
+def test_adjacency(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(f"r{i}", f"e{r.randrange(150)}", "t", f"e{r.randrange(150)}") for i in range(300)] + [("loop", "e1", "t", "e1")]
+    frame = lambda some: spark.createDataFrame(some, "relation_id string, src_entity_id string, relation_type string, dst_entity_id string")
+    kept = Adjacency(spark, str(tmp_path / "graph"), buckets=8)
+    kept.upsert(frame(rows))
+    moved = [("r5", "e1", "t", "new"), ("more", "new", "t", "far")]
+    before = kept.store.state()[1]["edges"]
+    kept.upsert(frame(moved), frame(rows[7:8]).select("relation_id"))
+    assert sum(before[b] != p for b, p in kept.store.state()[1]["edges"].items()) < 8
+    now = frame([x for x in rows if x[0] not in ("r5", "r7")] + moved)
+    for ids in (["e1"], ["e2", "e3"], ["unknown"]):
+        focus = spark.createDataFrame([(i,) for i in ids], "entity_id string")
+        for depth in (1, 2):
+            want = {(x.entity_id, x.hops) for x in graph.k_hop(now, focus, depth).collect()}
+            assert {(x.entity_id, x.hops) for x in kept.k_hop(focus, depth).collect()} == want
+    one = spark.createDataFrame([("e1",)], "entity_id string")
+    assert len({f.rsplit("/", 2)[1] for f in kept.of(one).inputFiles()}) == 1
+    assert kept.store.table("ends").count() == len(rows)
