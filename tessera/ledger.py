@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import ship
 from tessera.functions import dates, numbers
 from tessera.functions import text as T
 from tessera.operators import analytics, answers, extraction, graph, mutation, qa, resolution, retrieval
@@ -35,6 +36,7 @@ class Ledger:
     """labels: those that this deployment may show; a question may narrow them and never widen them. buckets: of each table; a ledger keeps the number that it began with."""
 
     def __init__(self, spark: SparkSession, root: str, labels: tuple[str, ...] = T.LABELS, buckets: int = BUCKETS) -> None:
+        ship(spark)
         self.spark, self.root, self.labels = spark, root.rstrip("/"), labels
         self.store = Store(spark, self.root, {name: Table(schema, BUCKET_KEYS[name], buckets) for name, schema in LEDGER.items()})
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numbers, verify
+from tessera.lineage import cut
 
 # Fixed value: a relative difference above it is a disagreement.
 DISAGREE = 0.15
@@ -34,7 +35,7 @@ def conflicts(experiments: DataFrame, keys: list[str], order: str) -> DataFrame:
     below it are the first so many, and it meets them by their rank. A group whose rows agree makes no pairs.
     """
     x = F.struct(order, "experiment_id", "source_id", "direction", "method", F.col("value").cast("double").alias("value"), "unit")
-    rows = experiments.select(*keys, x.alias("__x")).withColumn("__way", F.when(F.col("__x.direction").isin("increase", "decrease"), F.col("__x.direction")).otherwise(""))
+    rows = cut(experiments.select(*keys, x.alias("__x")).withColumn("__way", F.when(F.col("__x.direction").isin("increase", "decrease"), F.col("__x.direction")).otherwise("")))  # read by all three ways
     side = lambda df, name, *more: df.select(*keys, *more, F.col("__x").alias(name))
     opposite = side(rows.filter("__way = 'increase'"), "__p").join(side(rows.filter("__way = 'decrease'"), "__q"), keys)
 
