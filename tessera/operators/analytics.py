@@ -75,6 +75,26 @@ def gap_counts(matrix: DataFrame, *by: str) -> DataFrame:
     return matrix.groupBy(*by).agg(F.count_if("covered").alias("covered"), F.count_if(~F.col("covered")).alias("gaps"))
 
 
+def coverage(materials: DataFrame, regimes: DataFrame, properties: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Covered cells and gaps of each material (material_id, cells, covered, gaps), without making the cells.
+
+    A cell is a number from the places of its regime and property in their dictionaries; a material's covered cells are bitmaps, one for each
+    32 768 numbers, and their counts are counts of bits. The two dictionaries are curated and small; of experiments only cells of the dictionaries
+    count. `cells` holds the bitmaps (bucket, bits), which can be united with those of other experiments.
+    """
+    numbered = lambda df, name, place: df.select(name).distinct().withColumn(place, F.row_number().over(Window.orderBy(name)).cast("bigint") - 1)
+    rows, columns = numbered(regimes, "regime_type", "__r"), numbered(properties, "property_id", "__p")
+    wide = columns.count()
+    each = rows.count() * wide
+    sent = [F.broadcast(side) if side.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES else side for side in (rows, columns)]
+    cell = F.col("__r") * wide + F.col("__p")
+    done = experiments.join(sent[0], "regime_type").join(sent[1], "property_id").select("material_id", cell.alias("cell"))
+    bits = done.groupBy("material_id", F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    counted = bits.groupBy("material_id").agg(F.sum(F.bitmap_count("bits")).alias("covered"), F.collect_list(F.struct("bucket", "bits")).alias("cells"))
+    covered = F.coalesce("covered", F.lit(0).cast("bigint"))
+    return materials.select("material_id").distinct().join(counted, "material_id", "left").select("material_id", "cells", covered.alias("covered"), (F.lit(each) - covered).alias("gaps"))
+
+
 def gap_matrix(materials: DataFrame, regimes: DataFrame, properties: DataFrame, experiments: DataFrame) -> DataFrame:
     """Every cell of the three dictionaries with the experiments that cover it.
 

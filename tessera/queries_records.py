@@ -56,7 +56,7 @@ def gap_counts(spark, d):
     done = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).join(customers, orders["o_custkey"] == customers["c_custkey"]).join(parts, line["l_partkey"] == parts["p_partkey"])
     done = done.select(F.col("c_nationkey").alias("material_id"), F.col("p_type").alias("regime_type"), F.lit("any").alias("property_id"))
     one = spark.range(1).select(F.lit("any").alias("property_id"))
-    return analytics.gap_counts(analytics.gap_matrix(of("customer", "c_nationkey", "material_id"), of("part", "p_type", "regime_type"), one, done), "material_id")
+    return analytics.coverage(of("customer", "c_nationkey", "material_id"), of("part", "p_type", "regime_type"), one, done).drop("cells")
 
 
 @query(f"""WITH {A.SOURCES} SELECT source_id FROM sources WHERE contains(lower(concat_ws(' ', title, document_type, geography, CAST(year AS VARCHAR))), 'en 19') AND security_label IN ('public', 'internal') AND geography IN ('en', 'fr')""")

@@ -89,6 +89,19 @@ def test_gap_matrix_covers_every_cell(spark):
     assert len(cells) == 4 and sum(c.covered for c in cells) == 1 and max(c.experiments for c in cells) == 2
 
 
+def test_coverage_counts_what_the_matrix_holds(spark):
+    import random
+
+    r = random.Random(2)
+    col = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} string")
+    m, g, p = col("material_id", *(f"m{i}" for i in range(6)), "m1"), col("regime_type", *(f"r{i}" for i in range(300))), col("property_id", *(f"p{i}" for i in range(150)))
+    done = spark.createDataFrame([(f"m{r.randrange(8)}", f"r{r.randrange(310)}", f"p{r.randrange(155)}") for _ in range(3000)] * 2 + [("m0", None, "p1"), (None, "r1", "p1")], "material_id string, regime_type string, property_id string")
+    want = {x.material_id: (x.covered, x.gaps) for x in analytics.gap_counts(analytics.gap_matrix(m.distinct(), g, p, done), "material_id").collect()}
+    got = analytics.coverage(m, g, p, done).collect()
+    assert {x.material_id: (x.covered, x.gaps) for x in got} == want and len(got) == 6 and all(a + b == 45_000 for a, b in want.values())
+    assert {(x.covered, x.gaps) for x in analytics.coverage(m, g.limit(0), p, done).collect()} == {(0, 0)}
+
+
 def test_verify_answers(spark):
     s = spark.createDataFrame([(1, 1, "hardness is 245", ["x"], ""), (1, 2, "no citation", [], ""), (1, 3, "value 7", ["y"], "7"), (1, 4, "value", ["nowhere"], "")], "answer_id int, sentence_id int, sentence string, span_ids array<string>, fact_numbers string")
     spans = spark.createDataFrame([("x", "hardness is 999", "public"), ("y", "value", "restricted")], "span_id string, visible_text string, security_label string")
