@@ -74,9 +74,10 @@ class Ledger:
             T.label_or_fail(F.lit(label)).alias("security_label"), F.current_timestamp().alias("created_at"), files.decoded("content")["text"].alias("text"),
         )
 
-    def _write_sources(self, sources: DataFrame, spans: DataFrame, more: dict[str, DataFrame]) -> None:
-        head = spans.groupBy("source_id").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "visible_text"))), lambda x: x["visible_text"]), "\n"), 1, 3000).alias("head"))
-        dated = sources.join(head, "source_id", "left").withColumns({"year": dates.source_year(F.col("title"), F.coalesce("head", F.lit("")), F.lit("")), "geography": T.geography(F.coalesce("head", F.lit("")))})
+    def _write_sources(self, sources: DataFrame, spans: DataFrame, more: dict[str, DataFrame], headers: DataFrame | None = None) -> None:
+        """sources may have page_date, the date that a page or file states of itself."""
+        page_date = F.coalesce("page_date", F.lit("")) if "page_date" in sources.columns else F.lit("")
+        dated = sources.join(extraction.heads(spans, headers), "source_id", "left").withColumns({"year": dates.source_year(F.col("title"), F.coalesce("head", F.lit("")), page_date), "geography": T.geography(F.coalesce("head", F.lit("")))})
         runs = dated.select(T.stable_id("run_", F.col("source_id"), F.col("created_at")).alias("run_id"), "source_id", F.when(F.col("head").isNull(), "quarantined").otherwise("completed").alias("status"), F.lit("ledger").alias("stage"), F.when(F.col("head").isNull(), "[no_text] nothing to read").alias("error"), "created_at")
         self._put({"sources": dated, "evidence_spans": spans, "ingestion_runs": runs, **more})
 
@@ -114,7 +115,7 @@ class Ledger:
             T.stable_id("eff_", F.col("span_id")).alias("effect_id"), "source_id", "experiment_id", F.concat(F.lit("mat_"), T.canonical_key(F.col("material"))).alias("material_id"), F.col("material").alias("material_name"), "regime_id",
             F.concat_ws(" ", "regime", numbers.shown(F.col("temperature_c")), numbers.shown(F.col("duration_h")), "atmosphere").alias("regime_summary"), "property_id", F.col("effect").alias("direction"), "delta_value", F.col("unit").alias("delta_unit"), F.col("ids").alias("supporting_span_ids"),
         )
-        self._write_sources(sources, spans, more)
+        self._write_sources(sources, spans, more, rows.groupBy("source_id").agg(F.array_join(F.first("headers"), " ").alias("header")))
         rows.unpersist()
         sources.unpersist()
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -80,6 +80,25 @@ def payloads(answers: DataFrame, answer: str = "answer") -> tuple[DataFrame, Dat
     return good.drop("payload"), read.filter(~F.coalesce(fits, F.lit(False))).drop("payload").withColumn("status", F.lit("rejected"))
 
 
+#: Blocks of a text and rows of a table that its head is made of, and its characters.
+HEAD_BLOCKS, HEAD_ROWS, HEAD_CHARACTERS = 20, 5, 3000
+
+
+def heads(spans: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """The beginning of each source (source_id, head), from which its year and place are told.
+
+    spans: source_id, ordinal, span_type, visible_text. The first blocks of its text, or the header line (headers: source_id, header) and
+    the first rows of its table, one space between them. Only these few spans of a source ever meet in one place.
+    """
+    order = Window.partitionBy("source_id").orderBy("ordinal", "visible_text")
+    first = spans.select("source_id", "ordinal", "span_type", "visible_text").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HEAD_BLOCKS)
+    first = first.filter((F.col("span_type") == "text") | (F.col("place") <= HEAD_ROWS)).select("source_id", "place", "visible_text")
+    if headers is not None:
+        first = first.unionByName(headers.select("source_id", F.lit(0).alias("place"), F.col("header").alias("visible_text")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "visible_text"))), lambda x: x["visible_text"])
+    return first.filter("visible_text <> ''").groupBy("source_id").agg(F.substring(F.array_join(parts, " "), 1, HEAD_CHARACTERS).alias("head"))
+
+
 def mention_union(*found: DataFrame) -> DataFrame:
     """Mentions (span_id, text, entity_type, confidence, origin) of a dictionary, a recogniser and a model together."""
     columns = ["span_id", "text", "entity_type", "confidence", "origin"]

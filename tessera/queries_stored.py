@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import mutation
+from tessera.operators import extraction, mutation
 from tessera.operators import relational as R
 from tessera.operators.adjacency import Adjacency
 from tessera.operators.term_index import TermIndex, words
@@ -105,3 +105,14 @@ def khop_stored(spark, d):
     graph.upsert(edges)
     graph.upsert(edges.limit(0), edges.filter("length(relation_id) % 5 = 0").select("relation_id"))
     return graph.k_hop(_focus(spark), 2).select("entity_id", long("hops", "hops"))
+
+
+@query("""WITH h AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS w FROM documents)
+    SELECT doc_id, sha256(left(array_to_string(CASE WHEN doc_id % 2 = 0 THEN w[1:20] ELSE list_concat(['head of ' || doc_id], w[1:5]) END, ' '), 3000)) AS head FROM h WHERE len(w) > 0 OR doc_id % 2 = 1""")
+def source_heads(spark, d):
+    """Heads of all documents, those of odd ids taken as tables with a header."""
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    lines = docs.select("source_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "visible_text")).filter(F.trim("visible_text") != "")
+    spans = lines.withColumn("span_type", F.when(F.col("source_id") % 2 == 0, "text").otherwise("table_row"))
+    headers = docs.filter("source_id % 2 = 1").select("source_id", F.concat(F.lit("head of "), F.col("source_id").cast("string")).alias("header"))
+    return extraction.heads(spans, headers).select(F.col("source_id").alias("doc_id"), F.sha2("head", 256).alias("head"))
