@@ -642,7 +642,7 @@ def hybrid_search(spark, d):
     return hits.select("query_id", "span_id", long("position", "position"), F.round("lexical", 4).alias("lexical"))
 
 
-@query()
+@query(r"SELECT item_id, CAST(32 AS BIGINT) AS dims, CAST(CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{N}_]') THEN 1 ELSE 0 END AS DOUBLE) AS norm FROM benchmark")
 def hash_embeddings(spark, d):
     items = A.table(spark, d, "benchmark").select("item_id", V.hash_embedding(F.col("text")).alias("vec"))
     return items.select("item_id", long(F.size("vec"), "dims"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
