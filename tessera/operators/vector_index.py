@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.retrieval import MOST_VECTORS, ranked
+from tessera.operators.retrieval import CELLS, MOST_VECTORS, ranked
 from tessera.store import BUCKETS, Store, Table
 
 SAMPLE = 50_000  # vectors that the cells are drawn from, the first by a hash of their id
@@ -39,49 +39,61 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 def _dealt(centres: np.ndarray, bounds: np.ndarray):
     """Cell, cosine to its centre, and code of unit vectors."""
 
+    step = max(1, CELLS // len(centres))
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            x = _matrix(frame.column("vec"), centres.shape[1])
-            near = x @ centres.T
-            cell = near.argmax(axis=1) if len(x) else np.zeros(0, np.int64)
-            code = np.clip(np.rint(x / bounds * 127), -127, 127).astype(np.int8)
-            columns = [pa.array(cell, pa.int32()), *(frame.column(c) for c in ("unit_id", "source_id", "security_label")), pa.array([r.tobytes() for r in code], pa.binary()), frame.column("vec"), pa.array(near[np.arange(len(x)), cell])]
-            yield pa.RecordBatch.from_arrays(columns, ["cell", "unit_id", "source_id", "security_label", "code", "vec", "near"])
+        for whole in frames:
+            for lo in range(0, whole.num_rows, step):
+                frame = whole.slice(lo, step)
+                x = _matrix(frame.column("vec"), centres.shape[1])
+                near = x @ centres.T
+                cell = near.argmax(axis=1)
+                code = np.clip(np.rint(x / bounds * 127), -127, 127).astype(np.int8)
+                columns = [pa.array(cell, pa.int32()), *(frame.column(c) for c in ("unit_id", "source_id", "security_label")), pa.array([r.tobytes() for r in code], pa.binary()), frame.column("vec"), pa.array(near[np.arange(len(x)), cell])]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "unit_id", "source_id", "security_label", "code", "vec", "near"])
 
     return run
 
 
 def _scanned(asked, exact: bool, most: int):
-    """The `most` best rows of a batch for each query that probes their cell. asked: a broadcast of (vectors, {cell: queries})."""
+    """The `most` best rows of a batch for each query that probes their cell. asked: a broadcast of (vectors, {cell: bits of the queries}).
+
+    Queries go in parts, so that a part has about CELLS scores with the rows of a batch, whatever the numbers of both.
+    """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, probing = asked.value
+        dims = vectors.shape[1]
+        floor = np.full(len(vectors), -np.inf)  # what each query's `most`-th row so far has
         for frame in frames:
-            dims = vectors.shape[1]
             x = _matrix(frame.column("vec"), dims) if exact else np.frombuffer(b"".join(frame.column("code").to_pylist()), np.int8).reshape(-1, dims)
             cells = frame.column("cell").to_numpy()
-            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for c in np.unique(cells):
-                queries = probing.get(int(c))
-                if queries is None:
-                    continue
-                own = np.flatnonzero(cells == c)
-                score = x[own].astype(vectors.dtype) @ vectors[queries].T
-                for j, q in enumerate(queries.tolist()):
-                    found.setdefault(q, []).append((own, score[:, j]))
-            out_q, out_row, out_s = [], [], []
-            for q, parts in found.items():
-                own, score = (np.concatenate(p) for p in zip(*parts, strict=True))
-                if len(own) > most:
-                    least = np.partition(score, len(score) - most)[len(score) - most]
-                    keep = score >= least  # ties stay, so that ids can order them
-                    own, score = own[keep], score[keep]
-                out_q.append(np.full(len(own), q))
-                out_row.append(own)
-                out_s.append(score)
-            rows = pa.array(np.concatenate(out_row) if out_row else np.zeros(0, np.int64), pa.int64())
-            q, s = (np.concatenate(v) if v else np.zeros(0) for v in (out_q, out_s))
-            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), frame.column("cell").take(rows), frame.column("unit_id").take(rows), pa.array(s.astype(np.float64))], ["q", "cell", "unit_id", "score"])
+            places = [(probing[int(c)], np.flatnonzero(cells == c)) for c in np.unique(cells) if int(c) in probing]
+            step = max(1, CELLS // 8 // max(1, len(x))) * 8
+            for lo in range(0, len(vectors), step):
+                some = vectors[lo : lo + step]
+                found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+                for bits, own in places:
+                    queries = np.flatnonzero(np.unpackbits(bits[lo // 8 : (lo + step) // 8], count=len(some)))
+                    if not len(queries):
+                        continue
+                    score = x[own].astype(vectors.dtype) @ some[queries].T
+                    for j, q in enumerate((queries + lo).tolist()):
+                        found.setdefault(q, []).append((own, score[:, j]))
+                out_q, out_row, out_s = [], [], []
+                for q, parts in found.items():
+                    own, score = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    if len(own) > most:
+                        # Scores count to 12 places, and sums of the same numbers may differ in the last digits.
+                        floor[q] = max(floor[q], np.partition(score, len(score) - most)[len(score) - most] - EXACT)
+                    keep = score >= floor[q]  # ties stay, so that ids can order them
+                    out_q.append(np.full(keep.sum(), q))
+                    out_row.append(own[keep])
+                    out_s.append(score[keep])
+                if out_q:
+                    rows = pa.array(np.concatenate(out_row), pa.int64())
+                    q, s = np.concatenate(out_q), np.concatenate(out_s)
+                    yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), frame.column("cell").take(rows), frame.column("unit_id").take(rows), pa.array(s.astype(np.float64))], ["q", "cell", "unit_id", "score"])
 
     return run
 
@@ -180,7 +192,7 @@ class VectorIndex:
     def _probed(self, vectors: np.ndarray, wanted: np.ndarray, exact: bool, most: int, labels: list[str] | None) -> DataFrame:
         """(q, cell, unit_id, score) of the best rows of the wanted cells. wanted: queries x cells."""
         cells = np.flatnonzero(wanted.any(axis=0)).tolist()
-        probing = {c: np.flatnonzero(wanted[:, c]) for c in cells}
+        probing = {c: np.packbits(wanted[:, c]) for c in cells}  # a bit a query
         rows = self.store.lookup("lists", cells)
         rows = rows if labels is None else rows.filter(F.col("security_label").isin(*labels))
         sent = self.spark.sparkContext.broadcast((vectors if exact else vectors.astype(np.float32), probing))

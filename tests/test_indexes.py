@@ -149,3 +149,32 @@ def test_adjacency(spark, tmp_path):
     one = spark.createDataFrame([("e1",)], "entity_id string")
     assert len({f.rsplit("/", 2)[1] for f in kept.of(one).inputFiles()}) == 1
     assert kept.store.table("ends").count() == len(rows)
+
+
+def test_vector_scans_are_bounded(monkeypatch):
+    """A batch against many queries holds some CELLS scores at a time, and gives the same rows in parts of eight queries."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tessera.operators import vector_index
+
+    r = np.random.default_rng(5)
+    x, asked = r.standard_normal((4000, 8)), r.standard_normal((9999, 8))
+    cells = r.integers(0, 20, len(x)).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(cells), pa.array([str(i) for i in range(len(x))]), pa.array(x.tolist(), pa.list_(pa.float64()))], ["cell", "unit_id", "vec"])
+    sent = lambda n: SimpleNamespace(value=(asked[:n], {c: np.packbits(np.ones(n, bool)) for c in range(20)}))
+    tracemalloc.start()
+    for _ in vector_index._scanned(sent(9999), True, 5)([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160e6  # all scores together are 320 MB
+    monkeypatch.setattr(vector_index, "CELLS", 100)
+    got = {}
+    for b in vector_index._scanned(sent(19), True, 5)([batch.slice(0, 1500), batch.slice(1500)]):
+        for q, u, s in zip(*(b.column(c).to_pylist() for c in ("q", "unit_id", "score")), strict=True):
+            got.setdefault(q, []).append((-s, int(u)))
+    for q in range(19):
+        assert [u for _, u in sorted(got[q])[:5]] == np.argsort(-(x @ asked[q]), kind="stable")[:5].tolist()
