@@ -68,8 +68,9 @@ def relevant_conflicts(conflicts: DataFrame, selected: DataFrame, all_of_them: b
     """Conflicts that share a material or an experiment with the selected rows; all where the question asks for conflicts."""
     if all_of_them:
         return conflicts
-    materials = selected.select("material_id").distinct()
-    ids = selected.select("experiment_id").distinct()
-    by_material = conflicts.join(materials, "material_id", "left_semi")
-    by_id = [conflicts.join(ids, F.col(f"{end}.experiment_id") == ids["experiment_id"], "left_semi") for end in "ab"]
-    return by_material.unionByName(by_id[0]).unionByName(by_id[1]).distinct()
+    marked = conflicts
+    for i, (own, wanted) in enumerate((("material_id", "material_id"), ("a.experiment_id", "experiment_id"), ("b.experiment_id", "experiment_id"))):
+        known = selected.select(F.col(wanted).alias(f"__key{i}")).distinct()
+        marked = marked.join(known, F.col(own) == F.col(f"__key{i}"), "left")
+    # Conflicts are made once, and what is chosen is few.
+    return marked.filter("__key0 is not null or __key1 is not null or __key2 is not null").select(*conflicts.columns).distinct()

@@ -32,3 +32,12 @@ def test_nearest_sends_few_rows(monkeypatch):
     assert sum(map(len, got.values())) < 60 * 5 * 3
     for q in range(60):
         assert [u for _, u in sorted(got[q])[:5]] == np.argsort(-(x @ asked[q]), kind="stable")[:5].tolist()
+
+
+def test_relevant_conflicts_make_conflicts_once(spark):
+    rows = spark.createDataFrame([(1, 10, 5), (2, 20, 6), (3, 30, 7), (3, 31, 8), (3, 31, 8), (None, None, 9)], "m int, x int, y int")
+    made = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("m"))).select(F.col("m").alias("material_id"), F.struct(F.col("x").alias("experiment_id")).alias("a"), F.struct(F.col("y").alias("experiment_id")).alias("b"))
+    chosen = spark.createDataFrame([(1, 8), (1, 10), (None, None), (7, 20)], "material_id int, experiment_id int")
+    found = answers.relevant_conflicts(made, chosen, False)
+    assert plan(found).count("Scan ExistingRDD[m#") == 1
+    assert sorted((r.material_id, r.a[0], r.b[0]) for r in found.collect()) == [(1, 10, 5), (2, 20, 6), (3, 31, 8)]
