@@ -41,3 +41,13 @@ def test_relevant_conflicts_make_conflicts_once(spark):
     found = answers.relevant_conflicts(made, chosen, False)
     assert plan(found).count("Scan ExistingRDD[m#") == 1
     assert sorted((r.material_id, r.a[0], r.b[0]) for r in found.collect()) == [(1, 10, 5), (2, 20, 6), (3, 31, 8)]
+
+
+def test_co_occurrence_shuffles_spans_once(spark):
+    rows = [(1, "m", "material"), (1, "m", "material"), (1, "q", "equipment"), (1, "t", "team"), (2, "m", "material"), (2, "q", "equipment"), (3, "m", "material"), (3, "m", "equipment"), (4, "c", "decision"), (4, "c", "conclusion"), (4, "m", "material")]
+    rows += [(5, f"m{i}", "material") for i in range(12)] + [(5, "q", "equipment")]
+    df = spark.createDataFrame(rows, "span_id int, entity_id string, entity_type string")
+    found = graph.co_occurrence(df)
+    assert shuffles(found) <= 2
+    got = {(r.src_entity_id, r.relation_type, r.dst_entity_id): r.evidence_span_ids for r in found.collect()}
+    assert got == {("m", "USED_EQUIPMENT", "q"): [1, 2], ("m", "PERFORMED_BY", "t"): [1], ("m", "CONCLUDES", "c"): [4]}
