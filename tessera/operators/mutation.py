@@ -89,10 +89,10 @@ def changes_of_deletion(ledger: dict[str, DataFrame], source_id: str) -> dict[st
 
     def stripped(df: DataFrame, key: str) -> DataFrame:
         ids = df.select(key, F.posexplode("evidence_span_ids").alias("i", "id"))
-        rows = df.join(ids.join(spans, "id", "left_semi").select(key).distinct(), key, "left_semi")
-        left = rows.select(key, F.posexplode("evidence_span_ids").alias("i", "id")).join(spans, "id", "left_anti").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "id"))).alias("left"))
-        ids = F.coalesce(F.transform("left", lambda x: x["id"]), F.array().cast("array<string>"))
-        return rows.join(left, key, "left").withColumn("evidence_span_ids", ids).select(*df.columns)
+        # Only places in the lists come back, and the lists meet them where they lie by key.
+        lost = ids.join(spans, "id", "left_semi").groupBy(key).agg(F.collect_list("i").alias("__lost"))
+        left = F.array_except(F.sequence(F.lit(0), F.size("evidence_span_ids") - 1), F.col("__lost"))
+        return df.join(lost, key).withColumn("evidence_span_ids", F.transform(left, lambda i: F.get("evidence_span_ids", i))).select(*df.columns)
 
     entities = stripped(ledger["entities"], "entity_id")
     entities = entities.withColumn("gone", (F.size("evidence_span_ids") == 0) & F.col("entity_id").startswith("ent_"))

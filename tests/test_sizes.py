@@ -51,3 +51,13 @@ def test_co_occurrence_shuffles_spans_once(spark):
     assert shuffles(found) <= 2
     got = {(r.src_entity_id, r.relation_type, r.dst_entity_id): r.evidence_span_ids for r in found.collect()}
     assert got == {("m", "USED_EQUIPMENT", "q"): [1, 2], ("m", "PERFORMED_BY", "t"): [1], ("m", "CONCLUDES", "c"): [4]}
+
+
+def test_deletion_reads_lists_once(spark):
+    """Lists come apart once; repeated and null ids stay where they are."""
+    spans = spark.createDataFrame([("a", "gone"), ("b", "gone"), ("b", "gone"), ("c", "stays")], "span_id string, source_id string")
+    entities = spark.createDataFrame([("ent_1", ["c", "a", None, "c", "x"]), ("ent_2", ["a", "b"]), ("dict_3", ["b"]), ("ent_4", ["c"]), ("ent_5", [])], "entity_id string, evidence_span_ids array<string>")
+    none = spark.createDataFrame([], "relation_id string, src_entity_id string, dst_entity_id string, evidence_span_ids array<string>")
+    changed = mutation.changes_of_deletion({"evidence_spans": spans, "entities": entities, "relations": none, "entity_aliases": spark.createDataFrame([], "alias_norm string, entity_id string")}, "gone")["entities"]
+    assert plan(changed).count("Generate posexplode") == 1
+    assert {r.entity_id: (r.evidence_span_ids, r.gone) for r in changed.collect()} == {"ent_1": (["c", None, "c", "x"], False), "ent_2": ([], True), "dict_3": ([], False)}
