@@ -75,3 +75,13 @@ def test_constraints_move_flags_only(spark, monkeypatch):
     bad = facts.groupBy("span_id").agg(F.collect_list(F.struct("subject", "value", "unit")).alias("facts")).filter(~C.facts_pass(F.col("facts"), asked))
     assert {r.span_id for r in kept.collect()} == set(range(1, 11)) - {r.span_id for r in bad.collect()} == {1, 3, 4, 5, 8, 9, 10}
     assert qa.drop_violating(spans.filter("span_id = 2"), facts, asked).count() == 1
+
+
+def test_edges_of_a_pipeline_are_listed_once(spark):
+    """Without stated edges the lists of co-occurrence are the edges' lists: two shuffles, no second listing."""
+    found = spark.createDataFrame([("s1", "Part 1", "material", 0.9, "rule"), ("s1", "Unit 2", "equipment", 0.7, "ner"), ("s2", "Part 1", "material", 0.9, "rule"), ("s2", "unit 2", "equipment", 0.7, "ner")], "span_id string, text string, entity_type string, confidence double, origin string")
+    none = spark.createDataFrame([], "entity_id string, entity_type string, canonical_key string")
+    out = extraction.span_pipeline([found], none, spark.createDataFrame([], "alias_norm string, entity_id string"))
+    assert shuffles(out.edges) <= 2
+    (edge,) = out.edges.collect()
+    assert edge.evidence_span_ids == ["s1", "s2"] and edge.confidence == 0.6
