@@ -22,18 +22,21 @@ class Adjacency:
     def upsert(self, edges: DataFrame, gone: DataFrame | None = None) -> None:
         """Edges come or take the place of those with their relation_id, and those of gone (relation_id) go; only buckets of old and new ends are written."""
         base, _ = self.store.state()
-        own = edges.select("relation_id", "src_entity_id", "relation_type", "dst_entity_id").dropDuplicates(["relation_id"])
+        own = edges.select("relation_id", "src_entity_id", "relation_type", "dst_entity_id").dropDuplicates(["relation_id"]).persist()
+        # Of gone edges only those that don't come again.
+        lost = gone.select("relation_id").distinct().join(own.select("relation_id"), "relation_id", "left_anti") if gone is not None else None
         ids = own.select("relation_id")
-        ids = ids.unionByName(gone.select("relation_id")).distinct() if gone is not None else ids
+        ids = ids.unionByName(lost) if lost is not None else ids
         old = self.store.table("ends").join(ids, "relation_id", "left_semi")
         at = lambda df, near, far, out: df.select(F.col(near).alias("entity_id"), F.col(far).alias("other"), "relation_id", "relation_type", F.lit(out).alias("out"))
         new = at(own, "src_entity_id", "dst_entity_id", True).unionByName(at(own, "dst_entity_id", "src_entity_id", False))
         # Where edges lay before: a row without a direction takes them away.
         was = old.select(F.explode(F.array("src", "dst")).alias("entity_id"), "relation_id").distinct()
         ends = own.select("relation_id", F.col("src_entity_id").alias("src"), F.col("dst_entity_id").alias("dst"), F.lit(True).alias("stays"))
-        ends = ends.unionByName(ids.join(own.select("relation_id"), "relation_id", "left_anti").withColumn("stays", F.lit(False)), allowMissingColumns=True)
+        ends = ends.unionByName(lost.withColumn("stays", F.lit(False)), allowMissingColumns=True) if lost is not None else ends
         swap = lambda alive: lambda before, rows: before.join(rows.select("relation_id").distinct(), "relation_id", "left_anti").select(*before.columns).unionByName(rows.filter(alive).select(*before.columns))
         self.store.commit({"edges": (new.unionByName(was, allowMissingColumns=True), swap("out is not null")), "ends": (ends, swap("stays"))}, base)
+        own.unpersist()
 
     def of(self, entities: DataFrame) -> DataFrame:
         """Edges at some entities (entity_id), as they are seen from there."""

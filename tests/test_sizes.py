@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constraints as C
 from tessera.operators import answers, extraction, graph, mutation, qa, retrieval
+from tessera.operators.adjacency import Adjacency
+from tessera.plans import adapters
 
 
 def plan(df):
@@ -85,3 +87,15 @@ def test_edges_of_a_pipeline_are_listed_once(spark):
     assert shuffles(out.edges) <= 2
     (edge,) = out.edges.collect()
     assert edge.evidence_span_ids == ["s1", "s2"] and edge.confidence == 0.6
+
+
+def test_edges_that_come_are_shuffled_once(spark, sf, tmp_path):
+    """Names are made after pairs of numbers became distinct, and a new edge isn't looked for among gone ones."""
+    made = plan(adapters.relations(spark, sf))
+    assert "Exchange hashpartitioning(l_partkey" in made
+    edges = spark.createDataFrame([("r1", "a", "t", "b"), ("r2", "b", "t", "c")], "relation_id string, src_entity_id string, relation_type string, dst_entity_id string")
+    kept = Adjacency(spark, str(tmp_path / "g"), buckets=2)
+    kept.upsert(edges)
+    kept.upsert(edges.filter("relation_id = 'r1'").withColumn("dst_entity_id", F.lit("d")), spark.createDataFrame([("r1",), ("r2",), ("absent",)], "relation_id string"))
+    assert sorted((r.entity_id, r.other, r.relation_id) for r in kept.store.table("edges").collect()) == [("a", "d", "r1"), ("d", "a", "r1")]
+    assert [(r.relation_id, r.src, r.dst) for r in kept.store.table("ends").collect()] == [("r1", "a", "d")]
