@@ -116,7 +116,7 @@ def facts_of_cells(known: Column, values: Column) -> Column:
     def roles(cells: Column) -> Column:
         first = lambda test: F.get(F.filter(cells, test), F.lit(0))
         of_role = lambda role: first(lambda x: x["role"] == role)
-        return F.struct(cells.alias("cells"), of_role("subject").alias("subject"), of_role("value").alias("value"), unit(of_role("unit")["v"]).alias("unit"), first(lambda x: x["n"].isNull() & (x["v"] != "")).alias("name"))
+        return F.struct(cells.alias("cells"), of_role("subject").alias("subject"), of_role("value").alias("value"), of_role("unit")["v"].alias("unit"), first(lambda x: x["n"].isNull() & (x["v"] != "")).alias("name"))
 
     def named(r: Column) -> Column:
         tall = r["subject"].isNotNull() & r["value"].isNotNull()
@@ -126,7 +126,8 @@ def facts_of_cells(known: Column, values: Column) -> Column:
     def facts(x: Column) -> Column:
         r = x["r"]
         fact = lambda prop, n, u: F.struct(x["key"].alias("subject"), x["label"].alias("subject_label"), prop.alias("prop"), n.alias("value"), u.alias("unit"))
-        written = F.when(r["unit"] != "", F.when(is_unit(r["unit"]), r["unit"]).otherwise("")).otherwise(r["value"]["unit"])
+        own = let(unit(r["unit"]), lambda u: F.when(u != "", F.when(is_unit(u), u).otherwise("")))
+        written = F.when(r["unit"] != "", F.coalesce(own, r["value"]["unit"])).otherwise(r["value"]["unit"])
         whole = F.coalesce(F.nullif(canonical_key(r["value"]["h"]), F.lit("")), F.lit("value"))
         one = F.when((x["label"] != "") & r["value"]["n"].isNotNull(), F.array(fact(whole, r["value"]["n"], written)))
         columns = F.filter(r["cells"], lambda c: (c["i"] != r["name"]["i"]) & (F.trim(c["h"]) != "") & c["n"].isNotNull())

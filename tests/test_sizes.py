@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import constraints as C
+from tessera.functions import numbers
 from tessera.operators import answers, extraction, graph, mutation, qa, retrieval
 from tessera.operators.adjacency import Adjacency
 from tessera.plans import adapters
@@ -99,3 +100,11 @@ def test_edges_that_come_are_shuffled_once(spark, sf, tmp_path):
     kept.upsert(edges.filter("relation_id = 'r1'").withColumn("dst_entity_id", F.lit("d")), spark.createDataFrame([("r1",), ("r2",), ("absent",)], "relation_id string"))
     assert sorted((r.entity_id, r.other, r.relation_id) for r in kept.store.table("edges").collect()) == [("a", "d", "r1"), ("d", "a", "r1")]
     assert [(r.relation_id, r.src, r.dst) for r in kept.store.table("ends").collect()] == [("r1", "a", "d")]
+
+
+def test_wide_rows_spell_no_unit(spark, monkeypatch):
+    """The unit of a row is worked out only where the row is tall."""
+    monkeypatch.setattr(numbers, "unit", lambda c: F.raise_error(F.lit("read")).cast("string"))
+    row = spark.sql("select array(named_struct('h', 'Sample', 'role', 'subject', 'unit', '', 'prop', 'sample'), named_struct('h', 'Price, usd', 'role', 'other', 'unit', 'usd', 'prop', 'price')) as known, array('A b', '7,5') as cells")
+    (found,) = row.select(numbers.facts_of_cells(F.col("known"), F.col("cells"))).first()[0]
+    assert tuple(found) == ("a b", "A b", "price", 7.5, "usd")
