@@ -4,6 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions import vectors as V
+from tessera.operators import retrieval
 from tessera.operators.term_index import TermIndex, bags, words
 
 
@@ -42,3 +44,24 @@ def test_bags(spark):
     texts = ["", None, "...", "b a B c a", "one", "x1 x1 X1"]
     got = bags(spark.createDataFrame(list(enumerate(texts)), "unit_id int, text string")).orderBy("unit_id").collect()
     assert [(r.length, r.terms, r.tfs) for r in got] == [(0, "", []), (0, "", []), (0, "", []), (5, "a b c", [2, 2, 1]), (1, "one", [1]), (3, "x1", [3])]
+
+
+def test_bm25_counts_words_once(spark):
+    """Frequencies come from the shuffle that the postings come from."""
+    rows = [(i, " ".join(f"w{i * j % 11}" for j in range(1 + i % 9))) for i in range(200)]
+    units = spark.createDataFrame(rows, "unit_id int, text string").repartition(3)
+    found = retrieval.bm25(spark.createDataFrame([(1, "w1"), (1, "w2"), (2, "w3")], "query_id int, term string"), units, 5)
+    assert len(found.collect()) == 10
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert sum("Exchange hashpartitioning(unit_id" in x and ", term" in x and "ReusedExchange" not in x for x in plan.splitlines()) == 1
+
+
+def test_nearest_makes_vectors_in_the_scan(spark):
+    """Texts are embedded where they are compared, with the hits of stored vectors; texts without words aren't found."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices(["ab", "cd", "ef", "gh", "ij", "kl"], k=r.randint(1, 9)))) for i in range(300)] + [(900, ""), (901, None), (902, "...")]
+    units = spark.createDataFrame(rows, "unit_id int, text string").repartition(3)
+    asked = units.filter("unit_id % 30 = 0").select(F.col("unit_id").alias("query_id"), V.hash_embedding(F.col("text")).alias("vec"))
+    hits = lambda df: {(x.query_id, x.rank): (x.unit_id, round(x.score, 9)) for x in df.collect()}
+    want = hits(retrieval.nearest(asked, units.select("unit_id", V.hash_embedding(F.col("text")).alias("vec")), 400))
+    assert hits(retrieval.nearest(asked, units, 400, embed=V.embedded)) == want and len(want) == 10 * 300
