@@ -35,7 +35,9 @@ def conflicts(experiments: DataFrame, keys: list[str], order: str) -> DataFrame:
     below it are the first so many, and it meets them by their rank. A group whose rows agree makes no pairs.
     """
     x = F.struct(order, "experiment_id", "source_id", "direction", "method", F.col("value").cast("double").alias("value"), "unit")
-    rows = cut(experiments.select(*keys, x.alias("__x")).withColumn("__way", F.when(F.col("__x.direction").isin("increase", "decrease"), F.col("__x.direction")).otherwise("")))  # read by all three ways
+    # A row that is alone in its group has no partner, so it goes no further.
+    met = experiments.select(*keys, x.alias("__x")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("__n > 1").drop("__n")
+    rows = cut(met.withColumn("__way", F.when(F.col("__x.direction").isin("increase", "decrease"), F.col("__x.direction")).otherwise("")))  # read by all three ways
     side = lambda df, name, *more: df.select(*keys, *more, F.col("__x").alias(name))
     opposite = side(rows.filter("__way = 'increase'"), "__p").join(side(rows.filter("__way = 'decrease'"), "__q"), keys)
 
@@ -49,7 +51,9 @@ def conflicts(experiments: DataFrame, keys: list[str], order: str) -> DataFrame:
     value = F.col("__x.value")
     # Slightly more than what is too far below a value; the exact test follows.
     limit = F.when(value > 0, value * (1 - DISAGREE)).otherwise(value / (1 - DISAGREE)) + F.abs(value) * 1e-9
-    marks = values.select(*alike, value.alias("__at"), F.lit(1).alias("__row"), "__x").unionByName(values.select(*alike, limit.alias("__at"), F.lit(0).alias("__row"), "__x"))
+    mark = lambda at, row: F.struct(at.alias("__at"), F.lit(row).alias("__row"))
+    # Both marks of a row are made after it has moved.
+    marks = values.repartition(*alike).select(*alike, "__x", F.inline(F.array(mark(value, 1), mark(limit, 0))))
     upward = Window.partitionBy(*alike).orderBy("__at", "__row", f"__x.{order}").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = marks.withColumn("__rank", F.sum("__row").over(upward).cast("int"))
     below = swept.filter("__row = 0 and __rank > 0").select(*alike, F.col("__x").alias("__q"), F.explode(F.sequence(F.lit(1), F.col("__rank"))).alias("__rank"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators import retrieval
+from tessera.operators import analytics, retrieval
 from tessera.operators.term_index import TermIndex, bags, words
 
 
@@ -65,3 +65,14 @@ def test_nearest_makes_vectors_in_the_scan(spark):
     hits = lambda df: {(x.query_id, x.rank): (x.unit_id, round(x.score, 9)) for x in df.collect()}
     want = hits(retrieval.nearest(asked, units.select("unit_id", V.hash_embedding(F.col("text")).alias("vec")), 400))
     assert hits(retrieval.nearest(asked, units, 400, embed=V.embedded)) == want and len(want) == 10 * 300
+
+
+def test_lone_rows_of_conflicts_move_once(spark):
+    """Rows without a partner in their group aren't sent to the joins."""
+    x = F.xxhash64("id").cast("string")
+    e = spark.range(0, 4000, 1, 3).select(F.col("id").alias("m"), F.col("id").alias("pos"), x.alias("experiment_id"), F.lit(0).alias("source_id"), F.lit("increase").alias("direction"), F.lit("HV10").alias("method"), F.col("id").cast("double").alias("value"), F.lit("hv").alias("unit")).cache()
+    found = []
+    once = moved(spark, lambda: e.repartition("m").write.format("noop").mode("overwrite").save())
+    assert moved(spark, lambda: found.append(analytics.conflicts(e, ["m"], "pos").count())) < 2 * once
+    pair = e.filter("pos < 2").withColumns({"m": F.lit(-1).cast("bigint"), "pos": F.col("pos") + 5000})
+    assert analytics.conflicts(e.unionByName(pair), ["m"], "pos").count() == 1 and found == [0]
