@@ -108,3 +108,19 @@ def test_wide_rows_spell_no_unit(spark, monkeypatch):
     row = spark.sql("select array(named_struct('h', 'Sample', 'role', 'subject', 'unit', '', 'prop', 'sample'), named_struct('h', 'Price, usd', 'role', 'other', 'unit', 'usd', 'prop', 'price')) as known, array('A b', '7,5') as cells")
     (found,) = row.select(numbers.facts_of_cells(F.col("known"), F.col("cells"))).first()[0]
     assert tuple(found) == ("a b", "A b", "price", 7.5, "usd")
+
+
+def test_publication_links_go_to_more_tasks(spark, monkeypatch):
+    """More rows go to more tasks, no map holds a task's edges, and repeats, nulls and unknown sources are as in a plain union."""
+    monkeypatch.setattr(extraction, "ROWS_A_TASK", 3, raising=False)
+    publications = spark.createDataFrame([(1, "p"), (2, "p"), (2, "q"), (2, "q"), (3, None), (None, "r")], "source_id int, publication_id string")
+    found = [(1, "m", "material"), (1, "m", "material"), (1, "t", "team"), (2, "m", "regime"), (2, "n", "property"), (2, None, "material"), (2, None, "material"), (3, "m", "material"), (9, "m", "material"), (None, "m", "material"), (1, "x", None)]
+    mentions = spark.createDataFrame(found, "source_id int, entity_id string, entity_type string")
+    wrote = [(1, "c"), (2, "c"), (2, "p"), (3, "c"), (3, "c"), (8, "c"), (None, "c")]
+    edges = extraction.publication_links(publications, mentions, spark.createDataFrame(wrote, "source_id int, entity_id string"))
+    tasks = (6 + 9 + 7) // 3 + 1
+    assert plan(edges).count(f", {tasks}), REPARTITION_BY_NUM") >= 4 and "HashAggregate" not in plan(edges)
+    want = {(e, "DESCRIBED_IN", p) for s, e, k in found for t, p in publications.collect() if s == t is not None and k in ("material", "regime", "property")}
+    want |= {(p, "AUTHORED_BY", e) for s, e in wrote for t, p in publications.collect() if s == t is not None}
+    got = [tuple(r) for r in edges.select("src_entity_id", "relation_type", "dst_entity_id").collect()]
+    assert len(got) == len(set(got)) == 12 and set(got) == want
