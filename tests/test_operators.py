@@ -122,6 +122,31 @@ def test_graph(spark):
     assert rows(graph.co_occurrence(crowd), "src_entity_id", "relation_type", "dst_entity_id") == [("m", "USED_EQUIPMENT", "q")]
 
 
+def test_crowded_spans_give_all_edges(spark, sf, tmp_path, monkeypatch):
+    """No span is too crowded for the query; blocks of a crowded span give the same edges as one list, null spans, repeats and all."""
+    from tessera.queries import QUERIES
+
+    lines = [(1, i, i + 100) for i in range(8)] + [(2, 0, 100), (2, 0, 100)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.src_entity_id, r.dst_entity_id): r.spans for r in QUERIES["cooccurrence_edges"](spark, str(tmp_path)).collect()}
+    assert got == {(f"p{i}", f"s{j + 100}"): 1 + (i == j == 0) for i in range(8) for j in range(8)}
+
+    kinds = ["material", "equipment", "decision", "conclusion", "team", None]
+    found = [(s, f"e{i * 7 % 31}", kinds[(i + s) % 6]) for s, n in ((1, 90), (2, 40), (3, 5), (4, 12)) for i in range(n)] + [(None, "e1", "material"), (None, "e2", "team")] * 9 + [(5, None, "team"), (5, "e1", "material")] * 20
+    df = spark.createDataFrame(found, "span_id int, entity_id string, entity_type string")
+    relation = {(a, b): kind for a, b, kind in graph.CO_OCCURRENCE}
+    want = {}
+    for s, a, ka in set(found):
+        for t, b, kb in set(found):
+            if s == t and (ka, kb) in relation and None not in (a, b) and a != b:
+                want.setdefault((a, relation[ka, kb], b), set()).update({s} - {None})
+    for listed, few in ((64, 500_000), (4, 500_000), (4, 0)):
+        monkeypatch.setattr(graph, "LISTED", listed)
+        monkeypatch.setattr(graph, "FEW_CROWDED", few)
+        edges = graph.co_occurrence(df, most=None).collect()
+        assert len(edges) == len(want) and {(r.src_entity_id, r.relation_type, r.dst_entity_id): set(r.evidence_span_ids) for r in edges} == want
+
+
 def test_resolution(spark):
     mentions = spark.createDataFrame([(1, "material", "медь", "Медь"), (2, "material", "cuni30", "CuNi30"), (3, "process", "медь", "медь"), (4, "material", "медъ", "медъ")], "span_id int, entity_type string, key string, text string")
     entities = spark.createDataFrame([("m1", "material", "медь", [1.0, 0.0]), ("m2", "material", "ni-30cu", [0.0, 1.0])], "entity_id string, entity_type string, canonical_key string, vec array<double>")
