@@ -7,10 +7,11 @@ the first direction, sorted, gives its candidates; a candidate collects a collis
 direction whose window holds it too, and pairs that reach a count calibrated to the wanted
 recall are verified by their cosine in double precision.
 
-Equal vectors collapse first. A label with more vectors than a leaf holds is cut by a tree:
-each level sorts a node along a fresh direction and halves it at the median, and vectors
-within half a window of the cut go to both sides, so that a near pair stays
-together. Two trees over different directions make up for pairs that one of them parts.
+Equal vectors collapse first. The vectors of a label meet in pairs of blocks, each a piece of work of
+bounded size. Only a label with more vectors than a leaf holds is cut by a tree before: each level
+sorts a node along a fresh direction and halves it at the median, and vectors within half a window
+of the cut go to both sides, so that a near pair stays together. Two trees over different
+directions make up for pairs that one of them parts.
 
 Links are never rows: a piece of work returns how many links each vector has in it and a
 spanning forest. A pair that meets in several leaves counts in the first that both vectors have.
@@ -33,8 +34,10 @@ WIDTH = 2.0  # of a window to each side, in standard deviations of a pair at the
 ROUTE_WIDTH = 2.7  # the same for the trees
 GATHER_WIDTH = 5.0  # the same for the window that candidates come from: no other direction makes up for it
 MISSED = 1e-6  # share of pairs at the threshold that the window for candidates and the count may lose
-LEAF = 8192
-BLOCK = 4096  # rows of each side of a task's work
+REACH = 3.0  # projections beyond it fall together; they are some normal deviates
+SIDE = (64, 4096)  # rows of each side whose collisions are counted at a time, in a processor's cache
+LEAF = 1 << 20  # vectors of a label that meet in blocks: a level of the trees copies two fifths of a node and saves a twentieth of its pairs
+BLOCK = 8192  # rows of each side of a task's work
 ROUTES = 32  # directions for the trees, half for each
 
 
@@ -53,7 +56,7 @@ def _directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, n))
 
 
-def _unit(values: list[np.ndarray]) -> np.ndarray:
+def _unit(values: list[np.ndarray] | np.ndarray) -> np.ndarray:
     x = np.array(values, np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # squares of large components stay finite
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -72,36 +75,44 @@ def _routes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([frame.column("head"), frame.column("node"), pa.array(rows, pa.list_(pa.float64()))], ["head", "node", "routes"])
 
 
-def near_pairs(x: np.ndarray, other: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (row of x, row of other) of unit rows with at least that cosine, some at a time."""
+def near_pairs(x: np.ndarray, other: np.ndarray, cosine: float, within: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of x, row of other) of unit rows with at least that cosine, some at a time. within: other is x, and each pair comes once.
+
+    Projections are counted as whole numbers of one byte: rounding down and clipping bring values nearer to each other, so no collision is lost.
+    """
     apart = sqrt(2 - 2 * cosine)
     w = WIDTH * apart
     need = least_count(DIRECTIONS, erf(WIDTH / sqrt(2)), MISSED - erfc(GATHER_WIDTH / sqrt(2)))
+    steps = max(1, int(64 * w / REACH))  # of a code, in a window to one side; at most 85, so that a sum of codes wraps around outside of a window only
     a = _directions(x.shape[1], DIRECTIONS, 0)
     mine, theirs = x @ a, other @ a
-    to = np.argsort(theirs[:, 0], kind="stable")
-    theirs, other = np.ascontiguousarray(theirs[to].astype(np.float32).T), other[to]
-    by = np.argsort(mine[:, 0], kind="stable")
-    x, mine = x[by], np.ascontiguousarray(mine[by].astype(np.float32).T)
-    w, gather = np.float32(w), np.float32(GATHER_WIDTH * apart)
-    for lo in range(0, len(x), 64):
-        own = slice(lo, lo + 64)
-        first = int(np.searchsorted(theirs[0], mine[0, lo] - gather))
-        last = int(np.searchsorted(theirs[0], mine[0, own][-1] + gather, "right"))
-        if last <= first:
-            continue
-        count = np.zeros((len(x[own]), last - first), np.uint8)
-        gap, near = np.empty(count.shape, np.float32), np.empty(count.shape, bool)
-        for i in range(DIRECTIONS):
-            np.subtract(mine[i, own][:, None], theirs[i, first:last][None, :], out=gap)
-            np.less_equal(np.abs(gap, out=gap), w, out=near)
-            count += near
-        q, o = np.nonzero(count >= need)
-        q, o = q + lo, o + first
-        for at in range(0, len(q), 100_000):
-            p, r = q[at : at + 100_000], o[at : at + 100_000]
-            good = np.einsum("ij,ij->i", x[p], other[r]) >= cosine
-            yield by[p[good]], to[r[good]]
+    to, by = np.argsort(theirs[:, 0], kind="stable"), np.argsort(mine[:, 0], kind="stable")
+    first_of, first_to = mine[by, 0], theirs[to, 0]
+    coded = lambda z: np.ascontiguousarray(np.clip(np.floor(z * (steps / w)) + 64, 0, 127).astype(np.uint8).T)
+    mine, theirs = coded(mine[by]), coded(theirs[to])
+    x, other, low = x[by], other[to], np.uint8(steps)
+    gather = GATHER_WIDTH * apart
+    for lo in range(0, len(x), SIDE[0]):
+        own = slice(lo, lo + SIDE[0])
+        first = int(np.searchsorted(first_to, first_of[lo] - gather))
+        last = int(np.searchsorted(first_to, first_of[own][-1] + gather, "right"))
+        least = mine[:, own] - low  # may wrap around, as the differences do
+        for begin in range(max(first, lo) if within else first, last, SIDE[1]):
+            end = min(begin + SIDE[1], last)
+            count = np.zeros((least.shape[1], end - begin), np.uint8)
+            gap, near = np.empty_like(count), np.empty(count.shape, bool)
+            for i in range(DIRECTIONS):
+                np.subtract(theirs[i, begin:end][None, :], least[i][:, None], out=gap)
+                np.less_equal(gap, 2 * low, out=near)
+                np.add(count, near.view(np.uint8), out=count)
+            q, o = np.nonzero(count >= need)
+            q, o = q + lo, o + begin
+            if within:
+                q, o = q[q < o], o[q < o]
+            for at in range(0, len(q), 100_000):
+                p, r = q[at : at + 100_000], o[at : at + 100_000]
+                good = np.einsum("ij,ij->i", x[p], other[r]) >= cosine
+                yield by[p[good]], to[r[good]]
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,7 +135,7 @@ def _work(cosine: float):
         node = key[0].as_py()
         side = table.column("side").to_numpy()
         ids, copies = table.column("head").to_numpy(), table.column("copies").to_numpy()
-        x = _unit(table.column("embedding").to_pylist())
+        x = _unit(table.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1))
         lists = table.column("leaves").to_pylist()
         leaves = None
         if (most := max(map(len, lists))) > 1:
@@ -134,10 +145,8 @@ def _work(cosine: float):
         right = left if same else right
         degree = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
-        for p, r in near_pairs(x[left], x[right], cosine):
+        for p, r in near_pairs(x[left], x[right], cosine, same):
             p, r = left[p], right[r]
-            if same:  # each pair is met from both ends
-                p, r = p[p < r], r[p < r]
             if leaves is not None:
                 for lo in range(0, len(p), 20_000):
                     own = slice(lo, lo + 20_000)
@@ -214,7 +223,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, leaf: int = LEAF,
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = met.select("node", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "head", "copies", "leaves", "embedding")
     # Rows grow with the vectors, not with their links: those are summed in the piece of work that finds them.
-    found = cluster.cut(work.groupBy("node", "i", "j").applyInArrow(_work(cosine), "a bigint, b bigint, n bigint"))
+    # Pieces cost time, not bytes, so as many tasks as there are partitions share them.
+    dealt = work.repartition(cluster.partitions(vectors.sparkSession), "node", "i", "j")
+    found = cluster.cut(dealt.groupBy("node", "i", "j").applyInArrow(_work(cosine), "a bigint, b bigint, n bigint"))
     degree = found.filter("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("others"))
     links = found.filter("b is not null").select("a", "b")
     part = cluster.components(links).withColumnRenamed("id", "head")

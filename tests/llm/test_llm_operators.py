@@ -164,6 +164,28 @@ def test_links_of_a_dense_group_are_no_rows():
     assert {r["a"]: r["n"] for r in out if r["b"] is None} == {i: 598 if i < 300 else 600 for i in range(599)}
 
 
+def test_blocks_of_a_label_need_no_tree(spark, monkeypatch):
+    """A label of several leaves of the former size is compared as it is: no vector is copied by trees, and none of its pairs is met twice."""
+    monkeypatch.setattr(embeddings, "_routes", None)
+    v = planted(5000, dims=16)
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(v)], "vec_id bigint, embedding array<double>, label int")).collect()
+    links = np.concatenate([(v[i : i + 1000] @ v.T >= 0.93).sum(axis=1) - 1 for i in range(0, len(v), 1000)])
+    assert [r.n_links for r in sorted(got, key=lambda r: r.vec_id)] == links.tolist()
+
+
+@pytest.mark.parametrize("cosine", [-0.5, 0.0, 0.5, 0.93, 0.999])
+def test_near_pairs_come_once(cosine):
+    """Codes of a byte lose no pair at any threshold, and inside a block each pair comes from one end."""
+    v = planted(300, dims=24)
+    v = np.concatenate((v, v[:40] + 0.002))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(v @ v.T >= cosine), strict=True) if i < j}
+    once = [tuple(sorted(x)) for p, r in embeddings.near_pairs(v, v, cosine, True) for x in zip(p.tolist(), r.tolist(), strict=True)]
+    assert len(once) == len(set(once)) and set(once) == want
+    both = [x for p, r in embeddings.near_pairs(v[:350], v[350:], cosine) for x in zip(p.tolist(), r.tolist(), strict=True)]
+    assert len(both) == len(set(both)) and set(both) == {(i, j - 350) for i, j in want if i < 350 <= j}
+
+
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
