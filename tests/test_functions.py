@@ -25,6 +25,19 @@ def test_canonical_key(spark):
     assert key("Мёд") == "мед"
 
 
+def test_plain_words_are_their_own_key(spark):
+    """The short way for plain words gives what the long way gives."""
+    for x, want in (("CuNi30 Alloy", "cuni30 alloy"), ("-Ab-", "-ab-"), (" Ab", "ab"), ("A  b", "a b"), ("", ""), ("A.", "a"), (None, None)):
+        assert spark.createDataFrame([(x,)], "x string").select(T.canonical_key(F.col("x"))).first()[0] == want
+
+
+def test_packed_ids(spark):
+    ids = [None, "", "p1", "ent_material_" + "a0" * 12, "_" + "0" * 24, "ж_" + "ab" * 12, "ent_x_" + "A0" * 12, "x\n_" + "1" * 24, "_" + "0" * 24 + "\n", "\x01abc"]
+    got = spark.createDataFrame([(x,) for x in ids], "id string").select("id", T.packed(F.col("id")).alias("p")).select("id", "p", T.unpacked(F.col("p")).alias("back")).collect()
+    assert [r.back for r in got] == ids and len({r.p and bytes(r.p) for r in got}) == len(ids)
+    assert len(got[3].p) == 1 + 12 + len("ent_material_")
+
+
 def test_dates(spark):
     date = lambda x: tuple(one(spark, dates.date_of(F.col("x")), x=x))
     assert date("от 12 марта 2023 г.") == (2023, "2023-03-12")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constraints as C
 from tessera.functions import numbers
-from tessera.operators import answers, extraction, graph, mutation, qa, retrieval
+from tessera.operators import answers, extraction, graph, mutation, qa, resolution, retrieval
 from tessera.operators.adjacency import Adjacency
 from tessera.plans import adapters
 
@@ -90,6 +90,30 @@ def test_edges_of_a_pipeline_are_listed_once(spark):
     assert edge.evidence_span_ids == ["s1", "s2"] and edge.confidence == 0.6
 
 
+def test_edges_move_as_lists(spark, monkeypatch):
+    """A source end moves with the list of its other ends, tasks grow with the mentions, and ends that are nearly everywhere go in parts."""
+    monkeypatch.setattr(graph, "MENTIONS_A_TASK", 20)
+    rows = [(s, x, kind) for s in range(60) for x, kind in (("steel", "material"), (f"m{s % 50}", "material"), (f"q{s % 7}", "equipment"), ("q9", "equipment"))]
+    found = graph.co_occurrence(spark.createDataFrame(rows, "span_id int, entity_id string, entity_type string"))
+    tree = plan(found)
+    assert 0 <= tree.index("Generate explode(ends") < tree.index("Exchange hashpartitioning(src_entity_id") and f", {240 // 20 + 1}), REPARTITION_BY_NUM" in tree
+    want = {}
+    for s in range(60):
+        for a in ("steel", f"m{s % 50}"):
+            for b in (f"q{s % 7}", "q9"):
+                want.setdefault((a, b), []).append(s)
+    got = found.collect()
+    assert len(got) == len(want) and {(r.src_entity_id, r.dst_entity_id): r.evidence_span_ids for r in got} == want
+
+
+def test_mentions_get_keys_after_they_moved(spark):
+    rows = [(1, "Part 1", "material", 0.9), (1, "PART 1", "material", 0.9), (1, "part 1", "material", 0.8), (1, "«»", "material", 0.9), (2, None, "material", 0.9), (2, "Part 1", "material", None), (2, "part 1", "material", 0.1)]
+    best = resolution.best_mentions(spark.createDataFrame(rows, "span_id int, text string, entity_type string, confidence double"))
+    above, below = plan(best).split("Exchange hashpartitioning(span_id", 1)
+    assert "lower(" in above and "lower(" not in below and "Exchange" not in below
+    assert sorted((r.span_id, r.key, r.text, r.confidence) for r in best.collect()) == [(1, "part 1", "Part 1", 0.9), (2, "part 1", "part 1", 0.1)]
+
+
 def test_edges_that_come_are_shuffled_once(spark, sf, tmp_path):
     """Names are made after pairs of numbers became distinct, and a new edge isn't looked for among gone ones."""
     made = plan(adapters.relations(spark, sf))
